@@ -20,6 +20,9 @@ GROUP_ROWS = 1_000_000
 #: Events kept in one array cell.
 CHUNK_EVENTS = 10_000
 
+#: Rows up to which a looked-up side is broadcast; each is a few hundred bytes at most.
+BROADCAST_ROWS = 100_000
+
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -30,6 +33,11 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row["largest"] or 0), int(row["total"] or 0)
 
 
+def broadcast_if_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a count proves the side small; otherwise leave the join to Spark."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
 def _sort(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
