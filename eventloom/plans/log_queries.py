@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.text import mask, run_name_parts
 from eventloom.operators import logs, nextevent, requests, splits, templates
 from eventloom.plans import inputs
-from eventloom.plans.registry import LINE, SPLIT, query, rounded
+from eventloom.plans.registry import LINE, SPLIT, as_double, query, rounded
 from eventloom.session import cut_lineage
 from eventloom.sources.logs import LINE_ORDER
 
@@ -72,9 +72,9 @@ def route_lines(spark, folder):
 
 @query(
     "run_name_parse",
-    """SELECT event_id, CASE WHEN event_id % 10 > 0 THEN CAST(32 * (1 + event_id % 4) AS INTEGER) END AS embedding_dim,
-  CASE WHEN event_id % 10 > 0 THEN CAST(64 * (1 + event_id % 3) AS INTEGER) END AS hidden_size,
-  CASE WHEN event_id % 10 > 0 THEN CAST(1 + event_id % 2 AS INTEGER) END AS num_layers,
+    """SELECT event_id, CASE WHEN event_id % 10 > 0 THEN CAST(32 * (1 + event_id % 4) AS DOUBLE) END AS embedding_dim,
+  CASE WHEN event_id % 10 > 0 THEN CAST(64 * (1 + event_id % 3) AS DOUBLE) END AS hidden_size,
+  CASE WHEN event_id % 10 > 0 THEN CAST(1 + event_id % 2 AS DOUBLE) END AS num_layers,
   CASE WHEN event_id % 10 > 0 THEN round((event_id % 3) / 10.0, 6) END AS dropout FROM events""",
 )
 def run_name_parse(spark, folder):
@@ -86,7 +86,8 @@ def run_name_parse(spark, folder):
     named = inputs.table(spark, folder, "events").select(
         "event_id", F.when(n % 10 > 0, name).otherwise(F.concat(F.lit("other_"), name)).alias("run_name")
     )
-    return rounded(named.select("event_id", run_name_parts(F.col("run_name")).alias("p")).select("event_id", "p.*"))
+    parts = named.select("event_id", run_name_parts(F.col("run_name")).alias("p")).select("event_id", "p.*")
+    return rounded(as_double(parts, "embedding_dim", "hidden_size", "num_layers"))
 
 
 # Masked form of each line kind; mined templates must come out the same.
@@ -113,7 +114,7 @@ def template_mining(spark, folder):
 
 @query(
     "template_match",
-    f"""WITH {_KINDS} SELECT event_id AS line_id, CASE WHEN id < 4 THEN id END AS cluster_id,
+    f"""WITH {_KINDS} SELECT event_id AS line_id, CASE WHEN id < 4 THEN CAST(id AS DOUBLE) END AS cluster_id,
   CASE WHEN id < 4 THEN id ELSE 4 END AS event FROM events JOIN ti USING (event_type)""",
 )
 def template_match(spark, folder):
@@ -126,7 +127,8 @@ def template_match(spark, folder):
     vocabulary = kept.select(F.col("event_id").cast("string").alias("label"), "event_id").unionByName(
         kept.agg(F.lit("unknown").alias("label"), F.count(F.lit(1)).cast("int").alias("event_id"))
     )
-    return templates.to_event_ids(matched, vocabulary).select("line_id", "cluster_id", F.col("event_id").alias("event"))
+    known = templates.to_event_ids(matched, vocabulary)
+    return as_double(known.select("line_id", "cluster_id", F.col("event_id").alias("event")), "cluster_id")
 
 
 @query(
@@ -189,14 +191,14 @@ _SCORED = f"""WITH {SPLIT}, rq AS (
 @query(
     "request_outcomes",
     _SCORED + f""" SELECT request_id, wanted AS block_id, CASE WHEN ok THEN 200 ELSE 422 END AS status_code, num_log_lines,
-  CASE WHEN ok THEN n END AS num_events, CASE WHEN ok THEN w END AS num_windows, CASE WHEN ok THEN round(top, 6) END AS score,
-  CASE WHEN ok THEN {REQUEST_THRESHOLD} END AS threshold, CASE WHEN ok THEN top >= {REQUEST_THRESHOLD} END AS is_anomaly,
+  CASE WHEN ok THEN CAST(n AS DOUBLE) END AS num_events, CASE WHEN ok THEN CAST(w AS DOUBLE) END AS num_windows, CASE WHEN ok THEN round(top, 6) END AS score,
+  CASE WHEN ok THEN {REQUEST_THRESHOLD} END AS threshold, CASE WHEN ok THEN CAST(top >= {REQUEST_THRESHOLD} AS DOUBLE) END AS is_anomaly,
   CASE WHEN NOT ok THEN 'model couldn''t process data' END AS error_message
   FROM (SELECT *, wanted <> 'blk_absent' AND w > 0 AS ok FROM re)""",
 )
 def request_outcomes(spark, folder):
     scored = requests.score_requests(inputs.requests(spark, folder), request_scorer(spark, folder))
-    return rounded(requests.outcomes(scored))
+    return rounded(as_double(requests.outcomes(scored), "num_events", "num_windows", "is_anomaly"))
 
 
 @query(
@@ -205,7 +207,7 @@ def request_outcomes(spark, folder):
   CASE WHEN n < 2 THEN 'no valid block sequences parsed from log lines'
        WHEN wanted = 'blk_absent' THEN 'block_id ''blk_absent'' was not found in parsed log lines'
        WHEN NOT ok THEN 'not enough events for inference: got ' || n || ', need more than 10' END AS reason,
-  CASE WHEN ok AND u % 2 = 0 THEN n END AS event_ids, CASE WHEN ok AND u % 3 = 0 THEN w END AS window_scores
+  CASE WHEN ok AND u % 2 = 0 THEN CAST(n AS DOUBLE) END AS event_ids, CASE WHEN ok AND u % 3 = 0 THEN CAST(w AS DOUBLE) END AS window_scores
   FROM (SELECT *, wanted <> 'blk_absent' AND w > 0 AS ok FROM re)""",
 )
 def request_scores(spark, folder):
@@ -215,8 +217,8 @@ def request_scores(spark, folder):
             "request_id",
             "score",
             "reason",
-            F.when(F.col("event_ids").isNotNull(), F.size("event_ids").cast("bigint")).alias("event_ids"),
-            F.when(F.col("window_scores").isNotNull(), F.size("window_scores").cast("bigint")).alias("window_scores"),
+            F.when(F.col("event_ids").isNotNull(), F.size("event_ids").cast("double")).alias("event_ids"),
+            F.when(F.col("window_scores").isNotNull(), F.size("window_scores").cast("double")).alias("window_scores"),
         )
     )
 

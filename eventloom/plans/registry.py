@@ -25,16 +25,21 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places, as on the SQL side."""
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to ``places``, as on the SQL side."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            F.round(F.col(f"`{f.name}`"), places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
 
 
+def as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Integers that may be null as doubles, the type both sides hand out alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def joined(column: str) -> F.Column:
     """An array as text."""
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
