@@ -26,8 +26,13 @@ def parse_lines(lines: DataFrame, keep_unknown: bool = False) -> DataFrame:
 
 
 def usable_lines(parsed: DataFrame) -> DataFrame:
-    """Drop lines without block or timestamp."""
-    return parsed.dropna(subset=["block_id", "timestamp"])
+    """Drop lines without block or timestamp.
+
+    The test goes through a one-item generator: as a plain filter it would be pushed below the parse and run
+    the patterns again, several times per line.
+    """
+    usable = F.col("block_id").isNotNull() & F.col("timestamp").isNotNull()
+    return parsed.withColumn("_usable", F.explode(F.array(usable))).filter("_usable").drop("_usable")
 
 
 def route_lines(lines: DataFrame, split: DataFrame, max_lines: int | None = None) -> DataFrame:

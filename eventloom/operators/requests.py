@@ -13,6 +13,7 @@ from eventloom.operators.nextevent import NextEventModel
 from eventloom.operators.ordered import GROUP_ROWS, _null_safe_join, positions, quantiles
 from eventloom.operators.scoring import score_blocks, score_windows, window_surprise
 from eventloom.operators.templates import masked_tokens, match_templates
+from eventloom.session import cut_lineage
 
 # Outcome codes and text stored for requests that could not be scored.
 OK, UNPROCESSABLE = 200, 422
@@ -159,7 +160,8 @@ def score_requests(requests: DataFrame, scorer: Scorer, limit: int = GROUP_ROWS)
         "request_id", F.col("block_id").alias("wanted"), F.posexplode("log_lines").alias("line_key", "line")
     )
     parsed = usable_lines(parse_lines(lines)).withColumn("ts", F.col("timestamp"))
-    events = scorer.events(parsed).select("request_id", "wanted", "block_id", "ts", "line_key", "event")
+    # parsed and matched once; counts, scores and lists below all start from it
+    events = cut_lineage(scorer.events(parsed).select("request_id", "wanted", "block_id", "ts", "line_key", "event"))
     lengths = events.groupBy("request_id", "block_id", "wanted").agg(F.count(F.lit(1)).alias("n"))
     found = (
         lengths.filter(F.col("n") >= MIN_SEQUENCE)
@@ -167,7 +169,7 @@ def score_requests(requests: DataFrame, scorer: Scorer, limit: int = GROUP_ROWS)
         .agg(F.max(F.when(F.col("block_id") == F.col("wanted"), F.col("n"))).alias("num_events"))
     )
     wanted = events.filter(F.col("block_id") == F.col("wanted")).withColumn("block_id", F.col("request_id"))
-    surprise = window_surprise(wanted, scorer.model, scorer.window, scorer.stride, scorer.top_k, limit=limit)
+    surprise = cut_lineage(window_surprise(wanted, scorer.model, scorer.window, scorer.stride, scorer.top_k, limit=limit))
     blocks = score_blocks(surprise, None, [scorer.strategy], limit).select(
         F.col("block_id").alias("request_id"), "num_windows", "score"
     )

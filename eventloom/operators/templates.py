@@ -75,20 +75,23 @@ def mine_templates(
     similarity: float = SIMILARITY,
     max_clusters: int = MAX_CLUSTERS,
     leaf_rows: int = GROUP_ROWS // 10,
+    words: str | None = None,
 ) -> DataFrame:
     """Mine templates: ``event_id`` (dense, first seen first), ``template``, ``messages``.
 
     Equal masked messages are first counted together, so work after the first shuffle follows the number
     of distinct messages. Leaves are independent. A leaf with more than ``leaf_rows`` distinct messages is
-    cut by message hash, mined in parts, and the part templates are folded once more.
+    cut by message hash, mined in parts, and the part templates are folded once more. ``words`` names a
+    column of masked tokens, for when they exist already.
     """
     keyed = messages.select(
-        masked_tokens(F.col(content)).alias("template"),
+        (F.col(words) if words else masked_tokens(F.col(content))).alias("template"),
         F.concat_ws("|", *[_sort_text(messages, c) for c in order]).alias("_key"),
-    ).filter(F.size("template") > 0)
+    )
     distinct = keyed.groupBy("template").agg(
-        F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages")
+        F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages"), F.max(F.size("template")).alias("_words")
     )
+    distinct = distinct.filter(F.col("_words") > 0).drop("_words")
     distinct = distinct.withColumn("leaf", _leaf(F.col("template")))
     sizes = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("parts"))
     salted = distinct.join(sizes, "leaf").withColumn(

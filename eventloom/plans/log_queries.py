@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import mask, run_name_parts
-from eventloom.operators import logs, nextevent, requests, splits, templates
-from eventloom.plans import inputs
-from eventloom.plans.registry import LINE, SPLIT, as_double, query, rounded
+from eventloom.operators import logs, requests, sequences, splits, templates
+from eventloom.plans import flows, inputs
+from eventloom.plans.registry import LINE, SPLIT, as_double, joined, query, rounded
 from eventloom.session import cut_lineage
 from eventloom.sources.logs import LINE_ORDER
 
@@ -157,16 +157,9 @@ REQUEST_THRESHOLD = 1.8
 
 def request_scorer(spark, folder):
     """Templates and model fitted on the lines of training blocks, as a user would before scoring."""
-    events = inputs.events(spark, folder)
-    split = splits.split_blocks(inputs.labels(events))
+    split = splits.split_blocks(inputs.labels(inputs.events(spark, folder)))
     split = split.withColumn("block_id", F.concat(F.lit("blk_"), F.col("block_id")))
-    train = splits.only_split(_parsed(spark, folder), split, "train")
-    mined = cut_lineage(templates.mine_templates(train))
-    vocab = mined.count() + 1
-    scorer = requests.Scorer(mined, nextevent.NextEventModel(mined, vocab, 1), REQUEST_THRESHOLD)
-    fitted = nextevent.fit_next_event(scorer.events(train.withColumn("ts", F.col("timestamp"))), vocab)
-    model = nextevent.NextEventModel(cut_lineage(fitted.table), vocab, 1)
-    return requests.Scorer(mined, model, REQUEST_THRESHOLD)
+    return flows.fit_scorer(inputs.log_lines(spark, folder), split, REQUEST_THRESHOLD)
 
 
 _SCORED = f"""WITH {SPLIT}, rq AS (
@@ -223,3 +216,20 @@ def request_scores(spark, folder):
     )
 
 
+
+
+@query(
+    "line_sequences",
+    f"""WITH {SPLIT}, {_KINDS}, q AS (SELECT * FROM ev JOIN ti USING (event_type)),
+  f AS (SELECT event_type, CAST(row_number() OVER (ORDER BY min(pos_ts), min(line_key)) - 1 AS INTEGER) AS e FROM (
+    SELECT event_type, date_trunc('second', ts) AS pos_ts, line_key, block_id FROM ev) JOIN sp USING (block_id) WHERE split = 'train' GROUP BY 1)
+  SELECT 'blk_' || block_id AS block_id, split, string_agg(CAST(e AS VARCHAR), ',' ORDER BY pos) AS sequence
+  FROM ev JOIN f USING (event_type) JOIN sp USING (block_id) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def line_sequences(spark, folder):
+    """From raw lines to labelled sequences: split, mine on training lines, match, order."""
+    split = splits.split_blocks(inputs.labels(inputs.events(spark, folder)))
+    split = split.withColumn("block_id", F.concat(F.lit("blk_"), F.col("block_id")))
+    table = flows.event_table(inputs.log_lines(spark, folder), split)
+    built = splits.tag_split(sequences.build_sequences(table.events), split)
+    return built.select("block_id", "split", joined("sequence").alias("sequence"))

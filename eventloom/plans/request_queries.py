@@ -109,7 +109,7 @@ def profile_search(spark, folder):
 
 @query(
     "request_validity",
-    """SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND NOT list_contains(list_transform(string_split(text, chr(10)), x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '') AS valid FROM documents""",
+    """SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND NOT list_contains(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), '') AS valid FROM documents""",
 )
 def request_validity(spark, folder):
     """Documents as requests: their lines must not be blank."""
@@ -187,40 +187,44 @@ def rate_limit_rules(spark, folder):
     return ruled.groupBy("scope").agg(F.count(F.lit(1)).alias("requests"), F.max("amount").alias("amount"), F.max("seconds").alias("seconds"))
 
 
-_AUDIT = """WITH t AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS slot FROM events),
-  n AS (SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY at, event_id) AS cur FROM t),
+_AUDIT = """WITH t AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS slot FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY sec, event_id) AS cur FROM t),
   p AS (SELECT user_id, slot + 1 AS slot, count(*) AS prv FROM t GROUP BY ALL),
-  e AS (SELECT event_id, at, slot, CAST(floor(coalesce(prv, 0) * (1 - (at - slot * 86400) / 86400)) + cur AS BIGINT) AS estimate FROM n LEFT JOIN p USING (user_id, slot))
+  e AS (SELECT event_id, sec, slot, CAST(floor(coalesce(prv, 0) * (1 - (sec - slot * 86400) / 86400)) + cur AS BIGINT) AS estimate FROM n LEFT JOIN p USING (user_id, slot))
   SELECT event_id, estimate, estimate <= 3 AS allowed, greatest(3 - estimate, 0) AS remaining, (slot + 1) * 86400 AS reset_at,
-    CAST(greatest((slot + 1) * 86400 - ceil(at), 0) AS BIGINT) AS retry_after FROM e"""
-
-
-def _audited(spark, folder, **kw):
-    log = inputs.request_log(spark, folder).withColumn("user", F.col("user_id").cast("string"))
-    done = audit.audit(log, "user", "ts", ["line_key"], F.lit(3), F.lit(86400), **kw)
-    return done.select(F.col("line_key").alias("event_id"), "estimate", "allowed", "remaining", "reset_at", "retry_after")
+    CAST(greatest((slot + 1) * 86400 - ceil(sec), 0) AS BIGINT) AS retry_after FROM e"""
 
 
 @query("rate_limit_audit", _AUDIT)
 def rate_limit_audit(spark, folder):
-    return _audited(spark, folder)
+    log = inputs.request_log(spark, folder).withColumn("user", F.col("user_id").cast("string"))
+    done = audit.audit(log, "user", "ts", ["line_key"], F.lit(3), F.lit(86400))
+    return done.select(F.col("line_key").alias("event_id"), "estimate", "allowed", "remaining", "reset_at", "retry_after")
 
 
-@query("rate_limit_audit_large", _AUDIT)
+@query(
+    "rate_limit_audit_large",
+    """WITH t AS (SELECT event_id, epoch_us(ts) / 1e6 AS sec, CAST(floor(epoch_us(ts) / 1e6 / 864000) AS BIGINT) AS slot FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY sec, event_id) AS cur FROM t),
+  p AS (SELECT slot + 1 AS slot, count(*) AS prv FROM t GROUP BY ALL)
+  SELECT event_id, CAST(floor(coalesce(prv, 0) * (1 - (sec - slot * 864000) / 864000)) + cur AS BIGINT) AS estimate FROM n LEFT JOIN p USING (slot)""",
+)
 def rate_limit_audit_large(spark, folder):
-    """The audit with the plan for keys with more requests than one task should sort."""
-    return _audited(spark, folder, limit=4)
+    """One key for everybody, with the plan for keys with more requests than one task should sort."""
+    log = inputs.request_log(spark, folder).withColumn("key", F.lit("all"))
+    done = audit.audit(log, "key", "ts", ["line_key"], F.lit(3), F.lit(864000), limit=inputs.SMALL_LIMIT)
+    return done.select(F.col("line_key").alias("event_id"), "estimate")
 
 
 @query(
     "rate_limit_by_rule",
-    """WITH t AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS at, CAST(floor(epoch_us(ts) / 1e6 / 60) AS BIGINT) AS slot, event_id % 5 AS m, user_id FROM events),
+    """WITH t AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS sec, CAST(floor(epoch_us(ts) / 1e6 / 60) AS BIGINT) AS slot, event_id % 5 AS m, user_id FROM events),
   k AS (SELECT *, CASE WHEN m = 3 THEN 'g' ELSE m || ':' || user_id END AS key, CASE m WHEN 0 THEN 30 WHEN 1 THEN 120 WHEN 2 THEN 5 WHEN 3 THEN 60 ELSE 30 END AS amount
     FROM t WHERE m <> 2 OR event_type = 'error'),
-  n AS (SELECT *, row_number() OVER (PARTITION BY key, slot ORDER BY at, event_id) AS cur FROM k),
+  n AS (SELECT *, row_number() OVER (PARTITION BY key, slot ORDER BY sec, event_id) AS cur FROM k),
   p AS (SELECT key, slot + 1 AS slot, count(*) AS prv FROM k GROUP BY ALL)
-  SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(floor(coalesce(prv, 0) * (1 - (at - slot * 60) / 60)) + cur AS BIGINT) AS estimate,
-    floor(coalesce(prv, 0) * (1 - (at - slot * 60) / 60)) + cur <= amount AS allowed FROM n LEFT JOIN p USING (key, slot)""",
+  SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(floor(coalesce(prv, 0) * (1 - (sec - slot * 60) / 60)) + cur AS BIGINT) AS estimate,
+    floor(coalesce(prv, 0) * (1 - (sec - slot * 60) / 60)) + cur <= amount AS allowed FROM n LEFT JOIN p USING (key, slot)""",
 )
 def rate_limit_by_rule(spark, folder):
     keyed = audit.limit_keys(inputs.request_log(spark, folder), SECRET)
@@ -260,8 +264,8 @@ def _drain(spark, stream, mode: str = "append"):
 @query(
     "stream_block_score",
     f"""WITH {MODEL}, l AS (SELECT block_id, count(*) AS events FROM ev GROUP BY 1)
-  SELECT block_id, events, round(CASE WHEN events > 10 THEN max(nll) END, 6) AS score, round(CASE WHEN events > 10 THEN avg(nll) END, 6) AS mean_nll,
-    events > 10 AND max(nll) >= 1.7 AS alert FROM l LEFT JOIN tr USING (block_id) GROUP BY ALL""",
+  SELECT block_id, events, round(CASE WHEN events > 10 THEN top END, 6) AS score, round(CASE WHEN events > 10 THEN mean END, 6) AS mean_nll, events > 10 AND top >= 1.7 AS alert
+  FROM l LEFT JOIN (SELECT block_id, max(nll) AS top, avg(nll) AS mean FROM tr GROUP BY block_id) USING (block_id)""",
 )
 def stream_block_score(spark, folder):
     _, _, _, model = fitted(spark, folder)
@@ -292,10 +296,11 @@ def stream_sessions(spark, folder):
     f"""WITH {EV}, g AS (SELECT *, CASE WHEN floor(epoch_us(ts) / 1000) - floor(epoch_us(lag(ts) OVER (PARTITION BY block_id ORDER BY pos)) / 1000) <= 43200000 THEN 0 ELSE 1 END AS new FROM ev),
   s AS (SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY pos) AS session FROM g)
   SELECT block_id, string_agg(CAST(event AS VARCHAR), ',' ORDER BY pos) AS sequence, count(*) AS events FROM s GROUP BY block_id, session
-  HAVING session < (SELECT max(session) FROM s z WHERE z.block_id = s.block_id)""",
+  HAVING session < (SELECT max(session) FROM s z WHERE z.block_id = s.block_id)
+    OR floor(epoch_us(max(ts)) / 1000) + 43200000 <= (SELECT floor(epoch_us(max(ts)) / 1000) - 600000 FROM events)""",
 )
 def stream_closed_sequences(spark, folder):
-    """Sessions that later events of the block closed (the last one may still wait for its timer)."""
+    """Sessions closed by a later event of the block or by the watermark; the newest ones stay open."""
     events = with_watermark(_stream_blocks(spark, folder), "10 minutes")
     rows = _drain(spark, stream_blocks.closed_sequences(events, 43200))
     return rows.select("block_id", joined("sequence").alias("sequence"), F.size("sequence").cast("bigint").alias("events"))

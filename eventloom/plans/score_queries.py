@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import evaluation, learners, nextevent, runs, scoring, sequences, splits, windows
 from eventloom.operators.features import block_features
-from eventloom.plans import inputs
+from eventloom.plans import flows, inputs
 from eventloom.plans.inputs import VOCAB, WINDOW
 from eventloom.plans.registry import CHOSEN, CURVE, EV, MODEL, SCORES, SPLIT, WINS, WSCORE, joined, query, rounded
 from eventloom.session import cut_lineage
@@ -433,3 +433,21 @@ def _repeat_last(batch):
     return np.eye(VOCAB)[batch]
 
 
+
+
+@query(
+    "strategy_metrics",
+    f"""WITH {WSCORE}, bs AS (SELECT block_id, is_anomaly AS y, split, max(nll_max) AS a, avg(nll_mean) AS b FROM ws JOIN sp USING (block_id) WHERE split <> 'train' GROUP BY ALL),
+  sc AS (SELECT block_id, y, split, 'nll_max' AS strategy, round(a, 9) AS score FROM bs UNION ALL SELECT block_id, y, split, 'nll_mean', round(b, 9) FROM bs),
+  v AS (SELECT strategy, score, sum(count(*)) OVER w AS p, sum(sum(y)) OVER w AS t, sum(sum(y)) OVER (PARTITION BY strategy) AS a FROM sc WHERE split = 'val'
+    GROUP BY strategy, score WINDOW w AS (PARTITION BY strategy ORDER BY score DESC)),
+  th AS (SELECT strategy, score AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY round(2.0 * t / (p + a), 12) DESC, score DESC) = 1)
+  SELECT strategy, split, round(threshold, 6) AS threshold, count(*) FILTER (y = 0 AND score < threshold) AS tn, count(*) FILTER (y = 0 AND score >= threshold) AS fp,
+    count(*) FILTER (y = 1 AND score < threshold) AS fn, count(*) FILTER (y = 1 AND score >= threshold) AS tp FROM sc JOIN th USING (strategy) GROUP BY ALL""",
+)
+def strategy_metrics(spark, folder):
+    """Thresholds from validation and confusion counts on both held-out splits, for two strategies."""
+    events = inputs.events(spark, folder)
+    labels = inputs.labels(events)
+    _, _, metrics, _ = flows.score_and_evaluate(events, labels, splits.split_blocks(labels), VOCAB, strategies=["nll_max", "nll_mean"])
+    return rounded(metrics.select("strategy", "split", "threshold", "tn", "fp", "fn", "tp"))

@@ -8,7 +8,7 @@ from eventloom.functions.text import anomaly_flag, list_items, list_numbers, str
 from eventloom.operators import evaluation, features, nextevent, profile, sequences, splits, templates, transitions, windows
 from eventloom.operators.ordered import describe
 from eventloom.plans import inputs
-from eventloom.plans.inputs import VOCAB, WINDOW
+from eventloom.plans.inputs import SMALL_LIMIT, VOCAB, WINDOW
 from eventloom.plans.registry import EV, LAB, MODEL, PAIR, SPLIT, joined, query, rounded
 
 QUARTERS = """count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min,
@@ -45,21 +45,21 @@ def build_sequences(spark, folder):
     return built.select("block_id", "chunk", joined("sequence").alias("sequence"))
 
 
+LARGE = """lb AS (
+  SELECT event_type AS block_id, user_id % 5 AS event, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos FROM events)"""
+
+
 @query(
     "sequences_chunked",
-    f"""WITH {EV} SELECT block_id, CAST(floor(pos / 16) AS BIGINT) AS chunk, string_agg(CAST(event AS VARCHAR), ',' ORDER BY pos) AS sequence
-  FROM ev GROUP BY ALL""",
+    f"""WITH {LARGE} SELECT block_id, CAST(floor(pos / 256) AS BIGINT) AS chunk, string_agg(CAST(event AS VARCHAR), ',' ORDER BY pos) AS sequence
+  FROM lb GROUP BY ALL""",
 )
 def sequences_chunked(spark, folder):
-    """The plan for blocks too large for one task, forced on every block of more than 32 events."""
-    built = sequences.build_sequences(inputs.events(spark, folder), size=16, limit=SMALL_LIMIT)
+    """Blocks too large for one task or one cell."""
+    built = sequences.build_sequences(inputs.large_blocks(spark, folder), size=256, limit=SMALL_LIMIT)
     return built.select("block_id", "chunk", joined("sequence").alias("sequence"))
 
 
-#: Group size that makes most blocks of the given tables count as large.
-SMALL_LIMIT = 32
-
-
 @query(
     "sequence_len_describe",
     f"WITH {EV}, n AS (SELECT count(*) AS v FROM ev GROUP BY block_id) SELECT {QUARTERS} FROM n".replace("round(min(v), 6)", "CAST(min(v) AS DOUBLE)").replace("round(max(v), 6)", "CAST(max(v) AS DOUBLE)"),
@@ -183,10 +183,14 @@ def transition_counts(spark, folder):
     return transitions.transition_counts(transitions.transition_pairs(inputs.events(spark, folder)))
 
 
-@query("transition_counts_large", f"WITH {EV}, {PAIR} SELECT prev, next, count(*) AS cnt FROM pr GROUP BY ALL")
+@query(
+    "transition_counts_large",
+    f"""WITH {LARGE} SELECT CAST(event AS INTEGER) AS prev, CAST(nxt AS INTEGER) AS next, count(*) AS cnt FROM (
+    SELECT event, lead(event) OVER (PARTITION BY block_id ORDER BY pos) AS nxt FROM lb) WHERE nxt IS NOT NULL GROUP BY ALL""",
+)
 def transition_counts_large(spark, folder):
-    """Transitions with the plan for large blocks."""
-    return transitions.transition_counts(transitions.transition_pairs(inputs.events(spark, folder), limit=SMALL_LIMIT))
+    """Transitions inside blocks too large for one task."""
+    return transitions.transition_counts(transitions.transition_pairs(inputs.large_blocks(spark, folder), limit=SMALL_LIMIT))
 
 
 @query("transition_top30", f"WITH {EV}, {PAIR} SELECT prev, next, count(*) AS cnt FROM pr GROUP BY ALL ORDER BY cnt DESC, prev, next LIMIT 30")
@@ -379,10 +383,16 @@ def windows_many_to_many(spark, folder):
     return made.select("block_id", "start", joined("window").alias("window"), joined("target").alias("target"))
 
 
-@query("windows_large_blocks", f'WITH {WINDOWED} SELECT block_id, start, "window", target FROM wd WHERE start % 3 = 0')
+@query(
+    "windows_large_blocks",
+    f"""WITH {LARGE} SELECT block_id, start, "window", target FROM (
+    SELECT block_id, pos AS start, string_agg(CAST(event AS VARCHAR), ',') OVER (PARTITION BY block_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS "window",
+      string_agg(CAST(event AS VARCHAR), ',') OVER (PARTITION BY block_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS target,
+      lead(event, 10) OVER (PARTITION BY block_id ORDER BY pos) AS nxt FROM lb) WHERE nxt IS NOT NULL AND start % 3 = 0""",
+)
 def windows_large_blocks(spark, folder):
-    """Windows across chunk borders, with the plan for large blocks."""
-    made = windows.make_windows(inputs.events(spark, folder), WINDOW, 3, size=16, limit=SMALL_LIMIT)
+    """Windows across chunk borders of blocks too large for one task."""
+    made = windows.make_windows(inputs.large_blocks(spark, folder), WINDOW, 3, size=256, limit=SMALL_LIMIT)
     return made.select("block_id", "start", joined("window").alias("window"), joined("target").alias("target"))
 
 
