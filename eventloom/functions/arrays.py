@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,26 +18,49 @@ def array_mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, array_sum(values) / F.size(values))
 
 
-def interval_stats(intervals: Column) -> Column:
-    """Struct of mean, max, population deviation, share of zeros and sum; zeros for an empty array."""
-    n = F.size(intervals)
-    mean = array_sum(intervals) / n
-    variance = F.aggregate(
-        intervals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean), lambda acc: acc / n
-    )
-    zeros = F.size(F.filter(intervals, lambda x: x == 0)) / n
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def guarded(value: Column) -> Column:
-        return F.when(n > 0, value).otherwise(F.lit(0.0))
 
-    return F.struct(
-        guarded(mean).alias("ti_mean"),
-        guarded(F.array_max(intervals)).alias("ti_max"),
-        guarded(F.sqrt(variance)).alias("ti_std"),
-        guarded(zeros).alias("ti_zeros"),
-        guarded(array_sum(intervals)).alias("ti_sum"),
+def interval_stats(intervals: Column) -> Column:
+    """Struct of mean, max, population deviation, share of zeros and sum; zeros for an empty array.
+
+    One pass with running moments: nothing inside the fold refers to another fold over the array.
+    """
+    start = F.struct(
+        F.lit(0.0).alias("n"),
+        F.lit(0.0).alias("mean"),
+        F.lit(0.0).alias("m2"),
+        F.lit(0.0).alias("top"),
+        F.lit(0.0).alias("zeros"),
+        F.lit(0.0).alias("total"),
     )
 
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(
+            n.alias("n"),
+            mean.alias("mean"),
+            (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"),
+            F.when(acc["n"] == 0, x).otherwise(F.greatest(acc["top"], x)).alias("top"),
+            (acc["zeros"] + F.when(x == 0, 1.0).otherwise(0.0)).alias("zeros"),
+            (acc["total"] + x).alias("total"),
+        )
+
+    def finish(acc: Column) -> Column:
+        n = F.greatest(acc["n"], F.lit(1.0))
+        return F.struct(
+            (acc["total"] / n).alias("ti_mean"),
+            acc["top"].alias("ti_max"),
+            F.sqrt(acc["m2"] / n).alias("ti_std"),
+            (acc["zeros"] / n).alias("ti_zeros"),
+            acc["total"].alias("ti_sum"),
+        )
+
+    return F.aggregate(intervals, start, step, finish)
+
 
 def log_softmax_nll(logits: Column, target: Column) -> Column:
     """Negative log-likelihood of event ``target`` (0-based) under the softmax of ``logits``."""

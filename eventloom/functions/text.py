@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.arrays import bind
+
 # Patterns and formats that must equal the ones the log corpus is read with.
 HEADER = r"^(.+?)\s+(.+?)\s+(.+?)\s+(.+?)\s+(.+?):\s+(.+?)$"
 HEADER_FIELDS = ("date", "time", "pid", "level", "component", "content")
@@ -80,13 +84,32 @@ def header_timestamp(date: Column, time: Column) -> Column:
     )
 
 
+# What a text must contain for a mask to apply, in the order of the masks: cheap tests that spare most lines
+# most of the patterns. Numbers are looked for always.
+_MASK_HINTS = (
+    lambda t: t.like("%:%:%:%"),
+    lambda t: t.like("%.%.%.%"),
+    lambda t: t.rlike("[0-9a-f]{6}"),
+    lambda t: t.rlike("[0-9A-F]{4} ?[0-9A-F]{4}"),
+    lambda t: t.contains("0x"),
+    None,
+    lambda t: t.contains("executed cmd "),
+)
+
+
 def mask(text: Column) -> Column:
     """Replace ids, addresses, hex runs, numbers and commands by marks, in this order."""
-    for pattern, mark in MASKS:
-        text = F.regexp_replace(text, pattern, mark)
+    for (pattern, mark), hint in zip(MASKS, _MASK_HINTS, strict=True):
+        text = _mask_where(text, pattern, mark, hint)
     return text
 
 
+def _mask_where(text: Column, pattern: str, mark: str, hint: Callable[[Column], Column] | None) -> Column:
+    if hint is None:
+        return F.regexp_replace(text, pattern, mark)
+    return bind(text, lambda t: F.when(hint(t), F.regexp_replace(t, pattern, mark)).otherwise(t))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace-separated tokens of ``text``."""
     return F.filter(F.split(text, rf"(?U){_SPACE}+"), lambda t: t != "")

@@ -11,7 +11,7 @@ from eventloom.functions.arrays import window_scores
 from eventloom.functions.checks import STRATEGIES, check_strategies, check_window
 from eventloom.operators.nextevent import NextEventModel, event_surprise
 from eventloom.operators.ordered import CHUNK_EVENTS, GROUP_ROWS, quantiles
-from eventloom.operators.windows import chunk_arrays, window_starts
+from eventloom.operators.windows import chunk_arrays, cut_windows, window_starts
 
 
 def window_surprise(
@@ -33,16 +33,25 @@ def window_surprise(
         raise ValueError("the model order must not exceed the window size")
     rows = event_surprise(events, model, top_k, limit)
     chunks = chunk_arrays(rows, ["nll", "miss"], window - order, size)
-    started = chunks.select(
-        "block_id", "base", "items", F.explode(window_starts(stride, window - order + 1, size)).alias("start")
+    # values with full context, which every window position but the first ones uses
+    chunks = chunks.withColumns(
+        {
+            "_nll": F.transform("items", lambda x: F.element_at(x["nll"], order)),
+            "_miss": F.transform("items", lambda x: F.element_at(x["miss"], order)),
+        }
     )
-    at = (F.col("start") - F.col("base") + 1).cast("int")
-    head, tail = F.element_at("items", at), F.slice("items", at + 1, window - order)
 
-    def positions_of(name: str) -> Column:
-        return F.concat(head[name], F.transform(tail, lambda x: F.element_at(x[name], order)))
+    def cut(start: Column) -> Column:
+        at = (start - F.col("base") + 1).cast("int")
 
-    return started.select("block_id", "start", positions_of("nll").alias("nll"), positions_of("miss").alias("miss"))
+        def positions_of(name: str) -> Column:
+            if order == 1:
+                return F.slice(f"_{name}", at, window)
+            return F.concat(F.element_at("items", at)[name], F.slice(f"_{name}", at + 1, window - order))
+
+        return F.struct(start.alias("start"), positions_of("nll").alias("nll"), positions_of("miss").alias("miss"))
+
+    return cut_windows(chunks, window_starts(stride, window - order + 1, size), cut)
 
 
 def score_windows(surprise: DataFrame, strategies: Sequence[str] = STRATEGIES) -> DataFrame:

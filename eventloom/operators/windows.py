@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +43,18 @@ def make_windows(
     numbered = positions(events.select("block_id", "event", *order), ["block_id"], order, limit=limit)
     chunks = chunk_arrays(numbered, ["event"], window, size)
     chunks = chunks.withColumn("items", F.transform("items", lambda x: x["event"]))
-    started = chunks.select("block_id", "base", "items", F.explode(window_starts(stride, window + 1, size)).alias("start"))
-    at = (F.col("start") - F.col("base") + 1).cast("int")
-    if mode == "one_step":
-        target = F.element_at("items", at + window)
-    else:
-        target = F.slice("items", at + 1, window)
-    return started.select("block_id", "start", F.slice("items", at, window).alias("window"), target.alias("target"))
+
+    def cut(start: Column) -> Column:
+        at = (start - F.col("base") + 1).cast("int")
+        target = F.element_at("items", at + window) if mode == "one_step" else F.slice("items", at + 1, window)
+        return F.struct(start.alias("start"), F.slice("items", at, window).alias("window"), target.alias("target"))
+
+    return cut_windows(chunks, window_starts(stride, window + 1, size), cut)
+
+
+def cut_windows(chunks: DataFrame, starts: Column, cut: Callable[[Column], Column]) -> DataFrame:
+    """One row per start. Windows are cut inside the chunk row, so exploding never copies whole chunks."""
+    return chunks.select("block_id", F.explode(F.transform(starts, cut)).alias("_w")).select("block_id", "_w.*")
 
 
 def windows_of_sequences(sequences: DataFrame, window: int, stride: int = 1, mode: str = "many_to_many") -> DataFrame:

@@ -119,10 +119,14 @@ def template_mining(spark, folder):
 )
 def template_match(spark, folder):
     """One mined template is left out, so that its lines find no match and become unknown."""
-    parsed = _parsed(spark, folder)
-    mined = cut_lineage(templates.mine_templates(parsed))
+    # parsed and masked once, then mined and matched
+    worded = cut_lineage(
+        _parsed(spark, folder).select(
+            F.col("event_id").alias("line_id"), "timestamp", "line_key", templates.masked_tokens(F.col("content")).alias("tokens")
+        )
+    )
+    mined = cut_lineage(templates.mine_templates(worded, words="tokens"))
     kept = mined.filter(F.col("event_id") < 4)
-    worded = parsed.withColumnRenamed("event_id", "line_id").withColumn("tokens", templates.masked_tokens(F.col("content")))
     matched = templates.match_templates(worded, kept)
     vocabulary = kept.select(F.col("event_id").cast("string").alias("label"), "event_id").unionByName(
         kept.agg(F.lit("unknown").alias("label"), F.count(F.lit(1)).cast("int").alias("event_id"))
