@@ -222,7 +222,8 @@ def hash_rank(df: DataFrame, keys: Sequence[str], id_col: str, seed: int) -> Dat
     the offsets. Needs few distinct groups: the count table then has a fixed upper size.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col))))
-    hashed = hashed.withColumn("_bucket", F.substring("_h", 1, 4))
+    # never null, or the join below would push a hash test of every input row down to the scan
+    hashed = hashed.withColumn("_bucket", F.coalesce(F.substring("_h", 1, 4), F.lit("")))
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

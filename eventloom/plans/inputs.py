@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.operators.ordered import positions
+from eventloom.sources.logs import spread
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 VOCAB = len(EVENT_TYPES)
@@ -65,7 +66,7 @@ def _props(df: DataFrame) -> Column:
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events written as raw log lines: (line, file, split_start, row_in_split, event_id, user_id)."""
-    raw = table(spark, folder, "events")
+    raw = spread(table(spark, folder, "events"))
     block, k = F.concat(F.lit("blk_"), F.col("user_id").cast("string")), _props(raw).cast("string")
     size = (F.col("event_id") * 7 % 65536).cast("string")
     text = (

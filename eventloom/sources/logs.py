@@ -25,6 +25,15 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the scan has fewer splits than there are, as with few gzip files.
+
+    A scan of many splits is returned as it is. Line order is kept by its columns.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def read_block_labels(spark: SparkSession, path: str) -> DataFrame:
     """Block labels with ``is_anomaly``."""
     raw = spark.read.schema(schemas.BLOCK_LABEL).csv(path, header=True, enforceSchema=False)
