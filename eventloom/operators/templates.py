@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from eventloom.functions.text import mask, tokens
 from eventloom.operators.ordered import GROUP_ROWS, broadcast_if_small
+from eventloom.session import cut_lineage
 
 # Settings of the template miner.
 WILDCARD = "<*>"
@@ -18,7 +19,7 @@ SIMILARITY = 0.4
 LEADING_TOKENS = 1
 MAX_CLUSTERS = 1024
 
-TEMPLATE_DDL = "leaf STRING, template ARRAY<STRING>, first_key STRING, messages BIGINT, parts BIGINT"
+TEMPLATE_DDL = "leaf STRING, template ARRAY<STRING>, first_key STRING, messages BIGINT"
 
 
 def masked_tokens(content: Column) -> Column:
@@ -62,7 +63,6 @@ def _generalise(leaf: pd.DataFrame, similarity: float) -> pd.DataFrame:
                     "template": words,
                     "first_key": row.first_key,
                     "messages": row.messages,
-                    "parts": row.parts,
                 }
             )
     return pd.DataFrame(found)
@@ -80,9 +80,9 @@ def mine_templates(
     """Mine templates: ``event_id`` (dense, first seen first), ``template``, ``messages``.
 
     Equal masked messages are first counted together, so work after the first shuffle follows the number
-    of distinct messages. Leaves are independent. A leaf with more than ``leaf_rows`` distinct messages is
-    cut by message hash, mined in parts, and the part templates are folded once more. ``words`` names a
-    column of masked tokens, for when they exist already.
+    of distinct messages. Leaves are independent, and messages of a leaf are folded in order. While a leaf has
+    more than ``leaf_rows`` distinct messages it is cut by message hash and mined in parts, and the parts'
+    templates take the place of its messages. ``words`` names a column of masked tokens, if they exist already.
     """
     keyed = messages.select(
         (F.col(words) if words else masked_tokens(F.col(content))).alias("template"),
@@ -92,20 +92,28 @@ def mine_templates(
         F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages"), F.max(F.size("template")).alias("_words")
     )
     distinct = distinct.filter(F.col("_words") > 0).drop("_words")
-    distinct = distinct.withColumn("leaf", _leaf(F.col("template")))
-    sizes = distinct.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).alias("parts"))
-    salted = distinct.join(sizes, "leaf").withColumn(
-        "_part", F.pmod(F.xxhash64(F.array_join("template", " ")), F.col("parts"))
-    )
+    # read by every step below; its size is the number of distinct messages
+    found = cut_lineage(distinct.withColumn("leaf", _leaf(F.col("template"))))
 
     def fold(leaf: pd.DataFrame) -> pd.DataFrame:
         return _generalise(leaf, similarity)
 
-    def fold_parts(leaf: pd.DataFrame) -> pd.DataFrame:
-        return leaf if leaf["parts"].iloc[0] == 1 else _generalise(leaf, similarity)
-
-    parts = salted.groupBy("leaf", "_part").applyInPandas(fold, TEMPLATE_DDL)
-    merged = parts.groupBy("leaf").applyInPandas(fold_parts, TEMPLATE_DDL)
+    merged = None
+    while merged is None:
+        sizes = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))
+        row = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("all")).first()
+        if (row["largest"] or 0) <= leaf_rows:
+            merged = found.groupBy("leaf").applyInPandas(fold, TEMPLATE_DDL)
+            break
+        parts = found.join(sizes.withColumn("_parts", F.ceil(F.col("_n") / leaf_rows)), "leaf").withColumn(
+            "_part", F.pmod(F.xxhash64(F.array_join("template", " ")), F.col("_parts"))
+        )
+        folded = parts.groupBy("leaf", "_part").applyInPandas(fold, TEMPLATE_DDL)
+        # parts of one leaf mostly find the same templates
+        folded = folded.groupBy("leaf", "template").agg(F.min("first_key").alias("first_key"), F.sum("messages").alias("messages"))
+        found = cut_lineage(folded)
+        if found.count() >= row["all"]:
+            raise ValueError(f"a leaf keeps more than {leaf_rows} templates: mask more or lower the similarity")
     numbered = merged.withColumn("event_id", F.row_number().over(Window.orderBy("first_key", "leaf")) - 1)
     checked = F.when(F.col("event_id") < max_clusters, F.col("event_id")).otherwise(
         F.raise_error(F.lit(f"more than {max_clusters} templates: mask more or raise the limit")).cast("int")
