@@ -166,13 +166,18 @@ def quantiles(
     value: str,
     probabilities: Mapping[str, float],
     limit: int = GROUP_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation, one column per entry of ``probabilities``.
 
+    With ``weight``, a row stands for that many equal ones.
+
     Equal values are counted before the shuffle; the two neighbouring order statistics are then found from
     running counts, so no group is ever gathered in one buffer. Nulls are ignored.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n")
+    )
     cumulated = running(counted, keys, [value], {"_upto": ("sum", F.col("_n"))}, totals=True, limit=limit)
     aggregates = []
     for name, p in probabilities.items():

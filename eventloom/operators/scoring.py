@@ -12,6 +12,7 @@ from eventloom.functions.checks import STRATEGIES, check_strategies, check_windo
 from eventloom.operators.nextevent import NextEventModel, event_surprise
 from eventloom.operators.ordered import CHUNK_EVENTS, GROUP_ROWS, quantiles
 from eventloom.operators.windows import chunk_arrays, cut_windows, window_starts
+from eventloom.session import cut_lineage
 
 
 def window_surprise(
@@ -93,11 +94,13 @@ def score_blocks(
         )
         parts.append(per_block.select("block_id", "num_windows", F.explode(rows).alias("r")).select("block_id", "num_windows", "r.*"))
     if "nll_p95" in strategies:
+        # equal positions are counted once and stored: the scoring above it is then not repeated
         places = surprise.select("block_id", F.size("nll").alias("_w"), F.explode("nll").alias("value"))
-        top = places.groupBy("block_id").agg(
-            F.max("value").alias("window_score_max"), (F.count(F.lit(1)) / F.max("_w")).cast("bigint").alias("num_windows")
+        counted = cut_lineage(places.groupBy("block_id", "_w", "value").agg(F.count(F.lit(1)).alias("n")))
+        top = counted.groupBy("block_id").agg(
+            F.max("value").alias("window_score_max"), (F.sum("n") / F.max("_w")).cast("bigint").alias("num_windows")
         )
-        p95 = quantiles(places, ["block_id"], "value", {"score": 0.95}, limit)
+        p95 = quantiles(counted, ["block_id"], "value", {"score": 0.95}, limit, weight="n")
         parts.append(
             top.join(p95, "block_id").select(
                 "block_id", "num_windows", F.lit("nll_p95").alias("strategy"), "score", "window_score_max"
