@@ -15,9 +15,12 @@ from eventloom.operators.scoring import score_blocks, score_windows, window_surp
 from eventloom.operators.templates import masked_tokens, match_templates
 from eventloom.session import cut_lineage
 
-# Outcome codes and text stored for requests that could not be scored.
+# Outcome codes, the text stored for requests that could not be scored, and the reasons.
 OK, UNPROCESSABLE = 200, 422
 FAILURE_MESSAGE = "model couldn't process data"
+NO_SEQUENCE = "no valid block sequences parsed from log lines"
+NOT_FOUND = "block_id '%s' was not found in parsed log lines"
+TOO_SHORT = "not enough events for inference: got %s, need more than %s"
 MIN_SEQUENCE = 2
 #: Offset up to which a page is taken by sort and skip.
 SKIP_ROWS = 100_000
@@ -194,13 +197,11 @@ def score_requests(requests: DataFrame, scorer: Scorer, limit: int = GROUP_ROWS)
         .join(window_lists, "request_id", "left")
     )
     scored = F.col("score").isNotNull()
+    short = F.format_string(TOO_SHORT, F.col("num_events").cast("string"), F.lit(str(scorer.window)))
     reason = (
-        F.when(F.col("_parsed").isNull(), F.lit("no valid block sequences parsed from log lines"))
-        .when(F.col("num_events").isNull(), F.concat(F.lit("block_id '"), "block_id", F.lit("' was not found in parsed log lines")))
-        .when(
-            ~scored,
-            F.concat(F.lit("not enough events for inference: got "), F.col("num_events").cast("string"), F.lit(f", need more than {scorer.window}")),
-        )
+        F.when(F.col("_parsed").isNull(), F.lit(NO_SEQUENCE))
+        .when(F.col("num_events").isNull(), F.format_string(NOT_FOUND, "block_id"))
+        .when(~scored, short)
     )
     return joined.select(
         "request_id",
