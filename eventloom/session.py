@@ -52,11 +52,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so that later passes re-read instead of recompute."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once as Parquet and read it back.
+
+    Later passes read columns instead of recomputing, and a task that is run again after an executor
+    was lost sees the same rows. ``drop_stored`` removes the files of a session.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` and ``fresh_dir`` of this application have left; frames read from it become invalid."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused sub-folder of the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
