@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import pieces, sharding
+from eventloom.llm import decontam, lines, pieces, sharding
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -27,6 +27,33 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (
+  SELECT doc_id, pos, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+j AS (SELECT k.*, coalesce(k.doc_id <> f.first, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+
+@query("op5_line_dedup", _LINES_SQL)
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier document holds."""
+    return lines.dedup_lines(table(spark, folder, "documents"), "digest")
+
+
+@query("op9_benchmark_leaks")
+def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that holds a benchmark item within the edit budget, with the item."""
+    return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 SHARDS = 24
 
 _SHARDING_SQL = """
