@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontam, lines, pieces, sharding
+from eventloom.llm import chat, decontam, lines, pieces, sharding, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -27,6 +27,97 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return add
 
 
+_CHAT_SQL = """
+WITH r AS (
+  SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT conv_id, turns, len(turns) - list_position(list_reverse(list_transform(turns, lambda x: x.role)), 'assistant') + 1 AS last
+  FROM (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns FROM r GROUP BY conv_id)
+  WHERE list_contains(list_transform(turns, lambda x: x.role), 'assistant')),
+p AS (
+  SELECT a.conv_id, a.turns AS chosen, list_append(a.turns[1:a.last - 1], b.turns[b.last]) AS rejected
+  FROM t a JOIN t b ON b.conv_id = xor(a.conv_id, 1)),
+n AS (
+  SELECT *, coalesce(nullif(list_position(list_transform(range(1, greatest(len(chosen), len(rejected)) + 1),
+      lambda i: chosen[i] IS NOT DISTINCT FROM rejected[i]), false), 0) - 1, len(chosen)) AS n FROM p),
+e AS (
+  SELECT conv_id, CAST(n AS INTEGER) AS prompt_turns, chosen[1:n] AS pr, chosen[n + 1:] AS ch, rejected[n + 1:] AS re FROM n)
+SELECT conv_id, prompt_turns,
+  coalesce(array_to_string(list_transform(pr, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(ch, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS chosen_text,
+  coalesce(array_to_string(list_transform(re, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS rejected_text,
+  coalesce(array_to_string(list_transform(ch, lambda x: CASE WHEN x.role = 'assistant' THEN (length(x.role) + 5) || ',' || (length(x.text) + 8)
+    ELSE (length(x.role) + length(x.text) + 13) || ',0' END), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(re, lambda x: CASE WHEN x.role = 'assistant' THEN (length(x.role) + 5) || ',' || (length(x.text) + 8)
+    ELSE (length(x.role) + length(x.text) + 13) || ',0' END), ','), '') AS rejected_mask,
+  CAST(coalesce(list_sum(list_transform(ch, lambda x: CASE WHEN x.role = 'assistant' THEN length(x.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(list_sum(list_transform(re, lambda x: CASE WHEN x.role = 'assistant' THEN length(x.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS rejected_trained
+FROM e"""
+
+
+@query("op1_preference_pairs", _CHAT_SQL)
+def op1_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation against itself with the answer of its partner, as prompt and masked completions."""
+    return chat.format_pairs(chat.swapped_answers(table(spark, folder, "conversations")))
+
+
+def _entities(text: str) -> str:
+    """The SQL of the named references."""
+    for name, char in warc.ENTITIES:
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{name}', '{quoted}')"
+    return f"""replace(list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '{warc.NUMBER_PATTERN}'))),
+      lambda a, r: CASE WHEN CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER) BETWEEN 1 AND 55295 OR CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER) BETWEEN 57344 AND 65535
+        THEN replace(a, r, chr(CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER))) ELSE a END), '&amp;', '&')"""
+
+
+def _one_line(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[ \t\r\n\f\x{{0B}}]+', ' ', 'g'), ' ')"
+
+
+def _uuid(seed: str) -> str:
+    h = f"md5({seed})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+CRAWL_DATE = "2024-01-01T00:00:00Z"
+
+_WARC_SQL = f"""
+WITH s AS (
+  SELECT page_id AS key, coalesce(url, '') AS uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS pd FROM pages),
+i AS (
+  SELECT *, {_uuid("'response|' || coalesce(CAST(key AS VARCHAR), '') || '|' || uri || '|' || pd")} AS rid,
+    regexp_replace(regexp_replace(regexp_replace(payload, '{warc.HIDDEN_PATTERN}', '', 'g'), '{warc.BREAK_PATTERN}', chr(10), 'g'), '{warc.TAG_PATTERN}', '', 'g') AS bare,
+    regexp_extract(payload, '{warc.TITLE_PATTERN}', 1) AS title,
+    regexp_extract_all(payload, '{warc.LINK_PATTERN}', 1) AS links FROM s),
+x AS (
+  SELECT *, trim(regexp_replace(regexp_replace({_entities("bare")}, '{warc.BLANK_PATTERN}', ' ', 'g'), '{warc.LINES_PATTERN}', chr(10), 'g'), ' ' || chr(10)) AS text FROM i),
+b AS (
+  SELECT key, uri, pd, rid, 'conversion' AS kind, 'text/plain; charset=utf-8' AS type, text AS block FROM x
+  UNION ALL
+  SELECT key, uri, pd, rid, 'metadata', 'application/warc-fields',
+    'title: ' || {_one_line(_entities("title"))} || E'\r\ntext-bytes: ' || strlen(text) || E'\r\n'
+    || coalesce(array_to_string(list_transform(links, lambda u: 'outlink: ' || {_one_line(_entities("u"))} || E'\r\n'), ''), '')
+    || E'source-http-header: HTTP/1.1 200 OK\r\nsource-http-header: Content-Type: text/html; charset=utf-8\r\n'
+    || 'source-http-header: Content-Length: ' || strlen(payload) || E'\r\nsource-payload-digest: ' || pd || E'\r\n' FROM x),
+o AS (SELECT *, 'sha256:' || sha256(block) AS bd FROM b),
+u AS (SELECT *, {_uuid("kind || '|' || rid || '|' || bd")} AS own FROM o)
+SELECT key, kind AS record_type, own AS record_id, rid AS refers_to, pd AS source_payload_digest, bd AS block_digest,
+  CAST(strlen(block) AS BIGINT) AS content_length,
+  E'WARC/1.1\r\nWARC-Type: ' || kind || E'\r\nWARC-Record-ID: ' || own || E'\r\nWARC-Refers-To: ' || rid
+  || E'\r\nWARC-Target-URI: ' || {_one_line("uri")} || E'\r\nWARC-Date: {CRAWL_DATE}\r\nWARC-Block-Digest: ' || bd
+  || E'\r\nContent-Type: ' || type || E'\r\nContent-Length: ' || strlen(block) || E'\r\n' AS header,
+  block
+FROM u"""
+
+
+@query("op4_warc_derivatives", _WARC_SQL)
+def op4_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata and the conversion record of every page."""
+    return warc.derive(warc.responses(table(spark, folder, "pages"), CRAWL_DATE))
+
+
 _LINES_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
