@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, lines, pieces, sharding, warc
+from eventloom.llm import chat, decontam, lines, pieces, sharding, simhash, topk, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -62,6 +63,30 @@ def op1_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_pairs(chat.swapped_answers(table(spark, folder, "conversations")))
 
 
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * d.x[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@query("op2_block_topk", _TOPK_SQL)
+def op2_block_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """For every 50th vector the five best others by integer inner product."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("terms"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query("op3_golay_simhash")
+def op3_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every document and the smallest document it is linked to."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def _entities(text: str) -> str:
     """The SQL of the named references."""
     for name, char in warc.ENTITIES:
