@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, lines, pieces, sharding, simhash, topk, warc
+from eventloom.llm import chat, decontam, lines, pieces, sharding, simhash, topk, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -170,6 +170,19 @@ def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+TOXICITY_FOLDS = 5
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, by a model that has seen no label of the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit_labelled(docs, labels.where(toxicity.fold(F.col("doc_id"), TOXICITY_FOLDS) != 0))
+    held_out = (toxicity.fold(F.col("doc_id"), TOXICITY_FOLDS) == 0).alias("held_out")
+    scored = toxicity.score_documents(docs, model, F.col("doc_id"), held_out)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 SHARDS = 24
 
 _SHARDING_SQL = """
