@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 #: Distinct chunks that a task keeps; the table starts anew beyond, which only costs time.
 TABLE_CHUNKS = 400_000
+#: Chunks that are segmented in one call.
+JOINED_CHUNKS = 4096
 #: Characters after which a group of texts is put together.
 GROUP_CHARS = 2_000_000
 
@@ -33,6 +36,12 @@ class ChunkTable:
     def __init__(self, processor, limit: int = TABLE_CHUNKS):
         self.processor = processor
         self.limit = limit
+        size = processor.get_piece_size()
+        names = [processor.id_to_piece(i) for i in range(size)]
+        self.opens = np.array([n.startswith(MARK) for n in names])
+        odd = [processor.is_byte(i) or processor.is_unknown(i) or processor.is_control(i) for i in range(size)]
+        #: characters that a piece stands for; what doesn't stand for its own characters is out of all proportion
+        self.chars = np.array([1 << 40 if x else len(n) for n, x in zip(names, odd, strict=True)], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -40,26 +49,44 @@ class ChunkTable:
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.decoded: list[bytes | None] = []  # None: the chunk itself, with a space for the first marker
-
-    def add(self, chunks: list[str]) -> None:
-        new = list(dict.fromkeys(c for c in chunks if c not in self.index))
-        if not new:
-            return
-        # the library puts a marker before each text it encodes; the empty chunk is a lone marker
-        ids = self.processor.encode([c for c in new if c], num_threads=1)
-        each = iter(ids)
+        self.decoded: dict[int, bytes] = {}  # of chunks that don't decode to themselves, with a space for the first marker
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths), one call for each chunk; the library puts a marker before each text it encodes."""
         lone = self.processor.piece_to_id(MARK)
-        ids = [next(each) if c else [lone] for c in new]
-        back = self.processor.decode(ids, num_threads=1)
-        base = len(self.index)
-        self.index.update((c, base + i) for i, c in enumerate(new))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, flat])
-        self.decoded += [None if b == c else b"\x20" + b.encode() for c, b in zip(new, back, strict=True)]
+        ids = [self.processor.encode(c) if c else [lone] for c in chunks]
+        return np.array([x for row in ids for x in row], np.uint32), np.array([len(row) for row in ids], np.int64)
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks without a marker inside, in one call: a piece with a marker opens the next chunk."""
+        ids = np.array(self.processor.encode(" ".join(chunks)), np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(chunks) or (len(ids) and starts[0]):
+            return self._each(chunks)
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def add(self, chunks: Iterable[str]) -> None:
+        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
+        single = [c for c in new if c and MARK not in c]
+        special = [c for c in new if not c or MARK in c]
+        parts = [(single[i : i + JOINED_CHUNKS], self._joined) for i in range(0, len(single), JOINED_CHUNKS)] + [(special, self._each)]
+        flats, counts = [self.flat], [self.lengths]
+        for part, encode_part in parts:
+            if not part:
+                continue
+            ids, lengths = encode_part(part)
+            starts = np.cumsum(lengths) - lengths
+            whole = np.add.reduceat(self.chars[ids], starts) == np.fromiter(map(len, part), np.int64, len(part)) + 1
+            base = len(self.index)
+            self.index.update(zip(part, range(base, base + len(part)), strict=True))
+            for i in np.flatnonzero(~whole).tolist():
+                back = self.processor.decode(ids[starts[i] : starts[i] + lengths[i]].tolist())
+                if back != part[i]:
+                    self.decoded[base + i] = b" " + back.encode()
+            flats.append(ids)
+            counts.append(lengths)
+        self.flat, self.lengths = np.concatenate(flats), np.concatenate(counts)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
 
 def cut(text: str) -> list[str]:
@@ -84,27 +111,26 @@ def encode_texts(texts: list[str], table: ChunkTable) -> Iterator[tuple[np.ndarr
     cuts = [cut(t) for t in texts]
     if len(table.index) > table.limit:
         table.clear()
-    for chunks in cuts:
-        table.add(chunks)
-    index = table.index
+    table.add(chain.from_iterable(cuts))
     counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
-    where = np.fromiter((index[c] for chunks in cuts for c in chunks), np.int64, int(counts.sum()))
+    where = np.fromiter(map(table.index.__getitem__, chain.from_iterable(cuts)), np.int64, int(counts.sum()))
     lengths = table.lengths[where]
     ids = gather(table.flat, table.starts[where], lengths)
     at = np.concatenate([[0], np.cumsum(lengths)])
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    odd = np.fromiter((d is not None for d in table.decoded), bool, len(table.decoded))[where]
+    odd = np.isin(where, list(table.decoded)) if table.decoded else np.zeros(len(where), bool)
     odd_before = np.concatenate([[0], np.cumsum(odd)])
     for i, text in enumerate(texts):
         a, b = bounds[i], bounds[i + 1]
+        first, last = at[a], at[b]
         if odd_before[a] == odd_before[b]:
             # markers decode to spaces, and the one before the first chunk is dropped again
             plain = text.replace(MARK, " ").encode()
         else:
             known = table.decoded
-            parts = [known[w] if known[w] is not None else b"\x20" + c.encode() for w, c in zip(where[a:b], cuts[i], strict=True)]
+            parts = [known[w] if w in known else b" " + c.replace(MARK, " ").encode() for w, c in zip(where[a:b].tolist(), cuts[i], strict=True)]
             plain = b"".join(parts)[1:]
-        yield ids[at[a] : at[b]], plain
+        yield ids[first:last], plain
 
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
