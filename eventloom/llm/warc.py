@@ -18,13 +18,14 @@ BREAKS = "address article aside blockquote body br dd div dl dt fieldset figure
 #: Named character references that are resolved, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"))
 
-HIDDEN_PATTERN = "(?is)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in HIDDEN)
+HIDDEN_PATTERN = "(?is)<(?:!--.*?-->|" + "|".join(rf"{n}\b[^>]*>.*?</{n}\s*>" for n in HIDDEN) + ")"
 BREAK_PATTERN = rf"(?i)</?(?:{'|'.join(BREAKS.split())})\b[^>]*>"
 TAG_PATTERN = r"</?[a-zA-Z!?][^>]*>"
 NUMBER_PATTERN = r"&#([0-9]{1,6});"
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title\s*>"
 LINK_PATTERN = r'(?i)<a\s[^>]*?href="([^"]*)"'
-BLANK_PATTERN = r"[ \t\r\f\x{0B}]+"
+#: Blanks that are not one space already.
+BLANK_PATTERN = r" ?[\t\r\f\x{0B}][ \t\r\f\x{0B}]*|  [ \t\r\f\x{0B}]*"
 LINES_PATTERN = r" ?\n[ \n]*"
 
 
@@ -51,22 +52,40 @@ def _numbers(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), F.aggregate(refs, text, resolve)).otherwise(text)
 
 
-def _resolved(text: Column) -> Column:
+def _named(text: Column) -> Column:
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.replace(_numbers(text), F.lit("&amp;"), F.lit("&"))
+    return text
+
+
+def _resolved(text: Column) -> Column:
+    return F.replace(_numbers(_named(text)), F.lit("&amp;"), F.lit("&"))
+
+
+def _bare(html: Column) -> Column:
+    shown = F.regexp_replace(html, HIDDEN_PATTERN, "")
+    lined = F.regexp_replace(shown, BREAK_PATTERN, "\n")
+    return F.regexp_replace(lined, TAG_PATTERN, "")
 
 
 def _tidy(text: Column) -> Column:
-    one = F.regexp_replace(text, BLANK_PATTERN, " ")
+    one = F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), BLANK_PATTERN, " ")
     return F.btrim(F.regexp_replace(one, LINES_PATTERN, "\n"), F.lit(" \n"))
 
 
+#: Readable text of a page: hidden elements and tags go, block elements end lines, references are resolved, blanks are merged.
+TEXT_STEPS = (_bare, _named, _numbers, _tidy)
+
+
 def plain_text(html: Column) -> Column:
-    """Readable text of a page: hidden elements and tags go, block elements end lines, references are resolved."""
-    shown = F.regexp_replace(html, HIDDEN_PATTERN, "")
-    lined = F.regexp_replace(shown, BREAK_PATTERN, "\n")
-    return _tidy(_resolved(F.regexp_replace(lined, TAG_PATTERN, "")))
+    for step in TEXT_STEPS:
+        html = step(html)
+    return html
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once however often it is used: the optimizer merges projections, not this."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def one_line(text: Column) -> Column:
@@ -80,7 +99,7 @@ def responses(pages: DataFrame, date: str) -> DataFrame:
     """
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     parts = pages.select(F.col("page_id").alias("key"), url.alias("target_uri"), html.alias("payload"))
-    known = parts.withColumn("payload_digest", F.explode(F.array(digest(F.col("payload")))))
+    known = once(parts, "payload_digest", digest(F.col("payload")))
     status = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload"), F.lit(CRLF))
     seed = F.concat_ws("|", F.lit("response"), F.coalesce(F.col("key").cast("string"), F.lit("")), "target_uri", "payload_digest")
     return known.select("key", record_id(seed).alias("record_id"), "target_uri", F.lit(date).alias("date"), status.alias("http_header"), "payload", "payload_digest")
@@ -107,8 +126,9 @@ def derive(source: DataFrame) -> DataFrame:
     links in order of the page (repeats included), and the source's HTTP header and payload digest. An empty page
     has an empty conversion block.
     """
-    # each explode keeps what is before it from being computed again for every later use
-    read = source.withColumn("_text", F.explode(F.array(plain_text(F.col("payload")))))
+    read = source.select("key", "record_id", "target_uri", "date", "http_header", "payload", "payload_digest", F.col("payload").alias("_text"))
+    for step in TEXT_STEPS:
+        read = once(read, "_text", step(F.col("_text")))
     title = one_line(_resolved(F.regexp_extract("payload", TITLE_PATTERN, 1)))
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK_PATTERN), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(_resolved(x)), F.lit(CRLF)))
     sources = F.transform(
@@ -118,7 +138,8 @@ def derive(source: DataFrame) -> DataFrame:
         F.lit("title: "), title, F.lit(f"{CRLF}text-bytes: "), F.octet_length("_text"), F.lit(CRLF), F.array_join(links, ""),
         F.array_join(sources, ""), F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit(CRLF),
     )
-    kinds = [("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", F.col("_text"))]
+    read = once(read, "_fields", fields)
+    kinds = [("metadata", "application/warc-fields", F.col("_fields")), ("conversion", "text/plain; charset=utf-8", F.col("_text"))]
     both = read.select(
         "key", "record_id", "target_uri", "date", "payload_digest",
         F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("type"), b.alias("block"), digest(b).alias("digest")) for k, t, b in kinds])).alias("r"),
