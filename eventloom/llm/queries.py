@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, lines, pieces, sharding, simhash, topk, toxicity, warc
+from eventloom.llm import chat, decontam, lines, mixing, pieces, sharding, simhash, topk, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -170,6 +170,12 @@ def op9_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op6_context_mixing")
+def op6_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The log10 probability of every document, learned from those outside the held-out fold."""
+    return mixing.score_documents(table(spark, folder, "documents"), toxicity.fold(F.col("doc_id"), 7) == 2)
+
+
 TOXICITY_FOLDS = 5
 
 

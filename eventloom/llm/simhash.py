@@ -38,6 +38,10 @@ GENERATOR = 0b110001110101
 CODE_BITS, CHECK_BITS = 23, 11
 #: Bytes of text that are fingerprinted at once, fingerprints whose keys are made at once.
 TEXT_BYTES, KEYED = 1 << 20, 4096
+#: Shingles of a passage on average; hashes that a sketch holds at most.
+PASSAGE, SKETCH = 16, 512
+#: Share of the passages of the longer text that a candidate pair has in common, and of shingles that a pair must.
+COMMON_PASSAGES, SIMILARITY = 0.2, 0.8
 #: Fingerprints of one key that one task links at once.
 HOT = 50_000
 #: Keys of at most so many fingerprints are compared all at once.
@@ -94,8 +98,16 @@ def _pieces(text: bytes, k: int) -> Iterator[bytes]:
         at = cut.start()
 
 
-def bit_counts(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(how many shingle hashes of each text have each bit, how many hashes it has)."""
+def _majority(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Fingerprints as signed integers: a bit is set where over half of the hashes have it."""
+    return np.packbits((2 * ones > total[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def bit_counts(texts: list[bytes], k: int, parts_of: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(how many shingle hashes of each text have each bit, how many hashes it has).
+
+    ``parts_of`` gathers (texts, fingerprints of their passages, texts, hashes); a passage ends at a shingle whose hash says so.
+    """
     ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     parts: list[bytes] = []
     owners: list[int] = []
@@ -108,9 +120,17 @@ def bit_counts(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(hashes):
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            owner = np.array(owners)[part[starts]]
-            np.add.at(ones, owner, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
-            np.add.at(total, owner, np.diff(np.append(starts, len(hashes))))
+            owner = np.array(owners)[part]
+            if parts_of is None:
+                sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            else:
+                ends = (hashes >> np.uint64(20)) % np.uint64(PASSAGE) == 0
+                cuts = np.union1d(starts, np.flatnonzero(ends[:-1]) + 1)
+                passages = np.add.reduceat(bits, cuts, axis=0, dtype=np.int32)
+                parts_of.append((owner[cuts], _majority(passages, np.diff(np.append(cuts, len(hashes)))), owner, hashes))
+                sums = np.add.reduceat(passages, np.searchsorted(cuts, starts), axis=0)
+            np.add.at(ones, owner[starts], sums)
+            np.add.at(total, owner[starts], np.diff(np.append(starts, len(hashes))))
         parts.clear()
         owners.clear()
 
@@ -129,9 +149,44 @@ def bit_counts(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint_texts(texts: list[bytes], k: int) -> np.ndarray:
     """64-bit fingerprints as signed integers: a bit is set where over half of the shingle hashes have it."""
-    ones, total = bit_counts(texts, k)
-    bits = (2 * ones > total[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
+    return _majority(*bit_counts(texts, k))
+
+
+def summaries(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(fingerprints, distinct passage keys of each text, its SKETCH smallest 32-bit shingle hashes in order).
+
+    A passage's key are the indices of the code words nearest to the segments of its own fingerprint.
+    """
+    parts: list = []
+    fps = _majority(*bit_counts(texts, k, parts))
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    owner, passage, whose, hashes = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+    codes = [code_indices(((passage.view(np.uint64) >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64))[:, 0] for a, n in SEGMENTS]
+    keys = (codes[0] << 24) | (codes[1] << 12) | codes[2]
+    each = np.arange(len(texts))
+
+    def split(owners: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(owners, kind="stable")
+        return np.split(values[order], np.searchsorted(owners[order], each[1:])) if len(texts) else []
+
+    return fps, [np.unique(x) for x in split(owner, keys)], [np.unique(x)[:SKETCH] for x in split(whose, (hashes >> np.uint64(32)).astype(np.uint32))]
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Similarity of two shingle sets from their sketches: exact if both sketches hold their whole set."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        both = both[:SKETCH]
+    shared = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
+    return float(shared.mean()) if len(both) else 1.0
+
+
+def _summarised(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, keys, sketches = summaries([(t or "").encode() for t in batch.column(2).to_pylist()], k)
+        columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "text_key", "fp", "passages", "sketch"])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -302,7 +357,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
     Not all pairs are given, but whoever follows the links reaches exactly what all pairs would reach.
     """
-    keyed = fps.mapInArrow(_keys, "key long, fp long")
+    # few bytes in, many out: no task should get more than its share
+    keyed = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").mapInArrow(_keys, "key long, fp long")
     swept = cut_lineage(
         keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_stream, hot=hot), "a long, b long, n long")
     )
@@ -348,10 +404,39 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, hot: int = HOT) ->
     return rows.join(classes, "fp").select(ided("doc").alias("doc_id"), text.alias("fingerprint"), ided("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, hot: int = HOT) -> DataFrame:
-    """documents with all their columns, one row of each component: that of the smallest doc_id, of equals one."""
-    _, classes = _classes(docs, shingle_words, hot)
-    keepers = classes.select(F.col("keeper.doc").alias("_doc"), F.col("keeper.text_key").alias("_key")).distinct()
-    row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.struct("*").alias("_row"))
+def similar_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between fingerprints of reps(fp, passages, sketch) whose shingle sets are similar enough.
+
+    Texts that are this similar hold whole passages in common. Each passage key links its texts to the smallest and the
+    largest fingerprint that hold it, never to each other, and only pairs with enough keys in common are compared.
+    """
+    one = reps.select("fp", F.size("passages").alias("n"), F.explode("passages").alias("key"))
+    own = F.struct("fp", "n")
+    hubs = one.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where(F.col("low.fp") < F.col("high.fp"))
+    met = one.join(hubs, "key").select("fp", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).where(F.col("fp") != F.col("hub.fp"))
+    shared = met.groupBy("fp", "n", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = shared.where(F.col("shared") >= COMMON_PASSAGES * F.greatest("n", "hub.n")).select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("fp").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    alike = F.pandas_udf(lambda x, y: pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype="float64"), "double")
+    return pairs.where(alike("sketch_a", "sketch_b") >= similarity).select("a", "b")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """documents with all their columns, one row of each group of near copies: that of the smallest doc_id, of equals one.
+
+    Rows are grouped where fingerprints are linked as in ``near_duplicates``, and, since texts of the given similarity often
+    differ in more bits than that, where passages in common show that their shingle sets are that similar.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = cut_lineage(narrow.mapInArrow(partial(_summarised, k=shingle_words), "doc long, text_key long, fp long, passages array<long>, sketch binary"))
+    first = F.struct("doc", "text_key")
+    reps = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("keeper"), F.min_by(F.struct("passages", "sketch"), first).alias("s")).select("fp", "keeper", "s.*"))
+    edges = links(reps.select("fp"), hot).union(similar_links(reps, similarity))
+    roots = components(edges).select(F.col("node").alias("fp"), "root")
+    named = reps.select("fp", "keeper").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("keeper").alias("keeper"))
+    keepers = named.select(F.col("keeper.doc").alias("_doc"), F.col("keeper.text_key").alias("_key"))
+    row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text).alias("_key"), F.struct("*").alias("_row"))
     kept = row.join(keepers, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"])
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
