@@ -312,6 +312,8 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
     counts = np.array([f.shape[1] for f in feats])
     flat = np.concatenate(feats, axis=1)
     bases = np.cumsum(counts) - counts
+    feats = [flat[:, a : a + n] for a, n in zip(bases.tolist(), counts.tolist(), strict=True)]
+    del token_lists, index, names, numbers, uniques, pieces, flat_grams, order, begin, many, word
 
     weights = fresh_weights(seed)
     model = Model(leans, weights)
