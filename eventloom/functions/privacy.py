@@ -47,11 +47,12 @@ def _redacted(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.MapType):
         def entry(k: Column, v: Column) -> Column:
             clean = _redacted(v, kind.valueType)
+            name = k if isinstance(kind.keyType, T.StringType) else k.cast("string")
             if isinstance(kind.valueType, T.StringType):
-                return F.when(is_sensitive_key(k), F.lit(REDACTED)).otherwise(clean)
-            return F.when(~is_sensitive_key(k), clean)
+                return F.when(is_sensitive_key(name), F.lit(REDACTED)).otherwise(clean)
+            return F.when(~is_sensitive_key(name), clean)
 
-        return F.transform_values(value, entry) if isinstance(kind.keyType, T.StringType) else value
+        return F.transform_values(value, entry)
     if isinstance(kind, T.StructType):
         fields = [_redacted_field(value.getField(f.name), f).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*fields))

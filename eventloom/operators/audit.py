@@ -95,7 +95,7 @@ def limit_keys(requests: DataFrame, secret: str) -> DataFrame:
 
 
 def audit_by_rule(requests: DataFrame, ts: str = "ts", order: Sequence[str] = ("line_key",), limit: int = GROUP_ROWS) -> DataFrame:
-    """Audit requests that carry ``scope`` and ``limit_key`` against the fixed rules."""
-    known = F.broadcast(rules(requests.sparkSession))
-    ruled = requests.join(known, "scope")
+    """Audit requests that carry ``scope`` and ``limit_key`` against the fixed rules; a scope without rule has no verdict."""
+    known = F.broadcast(rules(requests.sparkSession))  # one row for each rule
+    ruled = requests.join(known, "scope", "left")
     return audit(ruled, "limit_key", ts, order, F.col("amount"), F.col("seconds"), limit)

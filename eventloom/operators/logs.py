@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import UNKNOWN_BLOCK, first_block_id, header_cut, header_fields, header_timestamp, strip
-from eventloom.operators.ordered import positions
 from eventloom.sources.logs import LINE_ORDER
 
 
@@ -41,7 +40,6 @@ def route_lines(lines: DataFrame, split: DataFrame, max_lines: int | None = None
     ``max_lines`` keeps the first lines in file order before matching.
     """
     if max_lines is not None:
-        numbered = positions(lines, [], LINE_ORDER, name="_line")
-        lines = numbered.filter(F.col("_line") < max_lines).drop("_line")
+        lines = lines.orderBy(*LINE_ORDER).limit(max_lines)
     tagged = lines.withColumn("block_id", first_block_id(F.col("line"))).filter(F.col("block_id").isNotNull())
     return tagged.join(split.select("block_id", "split"), "block_id")

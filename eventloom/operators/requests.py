@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import strip
@@ -15,12 +15,11 @@ from eventloom.operators.scoring import score_blocks, score_windows, window_surp
 from eventloom.operators.templates import masked_tokens, match_templates
 from eventloom.session import cut_lineage
 
-# Outcome codes, the text stored for requests that could not be scored, and the reasons.
+# Outcome codes and the text stored for requests that could not be scored.
 OK, UNPROCESSABLE = 200, 422
 FAILURE_MESSAGE = "model couldn't process data"
-NO_SEQUENCE = "no valid block sequences parsed from log lines"
-NOT_FOUND = "block_id '%s' was not found in parsed log lines"
-TOO_SHORT = "not enough events for inference: got %s, need more than %s"
+#: Why a request could not be scored.
+NO_SEQUENCE, NOT_FOUND, TOO_SHORT = "no_sequence", "block_not_found", "too_short"
 MIN_SEQUENCE = 2
 #: Offset up to which a page is taken by sort and skip.
 SKIP_ROWS = 100_000
@@ -34,25 +33,21 @@ def newest_first(history: DataFrame) -> DataFrame:
     return history.orderBy(F.desc("created_at"), F.desc("id"))
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+def page(df: DataFrame, order: list[Column], number: int, size: int, skip_rows: int = SKIP_ROWS) -> DataFrame:
     """Rows of page ``number`` (from 1) with ``has_next``; both are at least 1.
 
-    Up to ``SKIP_ROWS`` one row more than the page is taken from the top of the sort. Deeper pages are
-    found by row position, which does not bring the skipped rows to one place.
+    Up to ``skip_rows`` one row more than the page is taken from the top of the sort. Deeper pages are
+    found by row position, which does not bring the skipped rows to one place. One row more than the page tells
+    whether there is a next one.
     """
     number, size = max(number, 1), max(size, 1)
     first = (number - 1) * size
-    if first + size <= SKIP_ROWS:
-        near = df.orderBy(*order).limit(first + size + 1)
-    else:
-        near = df
-    numbered = positions(near, [], order, name="_place")
-    wanted = numbered.filter((F.col("_place") >= first) & (F.col("_place") <= first + size))
-    has_next = wanted.select(F.coalesce(F.max("_place") == first + size, F.lit(False)).alias("has_next"))
-    kept = wanted.filter(F.col("_place") < first + size)
-    return kept.withColumn("_one", F.lit(1)).join(
-        F.broadcast(has_next.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one").withColumnRenamed("_place", "place")
+    near = df.orderBy(*order).limit(first + size + 1) if first + size <= skip_rows else df
+    numbered = positions(near, [], order, name="place")
+    wanted = numbered.filter((F.col("place") >= first) & (F.col("place") <= first + size))
+    # size + 1 rows at most
+    more = F.max("place").over(Window.partitionBy(F.lit(0))) == first + size
+    return wanted.withColumn("has_next", more).filter(F.col("place") < first + size)
 
 
 def page_after(history: DataFrame, created_at, last_id: int, size: int) -> DataFrame:
@@ -84,7 +79,8 @@ def request_stats(history: DataFrame, by: list[str] | None = None, limit: int =
     )
     if by:
         return _null_safe_join(counts, times, by)
-    return counts.withColumn("_one", F.lit(1)).join(times.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    # one row, or none without history
+    return counts.join(F.broadcast(times), F.lit(True), "left")
 
 
 def request_stats_rollup(history: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
@@ -197,11 +193,10 @@ def score_requests(requests: DataFrame, scorer: Scorer, limit: int = GROUP_ROWS)
         .join(window_lists, "request_id", "left")
     )
     scored = F.col("score").isNotNull()
-    short = F.format_string(TOO_SHORT, F.col("num_events").cast("string"), F.lit(str(scorer.window)))
     reason = (
         F.when(F.col("_parsed").isNull(), F.lit(NO_SEQUENCE))
-        .when(F.col("num_events").isNull(), F.format_string(NOT_FOUND, "block_id"))
-        .when(~scored, short)
+        .when(F.col("num_events").isNull(), F.lit(NOT_FOUND))
+        .when(~scored, F.lit(TOO_SHORT))
     )
     return joined.select(
         "request_id",
@@ -220,14 +215,18 @@ def score_requests(requests: DataFrame, scorer: Scorer, limit: int = GROUP_ROWS)
     )
 
 
-def outcomes(scored: DataFrame) -> DataFrame:
-    """History columns of scored requests: counts and score only for those that succeeded."""
+def outcomes(scored: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """History columns of scored requests: counts and score only for those that succeeded.
+
+    With ``requests`` (request_id, profile_id, created_at, processing_ms) the rows are complete: ``id`` is a number made
+    of the request id, so the same request always has the same one.
+    """
     ok = F.col("status_code") == OK
 
     def when_ok(name: str) -> Column:
         return F.when(ok, F.col(name)).alias(name)
 
-    return scored.select(
+    rows = scored.select(
         "request_id",
         "block_id",
         "status_code",
@@ -239,3 +238,8 @@ def outcomes(scored: DataFrame) -> DataFrame:
         when_ok("is_anomaly"),
         F.when(~ok, F.lit(FAILURE_MESSAGE)).alias("error_message"),
     )
+    if requests is None:
+        return rows
+    facts = requests.select("request_id", "profile_id", "created_at", "processing_ms")
+    number = F.shiftrightunsigned(F.xxhash64("request_id"), 1)
+    return rows.join(facts, "request_id").select(number.alias("id"), *rows.columns, "profile_id", "created_at", "processing_ms")

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions.text import mask, tokens
-from eventloom.operators.ordered import GROUP_ROWS, broadcast_if_small
+from eventloom.operators.ordered import broadcast_if_small, positions
 from eventloom.session import cut_lineage
 
 # Settings of the template miner.
 WILDCARD = "<*>"
 SIMILARITY = 0.4
 LEADING_TOKENS = 1
-MAX_CLUSTERS = 1024
+
+#: Parts that the distinct messages of a leaf are dealt into.
+PARTS = 64
+#: Templates up to which they are broadcast; each is a few hundred bytes.
+BROADCAST_TEMPLATES = 20_000
 
 TEMPLATE_DDL = "leaf STRING, template ARRAY<STRING>, first_key STRING, messages BIGINT"
 
@@ -33,39 +38,51 @@ def _leaf(words: Column) -> Column:
     return F.concat_ws(" ", F.size(words).cast("string"), F.array_join(branch, " "))
 
 
-def _sort_text(df: DataFrame, column: str) -> Column:
-    """Text that sorts like the (non-negative) column."""
-    kind = df.schema[column].dataType
+def _sort_text(column: Column, kind: T.DataType) -> Column:
+    """Text that sorts like the (non-negative) column; fields of a struct one after the other."""
+    if isinstance(kind, T.StructType):
+        return F.concat_ws("\x01", *[_sort_text(column[f.name], f.dataType) for f in kind.fields])
     if isinstance(kind, T.StringType):
-        return F.col(column)
-    number = F.unix_micros(F.col(column).cast("timestamp")) if "timestamp" in kind.typeName() else F.col(column)
+        return column
+    number = F.unix_micros(column.cast("timestamp")) if "timestamp" in kind.typeName() else column
     return F.lpad(number.cast("bigint").cast("string"), 20, "0")
 
 
 def _generalise(leaf: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Fold the messages of one leaf, in order, into templates."""
-    found: list[dict] = []
-    for row in leaf.sort_values("first_key", kind="stable").itertuples(index=False):
-        words = list(row.template)
-        best, best_key = None, (-1.0, -1)
-        for entry in found:
-            literal = sum(a == b for a, b in zip(entry["template"], words) if a != WILDCARD)
-            key = (literal / len(words) if words else 1.0, entry["template"].count(WILDCARD))
-            if key > best_key:
-                best, best_key = entry, key
-        if best is not None and best_key[0] >= similarity:
-            best["template"] = [a if a == b else WILDCARD for a, b in zip(best["template"], words)]
-            best["messages"] += row.messages
-        else:
-            found.append(
-                {
-                    "leaf": row.leaf,
-                    "template": words,
-                    "first_key": row.first_key,
-                    "messages": row.messages,
-                }
-            )
-    return pd.DataFrame(found)
+    """Fold the messages of one leaf, in order, into templates.
+
+    All messages of a leaf have one length, so the templates so far are the rows of one matrix of token numbers
+    and a message is compared with all of them at once.
+    """
+    leaf = leaf.sort_values("first_key", kind="stable")
+    rows = [list(words) for words in leaf["template"]]
+    number = {WILDCARD: 0}
+    coded = np.array([[number.setdefault(w, len(number)) for w in words] for words in rows], np.int64).reshape(len(rows), -1)
+    found, messages, first = np.zeros((16, coded.shape[1]), np.int64), [], []
+    for words, key, count in zip(coded, leaf["first_key"], leaf["messages"], strict=True):
+        known = found[: len(first)]
+        if len(known):
+            literal = ((known == words) & (known != 0)).sum(axis=1)
+            # the most literals in common, then the most wildcards, then the first
+            best = int((literal * (coded.shape[1] + 1) + (known == 0).sum(axis=1)).argmax())
+            if literal[best] >= similarity * coded.shape[1]:
+                known[best][known[best] != words] = 0
+                messages[best] += count
+                continue
+        if len(first) == len(found):
+            found = np.concatenate([found, np.zeros_like(found)])
+        found[len(first)] = words
+        first.append(key)
+        messages.append(count)
+    names = list(number)
+    return pd.DataFrame(
+        {
+            "leaf": leaf["leaf"].iloc[0],
+            "template": [[names[x] for x in row] for row in found[: len(first)].tolist()],
+            "first_key": first,
+            "messages": messages,
+        }
+    )
 
 
 def mine_templates(
@@ -73,52 +90,40 @@ def mine_templates(
     content: str = "content",
     order: Iterable[str] = ("timestamp", "line_key"),
     similarity: float = SIMILARITY,
-    max_clusters: int = MAX_CLUSTERS,
-    leaf_rows: int = GROUP_ROWS // 10,
+    max_clusters: int | None = None,
     words: str | None = None,
 ) -> DataFrame:
     """Mine templates: ``event_id`` (dense, first seen first), ``template``, ``messages``.
 
     Equal masked messages are first counted together, so work after the first shuffle follows the number
-    of distinct messages. Leaves are independent, and messages of a leaf are folded in order. While a leaf has
-    more than ``leaf_rows`` distinct messages it is cut by message hash and mined in parts, and the parts'
-    templates take the place of its messages. ``words`` names a column of masked tokens, if they exist already.
+    of distinct messages. The messages of a leaf are dealt by their hash into ``PARTS`` parts, whatever their number;
+    each part is folded in order, then the parts' templates are. Templates so depend on the messages alone, not on
+    their number or partitioning. ``words`` names a column of masked tokens, if they exist already; more than
+    ``max_clusters`` templates, where it is given, are an error.
     """
+    key = [_sort_text(F.col(c), messages.schema[c].dataType) for c in order]
     keyed = messages.select(
-        (F.col(words) if words else masked_tokens(F.col(content))).alias("template"),
-        F.concat_ws("|", *[_sort_text(messages, c) for c in order]).alias("_key"),
+        (F.col(words) if words else masked_tokens(F.col(content))).alias("template"), F.concat_ws("|", *key).alias("_key")
     )
     distinct = keyed.groupBy("template").agg(
         F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages"), F.max(F.size("template")).alias("_words")
     )
-    distinct = distinct.filter(F.col("_words") > 0).drop("_words")
-    # read by every step below; its size is the number of distinct messages
-    found = cut_lineage(distinct.withColumn("leaf", _leaf(F.col("template"))))
+    distinct = distinct.filter(F.col("_words") > 0).drop("_words").withColumn("leaf", _leaf(F.col("template")))
 
     def fold(leaf: pd.DataFrame) -> pd.DataFrame:
         return _generalise(leaf, similarity)
 
-    merged = None
-    while merged is None:
-        sizes = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"))
-        row = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("all")).first()
-        if (row["largest"] or 0) <= leaf_rows:
-            merged = found.groupBy("leaf").applyInPandas(fold, TEMPLATE_DDL)
-            break
-        parts = found.join(sizes.withColumn("_parts", F.ceil(F.col("_n") / leaf_rows)), "leaf").withColumn(
-            "_part", F.pmod(F.xxhash64(F.array_join("template", " ")), F.col("_parts"))
-        )
-        folded = parts.groupBy("leaf", "_part").applyInPandas(fold, TEMPLATE_DDL)
-        # parts of one leaf mostly find the same templates
-        folded = folded.groupBy("leaf", "template").agg(F.min("first_key").alias("first_key"), F.sum("messages").alias("messages"))
-        found = cut_lineage(folded)
-        if found.count() >= row["all"]:
-            raise ValueError(f"a leaf keeps more than {leaf_rows} templates: mask more or lower the similarity")
-    numbered = merged.withColumn("event_id", F.row_number().over(Window.orderBy("first_key", "leaf")) - 1)
-    checked = F.when(F.col("event_id") < max_clusters, F.col("event_id")).otherwise(
-        F.raise_error(F.lit(f"more than {max_clusters} templates: mask more or raise the limit")).cast("int")
-    )
-    return numbered.select(checked.alias("event_id"), "template", "messages", "first_key")
+    part = F.pmod(F.xxhash64(F.array_join("template", " ")), F.lit(PARTS))
+    folded = distinct.withColumn("_part", part).groupBy("leaf", "_part").applyInPandas(fold, TEMPLATE_DDL)
+    # parts of one leaf mostly find the same templates
+    met = folded.groupBy("leaf", "template").agg(F.min("first_key").alias("first_key"), F.sum("messages").alias("messages"))
+    # read by the numbering and by the caller
+    merged = cut_lineage(met.groupBy("leaf").applyInPandas(fold, TEMPLATE_DDL))
+    numbered = positions(merged, [], ["first_key", "leaf"], name="event_id").withColumn("event_id", F.col("event_id").cast("int"))
+    if max_clusters is not None:
+        over = F.raise_error(F.lit(f"more than {max_clusters} templates: mask more or raise the limit")).cast("int")
+        numbered = numbered.withColumn("event_id", F.when(F.col("event_id") < max_clusters, F.col("event_id")).otherwise(over))
+    return numbered.select("event_id", "template", "messages", "first_key")
 
 
 def leaf_sizes(messages: DataFrame, content: str = "content") -> DataFrame:
@@ -131,25 +136,24 @@ def leaf_sizes(messages: DataFrame, content: str = "content") -> DataFrame:
 
 
 def match_templates(
-    messages: DataFrame, templates: DataFrame, words: str = "tokens", prefer: str = "literals"
+    messages: DataFrame, templates: DataFrame, words: str = "tokens", prefer: str = "wildcards"
 ) -> DataFrame:
     """Add ``cluster_id``: the template every token agrees with, else null.
 
-    Templates (at most ``MAX_CLUSTERS``) are broadcast as one row per length with candidates in order of
-    preference, so each message meets one row and picks its match without another shuffle. Ties go to the
-    template with most literals (or most ``wildcards``), then to the lowest id.
+    Templates become one row per length with candidates in order of preference, so each message meets one row
+    and picks its match; the rows are broadcast if a count proves the templates few. Ties go to the template with
+    most wildcards, as in mining (or most ``literals``), then to the lowest id.
     """
     if prefer not in ("literals", "wildcards"):
         raise ValueError("prefer must be literals or wildcards")
-    if templates.limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} templates")
     literals = F.size(F.filter("template", lambda t: t != WILDCARD))
     wanted = -literals if prefer == "literals" else literals
     candidates = (
         templates.groupBy(F.size("template").alias("_len"))
         .agg(F.array_sort(F.collect_list(F.struct(wanted.alias("w"), F.col("event_id").alias("id"), "template"))).alias("_c"))
     )
-    joined = messages.withColumn("_len", F.size(words)).join(F.broadcast(candidates), "_len", "left")
+    few = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
+    joined = messages.withColumn("_len", F.size(words)).join(F.broadcast(candidates) if few else candidates, "_len", "left")
 
     def agrees(candidate: Column) -> Column:
         pairs = F.zip_with(F.col(words), candidate["template"], lambda t, p: (t == p) | (p == WILDCARD))
@@ -170,17 +174,17 @@ def dense_ids(labels: DataFrame, label: str, first_key: str) -> DataFrame:
 
 
 def to_event_ids(matched: DataFrame, vocabulary: DataFrame, column: str = "cluster_id") -> DataFrame:
-    """Replace cluster ids by dense event ids; unmatched rows get the last, unknown id."""
-    unknown = vocabulary.filter(F.col("label") == "unknown").select(F.col("event_id").alias("_unknown"))
-    known = vocabulary.filter(F.col("label") != "unknown").select(F.col("label").alias("_label"), "event_id")
+    """Replace cluster ids by dense event ids; rows without one get the id of the label ``unknown``.
+
+    That is the last one: a label of a message that happens to be spelled so is told apart by its smaller id. A
+    vocabulary without it leaves such rows null.
+    """
+    named = F.max(F.when(F.col("label") == "unknown", F.col("event_id")))
+    unknown = vocabulary.agg(named.alias("_unknown"))
+    known = vocabulary.groupBy(F.col("label").alias("_label")).agg(F.min("event_id").alias("event_id"))
     looked_up = matched.join(broadcast_if_small(known), F.col(column).cast("string") == F.col("_label"), "left")
-    # one-row side: attaches the unknown id to every row
-    return (
-        looked_up.withColumn("_one", F.lit(1))
-        .join(F.broadcast(unknown.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("event_id", F.coalesce("event_id", "_unknown"))
-        .drop("_one", "_unknown", "_label")
-    )
+    # one row on the right
+    return looked_up.crossJoin(F.broadcast(unknown)).withColumn("event_id", F.coalesce("event_id", "_unknown")).drop("_unknown", "_label")
 
 
 def with_template_text(df: DataFrame, templates: DataFrame, event: str = "event_id") -> DataFrame:

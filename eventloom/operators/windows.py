@@ -57,19 +57,28 @@ def cut_windows(chunks: DataFrame, starts: Column, cut: Callable[[Column], Colum
     return chunks.select("block_id", F.explode(F.transform(starts, cut)).alias("_w")).select("block_id", "_w.*")
 
 
-def windows_of_sequences(sequences: DataFrame, window: int, stride: int = 1, mode: str = "many_to_many") -> DataFrame:
-    """The same windows from an (unchunked) sequence table."""
+def windows_of_sequences(
+    sequences: DataFrame, window: int, stride: int = 1, mode: str = "many_to_many", size: int = CHUNK_EVENTS
+) -> DataFrame:
+    """The same windows from a sequence table that was built in chunks of ``size`` events.
+
+    A chunk borrows the first ``window`` events of the next one, so windows that cross a border are cut too.
+    """
     check_target_mode(mode)
     check_window(window, stride)
-    long_enough = sequences.filter(F.size("sequence") > window)
-    started = long_enough.withColumn(
-        "start", F.explode(F.sequence(F.lit(0), F.size("sequence") - window - 1, F.lit(stride)))
-    )
-    at = F.col("start") + 1
-    target = F.element_at("sequence", at + window) if mode == "one_step" else F.slice("sequence", at + 1, window)
-    return started.select(
-        "block_id", F.col("start").cast("bigint").alias("start"), F.slice("sequence", at, window).alias("window"), target.alias("target")
-    )
+    if window > size:
+        raise ValueError(f"a window of {window} events spans more than two chunks of {size}")
+    ahead = sequences.select("block_id", (F.col("chunk") - 1).alias("chunk"), F.slice("sequence", 1, window).alias("_ahead"))
+    joined = sequences.join(ahead, ["block_id", "chunk"], "left")
+    items = F.when(F.col("_ahead").isNull(), F.col("sequence")).otherwise(F.concat("sequence", "_ahead"))
+    chunks = joined.select("block_id", (F.col("chunk") * size).alias("base"), items.alias("items"))
+
+    def cut(start: Column) -> Column:
+        at = (start - F.col("base") + 1).cast("int")
+        target = F.element_at("items", at + window) if mode == "one_step" else F.slice("items", at + 1, window)
+        return F.struct(start.alias("start"), F.slice("items", at, window).alias("window"), target.alias("target"))
+
+    return cut_windows(chunks, window_starts(stride, window + 1, size), cut)
 
 
 def label_windows(windows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from eventloom.operators import evaluation, nextevent, scoring, splits, template
 from eventloom.operators.logs import parse_lines, usable_lines
 from eventloom.operators.requests import Scorer
 from eventloom.session import cut_lineage
+from eventloom.sources.logs import LINE_ORDER
 
 
 @dataclass(frozen=True)
@@ -28,19 +29,24 @@ class EventTable:
         return self.vocab_size - 1
 
 
-def worded_lines(lines: DataFrame, split: DataFrame, line_key: str = "row_in_split") -> DataFrame:
-    """Parsed and masked lines of the blocks in ``split``, written once for the passes that follow."""
+def worded_lines(lines: DataFrame, split: DataFrame, line_key: str | None = None) -> DataFrame:
+    """Parsed and masked lines of the blocks in ``split``, written once for the passes that follow.
+
+    Unless a column is named, lines are in the order of file, split and row: the number of a row alone follows the
+    way splits are packed, not the files.
+    """
+    place = F.col(line_key) if line_key else F.struct(*LINE_ORDER)
     parsed = usable_lines(parse_lines(lines))
     worded = parsed.select(
         "block_id",
         F.col("timestamp").alias("ts"),
-        F.col(line_key).alias("line_key"),
+        place.alias("line_key"),
         templates.masked_tokens(F.col("content")).alias("tokens"),
     )
     return cut_lineage(splits.tag_split(worded, split))
 
 
-def event_table(lines: DataFrame, split: DataFrame, line_key: str = "row_in_split") -> EventTable:
+def event_table(lines: DataFrame, split: DataFrame, line_key: str | None = None) -> EventTable:
     """Mine templates on training lines only, freeze them, and match the lines of all splits."""
     worded = worded_lines(lines, split, line_key)
     train = worded.filter(F.col("split") == "train")

@@ -9,7 +9,8 @@ from eventloom.functions.text import mask, run_name_parts
 from eventloom.operators import logs, requests, sequences, splits, templates
 from eventloom.plans import flows, inputs
 from eventloom.plans.registry import LINE, SPLIT, as_double, joined, query, rounded
-from eventloom.session import cut_lineage
+from eventloom.session import cut_lineage, fresh_dir
+from eventloom.sources import requests as stored_requests
 from eventloom.sources.logs import LINE_ORDER
 
 
@@ -145,6 +146,24 @@ def dense_event_ids(spark, folder):
     return templates.dense_ids(inputs.table(spark, folder, "events"), "event_type", "event_id")
 
 
+@query(
+    "template_mining_wildcards",
+    """WITH w AS (
+  SELECT event_type || ' by user u' || user_id || ' with code c' || event_id % 7 || ' done' AS content, event_type, event_id FROM events),
+  t AS (SELECT event_type, count(*) AS messages, min(event_id) AS k, count(DISTINCT content) AS n FROM w GROUP BY 1)
+  SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS event_id, event_type || ' by user <*> with code <*> done' AS template, messages
+  FROM t""",
+)
+def template_mining_wildcards(spark, folder):
+    """Messages with two variable words, over all events: the words give way to wildcards."""
+    raw = inputs.table(spark, folder, "events")
+    content = F.concat(
+        "event_type", F.lit(" by user u"), F.col("user_id").cast("string"), F.lit(" with code c"), (F.col("event_id") % 7).cast("string"), F.lit(" done")
+    )
+    mined = templates.mine_templates(raw.select(F.split(content, " ").alias("tokens"), "event_id"), words="tokens", order=["event_id"])
+    return mined.select("event_id", F.array_join("template", " ").alias("template"), "messages")
+
+
 @query(
     "template_leaf_sizes",
     f"""WITH {_KINDS} SELECT CAST(len(string_split(template, ' ')) AS VARCHAR) || ' ' || string_split(template, ' ')[1] AS leaf,
@@ -201,9 +220,7 @@ def request_outcomes(spark, folder):
 @query(
     "request_scores",
     _SCORED + """ SELECT request_id, round(CASE WHEN ok THEN top END, 6) AS score,
-  CASE WHEN n < 2 THEN 'no valid block sequences parsed from log lines'
-       WHEN wanted = 'blk_absent' THEN 'block_id ''blk_absent'' was not found in parsed log lines'
-       WHEN NOT ok THEN 'not enough events for inference: got ' || n || ', need more than 10' END AS reason,
+  CASE WHEN n < 2 THEN 'no_sequence' WHEN wanted = 'blk_absent' THEN 'block_not_found' WHEN NOT ok THEN 'too_short' END AS reason,
   CASE WHEN ok AND u % 2 = 0 THEN CAST(n AS DOUBLE) END AS event_ids, CASE WHEN ok AND u % 3 = 0 THEN CAST(w AS DOUBLE) END AS window_scores
   FROM (SELECT *, wanted <> 'blk_absent' AND w > 0 AS ok FROM re)""",
 )
@@ -237,3 +254,45 @@ def line_sequences(spark, folder):
     table = flows.event_table(inputs.log_lines(spark, folder), split)
     built = splits.tag_split(sequences.build_sequences(table.events), split)
     return built.select("block_id", "split", joined("sequence").alias("sequence"))
+
+
+@query(
+    "line_sequences_many_files",
+    f"""WITH {SPLIT}, {_KINDS},
+  pl AS (SELECT block_id, event_type, date_trunc('second', ts) AS s, 2 - line_key % 3 AS file, line_key FROM ev),
+  f AS (SELECT event_type, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS e FROM (
+    SELECT event_type, min((s, file, line_key)) AS k FROM pl JOIN sp USING (block_id) WHERE split = 'train' GROUP BY 1))
+  SELECT 'blk_' || block_id AS block_id, split, string_agg(CAST(e AS VARCHAR), ',' ORDER BY s, file, line_key) AS sequence
+  FROM pl JOIN f USING (event_type) JOIN sp USING (block_id) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def line_sequences_many_files(spark, folder):
+    """The same over three files that lie interleaved in the order of rows: file order decides among lines of one second."""
+    split = splits.split_blocks(inputs.labels(inputs.events(spark, folder)))
+    split = split.withColumn("block_id", F.concat(F.lit("blk_"), F.col("block_id")))
+    lines = inputs.log_lines(spark, folder)
+    dealt = lines.withColumn("file", F.concat(F.lit("file-"), (2 - F.col("row_in_split") % 3).cast("string")))
+    table = flows.event_table(dealt, split)
+    built = splits.tag_split(sequences.build_sequences(table.events), split)
+    return built.select("block_id", "split", joined("sequence").alias("sequence"))
+
+
+@query(
+    "outcomes_round_trip",
+    _SCORED + f""" SELECT request_id, wanted AS block_id, CASE WHEN ok THEN 200 ELSE 422 END AS status_code, num_log_lines, u AS profile_id,
+  1704067200 + 3600 * (u % 100) AS created_at, u / 2.0 AS processing_ms,
+  CASE WHEN ok THEN CAST(n AS DOUBLE) END AS num_events, CASE WHEN ok THEN round(top, 6) END AS score
+  FROM (SELECT *, wanted <> 'blk_absent' AND w > 0 AS ok FROM re)""",
+)
+def outcomes_round_trip(spark, folder):
+    """Scored requests, stored as history and read back. Storing them twice changes nothing."""
+    asked = inputs.requests(spark, folder)
+    user = F.split("request_id", "-")[0].cast("bigint")
+    hour = F.timestamp_seconds(F.lit(1704067200) + (user % 100) * 3600)
+    facts = asked.select("request_id", user.alias("profile_id"), hour.alias("created_at"), (user / 2).alias("processing_ms"))
+    rows = requests.outcomes(requests.score_requests(asked, request_scorer(spark, folder)), facts)
+    path = fresh_dir(spark, "history")
+    for _ in range(2):
+        stored_requests.append_outcomes(rows, path)
+    back = stored_requests.read_history(spark, path)
+    shown = back.select("request_id", "block_id", "status_code", "num_log_lines", "profile_id", F.unix_timestamp("created_at").alias("created_at"), "processing_ms", "num_events", "score")
+    return rounded(as_double(shown, "num_events"))

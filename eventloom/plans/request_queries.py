@@ -40,11 +40,7 @@ def history_page_deep(spark, folder):
     """The last page, found by position."""
     history = inputs.history(spark, folder)
     last = (history.count() - 1) // 20 + 1
-    old, requests.SKIP_ROWS = requests.SKIP_ROWS, 0
-    try:
-        found = requests.page(history, [F.desc("created_at"), F.desc("id")], last, 20)
-    finally:
-        requests.SKIP_ROWS = old
+    found = requests.page(history, [F.desc("created_at"), F.desc("id")], last, 20, skip_rows=0)
     return found.select("id", "place", "has_next")
 
 

@@ -63,10 +63,15 @@ def load_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet"
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
-def threshold_of(thresholds: DataFrame, strategy: str) -> DataFrame:
-    """The one threshold chosen for a strategy; an error when there is none."""
-    chosen = thresholds.filter(F.col("strategy") == strategy).orderBy("model").limit(1).select("threshold")
-    return require_rows(chosen, f"no threshold for {strategy}")
+def threshold_of(thresholds: DataFrame, strategy: str, model: str | None = None) -> DataFrame:
+    """The one threshold chosen for a strategy (and model); an error when there is none or more than one."""
+    chosen = thresholds.filter(F.col("strategy") == strategy)
+    if model is not None:
+        chosen = chosen.filter(F.col("model") == model)
+    found = chosen.select("threshold").limit(2).count()
+    if found > 1:
+        raise ValueError(f"several thresholds for {strategy}: name the model")
+    return require_rows(chosen.select("threshold"), f"no threshold for {strategy}")
 
 
 def save_importance(importance: DataFrame, path: str) -> None:

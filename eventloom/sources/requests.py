@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import schemas
 from eventloom.operators.requests import check_requests
+from eventloom.session import cut_lineage
 
 
 def read_requests(spark: SparkSession, path: str, one_per_file: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -29,10 +31,43 @@ def read_request_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_outcomes(outcomes: DataFrame, path: str) -> None:
-    """Add request outcomes to the stored history, one folder per day."""
+    """Add complete request outcomes to the stored history, one folder per day.
+
+    Requests that the same days of the history hold already are not added again, so a job that is run twice stores each
+    request once.
+    """
+    spark = outcomes.sparkSession
     dated = outcomes.withColumn("day", F.to_date("created_at"))
+    try:
+        stored = read_history(spark, path).select("request_id", "day")
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    if stored is not None:
+        days = dated.select("day").distinct()
+        dated = dated.join(stored.join(days, "day", "left_semi"), ["request_id", "day"], "left_anti")
     dated.write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.REQUEST_HISTORY + ", day DATE").parquet(path)
+    """The stored history; an error when the folder does not exist."""
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(schema).parquet(path)
+
+
+def purge_history(spark: SparkSession, path: str, doomed: Column) -> int:
+    """Delete the rows that meet the condition from the stored history; gives how many.
+
+    Only the folders of days that lose a row are written anew. A null condition keeps the row.
+    """
+    history = read_history(spark, path)
+    gone = F.coalesce(doomed, F.lit(False))
+    touched = cut_lineage(history.filter(gone).groupBy("day").agg(F.count(F.lit(1)).alias("n")))
+    # stored first, since the folders it comes from are replaced
+    kept = cut_lineage(history.join(touched.select("day"), "day", "left_semi").filter(~gone))
+    emptied = touched.join(kept.select("day").distinct(), "day", "left_anti").select("day")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in emptied.toLocalIterator():
+        folder = files.Path(f"{path.rstrip('/')}/day={row.day}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return int(touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,12 +91,14 @@ def audit_stream(requests: DataFrame, amount: int, seconds: int) -> DataFrame:
 def append_history(outcomes: DataFrame, path: str, checkpoint: str, late: str = "10 minutes") -> DataStreamWriter:
     """Writer that stores each request outcome exactly once.
 
-    Requests repeated within ``late`` are dropped by id. Each micro-batch owns the folder of its number, so
-    a batch that is run again replaces what it wrote before.
+    Requests repeated within ``late`` are dropped by id. Each micro-batch owns a folder, named by the checkpoint and
+    its number: a batch that is run again replaces what it wrote before, and a stream that starts anew with another
+    checkpoint leaves earlier rows alone.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     unique = outcomes.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["request_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream}/batch={number}")
 
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
