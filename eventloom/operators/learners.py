@@ -22,6 +22,9 @@ TREES = 300
 SAMPLE_ROWS = 256
 EULER_GAMMA = 0.5772156649015329
 
+#: Depth of a tree: the largest that is supported.
+DEPTH = 30
+
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """Add ``weight`` = n / (2 * rows of the class); class sizes are a two-row table."""
@@ -43,12 +46,13 @@ def logistic_regression(columns: Sequence[str], rows: int, max_iter: int = MAX_I
     )
 
 
-def random_forest(columns: Sequence[str], trees: int = TREES, seed: int = SEED) -> Pipeline:
+def random_forest(columns: Sequence[str], trees: int = TREES, seed: int = SEED, depth: int = DEPTH) -> Pipeline:
+    """Random forest on class-weighted rows; ``depth`` is the deepest that the library grows."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(columns), outputCol="features"),
             RandomForestClassifier(
-                labelCol="y", weightCol="weight", numTrees=trees, maxDepth=12, seed=seed, subsamplingRate=1.0
+                labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0
             ),
         ]
     )

@@ -386,7 +386,7 @@ def logistic_scores(spark, folder):
 @query("forest_scores")
 def forest_scores(spark, folder):
     table = feature_split(spark, folder)
-    model = learners.fit_weighted(learners.random_forest(FEATURES, trees=50), table.filter(F.col("split") == "train"))
+    model = learners.fit_weighted(learners.random_forest(FEATURES), table.filter(F.col("split") == "train"))
     return learners.positive_probability(model, table, ["block_id", "split", "y"])
 
 
@@ -402,7 +402,7 @@ def feature_importance(spark, folder):
 def isolation_scores(spark, folder):
     table = feature_split(spark, folder)
     normal = table.filter((F.col("split") == "train") & (F.col("y") == 0))
-    forest = learners.fit_isolation_forest(normal, FEATURES, "block_id", trees=100)
+    forest = learners.fit_isolation_forest(normal, FEATURES, "block_id")
     return learners.isolation_scores(forest, table, ["block_id", "split", "y"])
 
 
@@ -410,7 +410,7 @@ def isolation_scores(spark, folder):
 def mlp_scores(spark, folder):
     events, _, split, _ = fitted(spark, folder)
     made = cut_lineage(splits.tag_split(windows.make_windows(events, WINDOW, 1, "one_step"), split))
-    model, _ = learners.window_perceptron(made.filter(F.col("split") == "train"), VOCAB, WINDOW, hidden=16, max_iter=20)
+    model, _ = learners.window_perceptron(made.filter(F.col("split") == "train"), VOCAB, WINDOW)
     scored = learners.perceptron_log_probs(model, learners.encode_windows(made, VOCAB))
     nll = -F.element_at("log_probs", F.col("target") + 1)
     return scored.groupBy("block_id").agg(F.max(nll).alias("score"), F.count(F.lit(1)).alias("num_windows"))

@@ -153,7 +153,7 @@ def event_share_skew(spark, folder):
 
 @query(
     "event_sets",
-    """WITH p AS (SELECT role, count(*) FILTER (turn > 1) AS late, count(*) FILTER (turn = 0) AS first FROM conversations GROUP BY role)
+    """WITH p AS (SELECT role, count(*) FILTER (turn > 0) AS late, count(*) FILTER (turn = 0) AS first FROM conversations GROUP BY role)
   SELECT role AS event, CASE WHEN first > 0 AND late > 0 THEN 'both' WHEN first > 0 THEN 'normal' ELSE 'anomaly' END AS occurs_in
   FROM p WHERE first > 0 OR late > 0""",
 )
@@ -161,7 +161,7 @@ def event_sets(spark, folder):
     """Roles that occur only in opening turns, only in later turns, or in both."""
     turns = inputs.table(spark, folder, "conversations")
     presence = turns.groupBy(F.col("role").alias("event")).agg(
-        F.count(F.when(F.col("turn") == 0, 1)).alias("blocks_norm"), F.count(F.when(F.col("turn") > 1, 1)).alias("blocks_anom")
+        F.count(F.when(F.col("turn") == 0, 1)).alias("blocks_norm"), F.count(F.when(F.col("turn") > 0, 1)).alias("blocks_anom")
     )
     return profile.event_sets(presence)
 
@@ -268,14 +268,16 @@ def class_balance(spark, folder):
 
 @query(
     "null_counts",
-    """SELECT * FROM (
-    SELECT 'quality' AS "column", count(*) FILTER (quality IS NULL) AS nulls FROM documents LEFT JOIN labels USING (doc_id) UNION ALL
-    SELECT 'toxic', count(*) FILTER (toxic IS NULL) FROM documents LEFT JOIN labels USING (doc_id) UNION ALL
-    SELECT 'lang', count(*) FILTER (lang IS NULL) FROM documents) ORDER BY nulls DESC, "column" LIMIT 8""",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls FROM documents LEFT JOIN labels USING (doc_id)"""
+        for c in ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
+    )
+    + ")",
 )
 def null_counts(spark, folder):
     docs, known = inputs.table(spark, folder, "documents"), inputs.table(spark, folder, "labels")
-    return profile.null_counts(docs.select("doc_id", "lang").join(known, "doc_id", "left").drop("doc_id"))
+    return profile.null_counts(docs.join(known, "doc_id", "left"))
 
 
 @query(
