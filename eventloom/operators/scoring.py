@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.arrays import window_scores
 from eventloom.functions.checks import STRATEGIES, check_strategies, check_window
 from eventloom.operators.nextevent import NextEventModel, event_surprise
-from eventloom.operators.ordered import CHUNK_EVENTS, GROUP_ROWS, quantiles
+from eventloom.operators.ordered import CHUNK_EVENTS, GROUP_ROWS, quantiles, spread_chunks
 from eventloom.operators.windows import chunk_arrays, cut_windows, window_starts
 from eventloom.session import cut_lineage
 
@@ -61,51 +61,139 @@ def score_windows(surprise: DataFrame, strategies: Sequence[str] = STRATEGIES) -
     return surprise.select("block_id", "start", *[c.alias(name) for name, c in columns.items()])
 
 
+def window_table(
+    events: DataFrame,
+    model: NextEventModel,
+    window: int,
+    stride: int = 1,
+    top_k: int = 3,
+    size: int = CHUNK_EVENTS,
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """(block_id, start, nll_sum, nll_mean, nll_max, topk_last, topk_all, topk_last3) of every many-to-many window.
+
+    The same numbers as ``score_windows`` of ``window_surprise``, but a window is a frame over the rows of its chunk:
+    no arrays are cut, and no position is copied for each window that covers it.
+    """
+    check_window(window, stride)
+    order = model.order
+    if order > window:
+        raise ValueError("the model order must not exceed the window size")
+    span = window - order  # rows a window reads after its first
+    short = range(1, order)  # places at the start of a window, which see fewer events
+    rows = spread_chunks(event_surprise(events, model, top_k, limit), size, span)
+    chunk = Window.partitionBy("block_id", "chunk").orderBy("pos")
+    frame = chunk.rowsBetween(0, span)
+    nll, miss = F.element_at("nll", order), F.element_at("miss", order)
+    last = min(3, window)
+    in_frame = min(last, span + 1)
+    tail = F.sum(miss).over(chunk.rowsBetween(span + 1 - in_frame, span))
+    framed = rows.select(
+        "block_id",
+        F.col("pos").alias("start"),
+        sum((F.element_at("nll", k) for k in short), F.sum(nll).over(frame)).alias("nll_sum"),
+        F.greatest(F.max(nll).over(frame), *[F.element_at("nll", k) for k in short]).alias("nll_max")
+        if order > 1
+        else F.max(nll).over(frame).alias("nll_max"),
+        sum((F.element_at("miss", k) for k in short), F.sum(miss).over(frame)).alias("_missed"),
+        F.last(miss).over(frame).cast("double").alias("topk_last"),
+        (sum((F.element_at("miss", order - i) for i in range(1, last - in_frame + 1)), tail) / last).alias("topk_last3"),
+        F.count(F.lit(1)).over(frame).alias("_rows"),
+        (F.col("pos") < (F.col("chunk") + 1) * size).alias("_own"),
+    )
+    # the look-ahead of a chunk starts no window, nor do rows with too few after them
+    starts = framed.filter((F.col("_rows") == span + 1) & F.col("_own") & (F.col("start") % stride == 0))
+    return starts.select(
+        "block_id", "start", "nll_sum", (F.col("nll_sum") / window).alias("nll_mean"), "nll_max",
+        "topk_last", (F.col("_missed") / window).alias("topk_all"), "topk_last3",
+    )
+
+
+def position_weights(
+    events: DataFrame, model: NextEventModel, window: int, stride: int = 1, top_k: int = 3, limit: int = GROUP_ROWS
+) -> DataFrame:
+    """(block_id, num_windows, value, n): surprises of a block with the number of window positions that show them."""
+    order = model.order
+    span = window - order
+    rows = event_surprise(events, model, top_k, limit)
+    longest = rows.groupBy("block_id").agg(F.max("pos").alias("_r"))
+    last = longest.filter(F.col("_r") >= span).select("block_id", (F.floor((F.col("_r") - span) / stride) * stride).alias("_last"))
+    placed = rows.join(last, "block_id")
+    covering = F.floor(F.least("pos", "_last") / stride) - F.ceil(F.greatest(F.col("pos") - span, F.lit(0)) / stride) + 1
+    starts = ((F.col("pos") % stride == 0) & (F.col("pos") <= F.col("_last"))).cast("bigint")
+    shown = [F.struct(F.element_at("nll", order).alias("value"), covering.cast("bigint").alias("n"))]
+    shown += [F.struct(F.element_at("nll", k).alias("value"), starts.alias("n")) for k in range(1, order)]
+    items = placed.select("block_id", "_last", F.explode(F.array(*shown)).alias("s")).filter(F.col("s.n") > 0)
+    counted = items.groupBy("block_id", "_last", F.col("s.value").alias("value")).agg(F.sum("s.n").alias("n"))
+    return counted.select("block_id", (F.col("_last") / stride + 1).cast("bigint").alias("num_windows"), "value", "n")
+
+
+def score_events(
+    events: DataFrame,
+    model: NextEventModel,
+    window: int,
+    stride: int = 1,
+    labels: DataFrame | None = None,
+    strategies: Sequence[str] = STRATEGIES,
+    top_k: int = 3,
+    limit: int = GROUP_ROWS,
+) -> DataFrame:
+    """Block scores straight from events, as ``score_blocks`` gives them for ``window_surprise``."""
+    strategies = check_strategies(strategies)
+    parts = []
+    simple = [s for s in strategies if s != "nll_p95"]
+    if simple:
+        parts.append(_folded(window_table(events, model, window, stride, top_k, limit=limit), simple))
+    if "nll_p95" in strategies:
+        # read by the quantile and by the totals
+        parts.append(_upper(cut_lineage(position_weights(events, model, window, stride, top_k, limit)), limit))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return with_truth(result, labels)
+
+
+def _folded(scored: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """(block_id, num_windows, strategy, score, window_score_max) from one row per window."""
+    folds = []
+    for s in strategies:
+        fold = F.max if s == "nll_max" else F.avg
+        folds += [fold(s).alias(f"{s}_score"), F.max(s).alias(f"{s}_top")]
+    per_block = scored.groupBy("block_id").agg(F.count(F.lit(1)).alias("num_windows"), *folds)
+    named = [
+        F.struct(F.lit(s).alias("strategy"), F.col(f"{s}_score").alias("score"), F.col(f"{s}_top").alias("window_score_max")) for s in strategies
+    ]
+    return per_block.select("block_id", "num_windows", F.explode(F.array(*named)).alias("r")).select("block_id", "num_windows", "r.*")
+
+
+def _upper(counted: DataFrame, limit: int) -> DataFrame:
+    """The 0.95 quantile of (block_id, num_windows, value, n)."""
+    top = counted.groupBy("block_id", "num_windows").agg(F.max("value").alias("window_score_max"))
+    p95 = quantiles(counted, ["block_id"], "value", {"score": 0.95}, limit, weight="n")
+    return top.join(p95, "block_id").select("block_id", "num_windows", F.lit("nll_p95").alias("strategy"), "score", "window_score_max")
+
+
 def score_blocks(
     surprise: DataFrame,
     labels: DataFrame | None = None,
     strategies: Sequence[str] = STRATEGIES,
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """(block_id, y_true, num_windows, strategy, score, window_score_max).
+    """(block_id, y_true, num_windows, strategy, score, window_score_max) from arrays of positions, as a network gives them.
 
     ``nll_max`` takes the maximum over windows, ``nll_p95`` the 0.95 quantile over all window positions,
     the others the mean over windows.
     """
     strategies = check_strategies(strategies)
-    scored = score_windows(surprise, strategies)
-    simple = [s for s in strategies if s != "nll_p95"]
-    folds = []
-    for s in simple:
-        fold = F.max if s == "nll_max" else F.avg
-        folds += [fold(s).alias(f"{s}_score"), F.max(s).alias(f"{s}_top")]
     parts = []
-    per_block = scored.groupBy("block_id").agg(F.count(F.lit(1)).alias("num_windows"), *folds)
+    simple = [s for s in strategies if s != "nll_p95"]
     if simple:
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(s).alias("strategy"),
-                    F.col(f"{s}_score").alias("score"),
-                    F.col(f"{s}_top").alias("window_score_max"),
-                )
-                for s in simple
-            ]
-        )
-        parts.append(per_block.select("block_id", "num_windows", F.explode(rows).alias("r")).select("block_id", "num_windows", "r.*"))
+        parts.append(_folded(score_windows(surprise, simple), simple))
     if "nll_p95" in strategies:
-        # equal positions are counted once and stored: the scoring above it is then not repeated
         places = surprise.select("block_id", F.size("nll").alias("_w"), F.explode("nll").alias("value"))
-        counted = cut_lineage(places.groupBy("block_id", "_w", "value").agg(F.count(F.lit(1)).alias("n")))
-        top = counted.groupBy("block_id").agg(
-            F.max("value").alias("window_score_max"), (F.sum("n") / F.max("_w")).cast("bigint").alias("num_windows")
-        )
-        p95 = quantiles(counted, ["block_id"], "value", {"score": 0.95}, limit, weight="n")
-        parts.append(
-            top.join(p95, "block_id").select(
-                "block_id", "num_windows", F.lit("nll_p95").alias("strategy"), "score", "window_score_max"
-            )
-        )
+        counted = places.groupBy("block_id", "_w", "value").agg(F.count(F.lit(1)).alias("n"))
+        total = counted.groupBy("block_id").agg((F.sum("n") / F.max("_w")).cast("bigint").alias("num_windows"))
+        parts.append(_upper(cut_lineage(counted.drop("_w").join(total, "block_id")), limit))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -120,19 +208,18 @@ def with_truth(scores: DataFrame, labels: DataFrame | None) -> DataFrame:
     return scores.join(known, "block_id", "left").withColumn("y_true", F.coalesce("y_true", F.lit(0)))
 
 
-def miss_rate(surprise: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """One-step block score: share of windows whose next event was not among the likeliest."""
-    last = surprise.select("block_id", F.element_at("miss", -1).alias("miss"))
-    rates = last.groupBy("block_id").agg(
-        F.avg("miss").alias("score"), F.count(F.lit(1)).alias("num_windows"), F.sum("miss").alias("num_misses")
+def miss_rate(windows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One-step block score of a window table: share of windows whose next event was not among the likeliest."""
+    rates = windows.groupBy("block_id").agg(
+        F.avg("topk_last").alias("score"), F.count(F.lit(1)).alias("num_windows"), F.sum(F.col("topk_last").cast("bigint")).alias("num_misses")
     )
     return with_truth(rates, labels).select("block_id", "y_true", "score", "num_windows", "num_misses")
 
 
-def mean_cross_entropy(surprise: DataFrame) -> DataFrame:
-    """Mean negative log-likelihood over all window positions, as a one-row table."""
-    places = surprise.select(F.explode("nll").alias("nll"))
-    return places.agg(F.avg("nll").alias("loss"), F.count(F.lit(1)).alias("positions"))
+def mean_cross_entropy(windows: DataFrame, window: int) -> DataFrame:
+    """Mean negative log-likelihood over all window positions of a window table, as a one-row table."""
+    n = F.count(F.lit(1)) * window
+    return windows.agg((F.sum("nll_sum") / n).alias("loss"), n.cast("bigint").alias("positions"))
 
 
 def decide(scores: DataFrame, threshold: float | Column) -> DataFrame:

@@ -96,8 +96,7 @@ def score_and_evaluate(
     model = nextevent.NextEventModel(cut_lineage(model.table), vocab_size, order)
     held_out = split.filter(F.col("split") != "train")
     judged = events.join(held_out.select("block_id"), "block_id", "left_semi")
-    surprise = scoring.window_surprise(judged, model, window)
-    blocks = scoring.score_blocks(surprise, labels, strategies)
+    blocks = scoring.score_events(judged, model, window, 1, labels, strategies)
     scores = cut_lineage(splits.tag_split(blocks, held_out).withColumn("model", F.lit(model_name)))
     thresholds, metrics = evaluation.evaluate(scores, ["model", "strategy"])
     lengths = judged.groupBy("block_id").agg(F.count(F.lit(1)).alias("sequence_len"))

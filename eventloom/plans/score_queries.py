@@ -21,9 +21,9 @@ def fitted(spark, folder, order: int = 1):
     return events, labels, split, model
 
 
-def surprise(spark, folder):
-    events, labels, split, model = fitted(spark, folder)
-    return scoring.window_surprise(events, model, WINDOW), labels, split
+def scored_windows(spark, folder, order: int = 1):
+    events, labels, _, model = fitted(spark, folder, order)
+    return scoring.window_table(events, model, WINDOW), labels
 
 
 @query("position_nll", f"WITH {MODEL} SELECT block_id, pos, round(nll, 6) AS nll, miss FROM tr")
@@ -39,8 +39,8 @@ def position_nll(spark, folder):
   round(nll_mean, 6) AS nll_mean, round(nll_max, 6) AS nll_max FROM ws""",
 )
 def window_scores(spark, folder):
-    rows, _, _ = surprise(spark, folder)
-    return rounded(scoring.score_windows(rows, ["topk_last", "topk_all", "topk_last3", "nll_mean", "nll_max"]))
+    rows, _ = scored_windows(spark, folder)
+    return rounded(rows.select("block_id", "start", "topk_last", "topk_all", "topk_last3", "nll_mean", "nll_max"))
 
 
 @query(
@@ -60,14 +60,14 @@ def window_scores(spark, folder):
 )
 def window_scores_order2(spark, folder):
     """Two events of context, one at the start of a window."""
-    events, _, _, model = fitted(spark, folder, 2)
-    rows = scoring.window_surprise(events, model, WINDOW)
-    return rounded(scoring.score_windows(rows, ["nll_mean", "nll_max"]))
+    rows, _ = scored_windows(spark, folder, 2)
+    return rounded(rows.select("block_id", "start", "nll_mean", "nll_max"))
 
 
 @query("topk_miss", f"WITH {WINS} SELECT block_id, start, string_agg(CAST(miss AS VARCHAR), ',' ORDER BY j) AS miss FROM wn GROUP BY ALL")
 def topk_miss(spark, folder):
-    rows, _, _ = surprise(spark, folder)
+    events, _, _, model = fitted(spark, folder)
+    rows = scoring.window_surprise(events, model, WINDOW)
     return rows.select("block_id", "start", joined("miss").alias("miss"))
 
 
@@ -77,8 +77,7 @@ def topk_miss(spark, folder):
   CAST(sum(topk_last) AS BIGINT) AS num_misses FROM ws JOIN lab USING (block_id) GROUP BY ALL""",
 )
 def block_miss_rate(spark, folder):
-    rows, labels, _ = surprise(spark, folder)
-    return rounded(scoring.miss_rate(rows, labels))
+    return rounded(scoring.miss_rate(*scored_windows(spark, folder)))
 
 
 #: Shares of windows are decimal fractions that often end in a 5 at the seventh place.
@@ -97,8 +96,8 @@ def _register_strategy(strategy: str) -> None:
 
     @query(f"block_scores_{strategy}", sql)
     def build(spark, folder):
-        rows, labels, _ = surprise(spark, folder)
-        return rounded(scoring.score_blocks(rows, labels, [strategy]), PLACES.get(strategy, 6))
+        events, labels, _, model = fitted(spark, folder)
+        return rounded(scoring.score_events(events, model, WINDOW, 1, labels, [strategy]), PLACES.get(strategy, 6))
 
 
 for _strategy in ("nll_max", "nll_mean", "nll_p95", "topk_last", "topk_all", "topk_last3"):
@@ -107,8 +106,8 @@ for _strategy in ("nll_max", "nll_mean", "nll_p95", "topk_last", "topk_all", "to
 
 @query("mean_cross_entropy", f"WITH {WINS} SELECT round(avg(nll), 6) AS loss, count(*) AS positions FROM wn")
 def mean_cross_entropy(spark, folder):
-    rows, _, _ = surprise(spark, folder)
-    return rounded(scoring.mean_cross_entropy(rows))
+    rows, _ = scored_windows(spark, folder)
+    return rounded(scoring.mean_cross_entropy(rows, WINDOW))
 
 
 _RANKED = WSCORE + """, bs AS (SELECT block_id, is_anomaly AS y, split, max(nll_max) AS score, count(*) AS n FROM ws JOIN sp USING (block_id) GROUP BY ALL),
@@ -123,13 +122,12 @@ _RANKED = WSCORE + """, bs AS (SELECT block_id, is_anomaly AS y, split, max(nll_
 )
 def anomalous_blocks(spark, folder):
     """From events to a decision: fit on normal blocks, score, choose the threshold on validation, apply to test."""
-    rows, labels, split = surprise(spark, folder)
+    events, labels, split, model = fitted(spark, folder)
     # scored once, read twice
-    scored = cut_lineage(splits.tag_split(scoring.score_blocks(rows, labels, ["nll_max"]), split))
+    scored = cut_lineage(splits.tag_split(scoring.score_events(events, model, WINDOW, 1, labels, ["nll_max"]), split))
     chosen = evaluation.best_threshold(evaluation.curve(scored.filter(F.col("split") == "val")))
-    # one-row side
-    test = scored.filter(F.col("split") == "test").withColumn("_one", F.lit(1))
-    decided = test.join(F.broadcast(chosen.select("threshold").withColumn("_one", F.lit(1))), "_one")
+    # one row on the right
+    decided = scored.filter(F.col("split") == "test").crossJoin(F.broadcast(chosen.select("threshold")))
     flagged = decided.filter(F.col("score") >= F.col("threshold"))
     return rounded(flagged.select("block_id", "y_true", "num_windows", "score", "threshold").orderBy(F.desc("score"), "block_id"))
 
