@@ -59,7 +59,8 @@ def _named(text: Column) -> Column:
 
 
 def _resolved(text: Column) -> Column:
-    return F.replace(_numbers(_named(text)), F.lit("&amp;"), F.lit("&"))
+    whole = F.replace(_numbers(_named(text)), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def _bare(html: Column) -> Column:
