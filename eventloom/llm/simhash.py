@@ -40,6 +40,8 @@ CODE_BITS, CHECK_BITS = 23, 11
 TEXT_BYTES, KEYED = 1 << 20, 4096
 #: Shingles of a passage on average; hashes that a sketch holds at most.
 PASSAGE, SKETCH = 16, 512
+#: Texts that are summarised at once: all their hashes are held.
+SUMMARISED = 512
 #: Share of the passages of the longer text that a candidate pair has in common, and of shingles that a pair must.
 COMMON_PASSAGES, SIMILARITY = 0.2, 0.8
 #: Fingerprints of one key that one task links at once.
@@ -184,9 +186,11 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def _summarised(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, keys, sketches = summaries([(t or "").encode() for t in batch.column(2).to_pylist()], k)
-        columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "text_key", "fp", "passages", "sketch"])
+        for i in range(0, batch.num_rows, SUMMARISED):
+            part = batch.slice(i, SUMMARISED)
+            fps, keys, sketches = summaries([(t or "").encode() for t in part.column(2).to_pylist()], k)
+            columns = [part.column(0), part.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_key", "fp", "passages", "sketch"])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ KNOWN_WORDS, LANES, GROUP_CHARS = 300_000, 4096, 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHORT = 24
+#: Words whose character sequences are made at once.
+SLICE = 5000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,7 +52,7 @@ def _buckets(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     """(numbers of words, bucket of each word, buckets of its character sequences with -1 as filler), in slices."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     short = np.flatnonzero(size <= _SHORT)
-    slices = [short[i : i + 20_000] for i in range(0, len(short), 20_000)] + [np.array([i]) for i in np.flatnonzero(size > _SHORT)]
+    slices = [short[i : i + SLICE] for i in range(0, len(short), SLICE)] + [np.array([i]) for i in np.flatnonzero(size > _SHORT)]
     for part in slices:
         if not len(part):
             continue
@@ -279,11 +281,12 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2))
-    token_lists = [words_of(t) for t in texts]
-    if not any(token_lists):
+    index: dict[str, int] = {}
+    numbers = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
+    if not index:
         return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2))
-    index = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(token_lists)))}
     names = list(index)
+    del index
     word = np.zeros(len(names), np.int64)
     many = np.zeros(len(names), np.int64)
     pieces = []
@@ -295,25 +298,25 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
     order = np.concatenate([part for part, _ in pieces])
     begin[order] = np.cumsum(many[order]) - many[order]
     length = np.fromiter(map(len, names), np.int64, len(names))
-    numbers = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in token_lists]
+    del names, pieces, order
 
     def grams_of(which: np.ndarray) -> np.ndarray:
         step = np.arange(max(1, int(many[which].max(initial=1))))
         at = np.minimum(begin[which][:, None] + step, max(0, len(flat_grams) - 1))
         return np.where(step < many[which][:, None], flat_grams[at], -1).astype(np.int64)
 
-    uniques = [np.unique(n, return_inverse=True) for n in numbers]
-    for (which, _), label in zip(uniques, labels, strict=True):
+    for row, label in zip(numbers, labels, strict=True):
+        which = np.unique(row)
         leans.count(label, word[which], grams_of(which))
-    feats = []
-    for (which, back), label in zip(uniques, labels, strict=True):
-        own = leans.features_without(word[which], grams_of(which), length[which], label) if len(which) else np.zeros((FEATURES, 0), np.float32)
-        feats.append(own[:, back])
-    counts = np.array([f.shape[1] for f in feats])
-    flat = np.concatenate(feats, axis=1)
+    counts = np.array([len(row) for row in numbers])
     bases = np.cumsum(counts) - counts
+    flat = np.zeros((FEATURES, int(counts.sum())), np.float32)
     feats = [flat[:, a : a + n] for a, n in zip(bases.tolist(), counts.tolist(), strict=True)]
-    del token_lists, index, names, numbers, uniques, pieces, flat_grams, order, begin, many, word
+    for row, label, own in zip(numbers, labels, feats, strict=True):
+        if len(row):
+            which, back = np.unique(row, return_inverse=True)
+            own[:] = leans.features_without(word[which], grams_of(which), length[which], label)[:, back]
+    del numbers
 
     weights = fresh_weights(seed)
     model = Model(leans, weights)
