@@ -139,7 +139,8 @@ def summarise(
         if by:
             table = _null_safe_join(table, ap, by)
         else:
-            table = table.withColumn("_one", F.lit(1)).join(ap.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+            # one row, or none without scores
+            table = table.join(F.broadcast(ap), F.lit(True), "left")
     return table if model is None else table.withColumn("model", F.lit(model))
 
 
@@ -179,38 +180,50 @@ def with_error_type(predicted: DataFrame) -> DataFrame:
     return predicted.withColumn("error_type", kind)
 
 
-def _every_error_type(df: DataFrame) -> DataFrame:
-    """All four error types in report order, joined to what ``df`` has for them."""
+def _every_error_type(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All four error types in report order, joined to what ``df`` has for them (in each group ``by``)."""
     order = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(e).alias("error_type")) for i, e in enumerate(ERROR_ORDER)])
-    kinds = df.sparkSession.range(1).select(F.explode(order).alias("k")).select("k.*")
-    return kinds.join(df, "error_type", "left")
+    if by:
+        kinds = df.select(*by).distinct().select(*by, F.explode(order).alias("k")).select(*by, "k.*")
+    else:
+        kinds = df.sparkSession.range(1).select(F.explode(order).alias("k")).select("k.*")
+    return kinds.join(df, [*by, "error_type"], "left")
 
 
-def error_counts(typed: DataFrame) -> DataFrame:
-    counts = typed.groupBy("error_type").agg(F.count(F.lit(1)).alias("blocks"))
-    return _every_error_type(counts).select("place", "error_type", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+def error_counts(typed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    counts = typed.groupBy(*by, "error_type").agg(F.count(F.lit(1)).alias("blocks"))
+    return _every_error_type(counts, by).select(*by, "place", "error_type", F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
-def error_summary(typed: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
-    """Blocks, mean and median score, median and p95 of window counts per error type."""
-    key = ["error_type"]
+def error_summary(typed: DataFrame, limit: int = GROUP_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Blocks, mean and median score, median and p95 of window counts per error type (in each group ``by``)."""
+    key = [*by, "error_type"]
     means = typed.groupBy(*key).agg(F.count(F.lit(1)).alias("blocks"), F.avg("score").alias("score_mean"))
     score = quantiles(typed, key, "score", {"score_median": 0.5}, limit)
     sizes = quantiles(typed, key, "num_windows", {"windows_median": 0.5, "windows_p95": 0.95}, limit)
     joined = means.join(score, key, "left").join(sizes, key, "left")
-    return _every_error_type(joined).select(
-        "place", "error_type", F.coalesce("blocks", F.lit(0)).alias("blocks"), "score_mean", "score_median", "windows_median", "windows_p95"
+    return _every_error_type(joined, by).select(
+        *by, "place", "error_type", F.coalesce("blocks", F.lit(0)).alias("blocks"), "score_mean", "score_median", "windows_median", "windows_p95"
     )
 
 
-def top_false_positives(typed: DataFrame, n: int = TOP_ERRORS) -> DataFrame:
+def _first(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str]) -> DataFrame:
+    if not by:
+        return df.orderBy(*order).limit(n)
+    # the rank limit is applied before rows move
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def top_false_positives(typed: DataFrame, n: int = TOP_ERRORS, by: Sequence[str] = ()) -> DataFrame:
     wrong = typed.filter(F.col("error_type") == "FP")
-    return wrong.orderBy(F.desc("score"), F.desc("num_windows"), "block_id").limit(n)
+    return _first(wrong, [F.desc("score"), F.desc("num_windows"), F.asc("block_id")], n, by)
 
 
-def top_false_negatives(typed: DataFrame, n: int = TOP_ERRORS) -> DataFrame:
+def top_false_negatives(typed: DataFrame, n: int = TOP_ERRORS, by: Sequence[str] = ()) -> DataFrame:
     wrong = typed.filter(F.col("error_type") == "FN")
-    return wrong.orderBy("score", F.desc("num_windows"), "block_id").limit(n)
+    return _first(wrong, [F.asc("score"), F.desc("num_windows"), F.asc("block_id")], n, by)
+
 
 
 def score_quantiles(

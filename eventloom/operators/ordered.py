@@ -211,7 +211,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_
     quarters = quantiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, limit)
     if not keys:
         # both sides hold exactly one row
-        return moments.withColumn("_one", F.lit(1)).join(quarters.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        return moments.join(F.broadcast(quarters), F.lit(True), "left")
     return _null_safe_join(moments, quarters, keys)
 
 

@@ -90,5 +90,5 @@ def dataset_meta(windows: DataFrame, split: DataFrame, vocab_size: int, mode: st
         "unknown_event_id": F.lit(vocab_size - 1),
     }
     # two one-row tables side by side
-    both = per_window.withColumn("_one", F.lit(1)).join(per_block.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = per_window.crossJoin(F.broadcast(per_block))
     return both.withColumns(fixed)

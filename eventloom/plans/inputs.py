@@ -90,10 +90,9 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def traces(events_table: DataFrame) -> DataFrame:
-    """Blocks as list strings, in pieces of at most ``REQUEST_LINES`` events: (BlockId, Label, Type, Features, TimeInterval, Latency)."""
+    """Blocks as list strings: (BlockId, Label, Type, Features, TimeInterval, Latency)."""
     numbered = positions(events_table, ["block_id"], ["ts", "line_key"])
-    piece = F.concat_ws("-", "block_id", F.floor(F.col("pos") / REQUEST_LINES).cast("string"))
-    cut = numbered.select(piece.alias("BlockId"), "pos", F.unix_micros("ts").alias("at"), event_names("event").alias("name"), "event")
+    cut = numbered.select(F.col("block_id").alias("BlockId"), "pos", F.unix_micros("ts").alias("at"), event_names("event").alias("name"), "event")
     rows = cut.groupBy("BlockId").agg(
         F.array_sort(F.collect_list(F.struct("pos", "at", "name"))).alias("_e"),
         (4 * F.count(F.when(F.col("event") == 1, F.lit(1))) > F.count(F.lit(1))).alias("_bad"),

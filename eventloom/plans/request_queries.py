@@ -79,8 +79,8 @@ def history_stats_rollup(spark, folder):
 @query("history_purge", f"WITH {HIST} SELECT id, (SELECT count(*) FROM hi WHERE profile_id = 7) AS deleted FROM hi WHERE profile_id <> 7")
 def history_purge(spark, folder):
     kept, deleted = requests.purge(inputs.history(spark, folder), F.col("profile_id") == 7)
-    # one-row side
-    return kept.select("id", F.lit(1).alias("_one")).join(F.broadcast(deleted.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # one row on the right
+    return kept.select("id").crossJoin(F.broadcast(deleted))
 
 
 @query("history_with_profile", f"WITH {HIST}, {PROF} SELECT hi.id, email, role FROM hi JOIN pf ON pf.id = profile_id")

@@ -245,44 +245,46 @@ def score_histogram(spark, folder):
 
 @query(
     "error_types",
-    f"""WITH {CHOSEN} SELECT place, k.error_type, count(ty.block_id) AS blocks
-  FROM (VALUES (0, 'TN'), (1, 'FP'), (2, 'FN'), (3, 'TP')) k(place, error_type) LEFT JOIN (SELECT * FROM ty WHERE model = 'm37' AND split = 'test') ty USING (error_type) GROUP BY ALL""",
+    f"""WITH {CHOSEN} SELECT model, place, k.error_type, count(ty.block_id) AS blocks
+  FROM (SELECT DISTINCT model FROM ty) m CROSS JOIN (VALUES (0, 'TN'), (1, 'FP'), (2, 'FN'), (3, 'TP')) k(place, error_type)
+  LEFT JOIN (SELECT * FROM ty WHERE split = 'test') ty USING (model, error_type) GROUP BY ALL""",
 )
 def error_types(spark, folder):
-    return evaluation.error_counts(_test_errors(spark, folder))
+    return evaluation.error_counts(_test_errors(spark, folder), ["model"])
 
 
 def _test_errors(spark, folder):
     typed, _, _ = _chosen(spark, folder)
-    return typed.filter((F.col("model") == "m37") & (F.col("split") == "test"))
+    return typed.filter(F.col("split") == "test")
 
 
 @query(
     "error_summary",
-    f"""WITH {CHOSEN} SELECT place, k.error_type, count(ty.block_id) AS blocks, round(avg(score), 6) AS score_mean, round(quantile_cont(score, 0.5), 6) AS score_median,
+    f"""WITH {CHOSEN} SELECT model, place, k.error_type, count(ty.block_id) AS blocks, round(avg(score), 6) AS score_mean, round(quantile_cont(score, 0.5), 6) AS score_median,
     round(quantile_cont(CAST(num_windows AS DOUBLE), 0.5), 6) AS windows_median, round(quantile_cont(CAST(num_windows AS DOUBLE), 0.95), 6) AS windows_p95
-  FROM (VALUES (0, 'TN'), (1, 'FP'), (2, 'FN'), (3, 'TP')) k(place, error_type) LEFT JOIN (SELECT * FROM ty WHERE model = 'm37' AND split = 'test') ty USING (error_type) GROUP BY ALL""",
+  FROM (SELECT DISTINCT model FROM ty) m CROSS JOIN (VALUES (0, 'TN'), (1, 'FP'), (2, 'FN'), (3, 'TP')) k(place, error_type)
+  LEFT JOIN (SELECT * FROM ty WHERE split = 'test') ty USING (model, error_type) GROUP BY ALL""",
 )
 def error_summary(spark, folder):
-    return rounded(evaluation.error_summary(_test_errors(spark, folder)))
+    return rounded(evaluation.error_summary(_test_errors(spark, folder), by=["model"]))
 
 
 @query(
     "top_fp",
-    f"""WITH {CHOSEN} SELECT block_id, score, num_windows FROM ty WHERE model = 'm37' AND split = 'test' AND error_type = 'FP'
-  ORDER BY score DESC, num_windows DESC, block_id LIMIT 15""",
+    f"""WITH {CHOSEN} SELECT model, block_id, score, num_windows FROM ty WHERE split = 'test' AND error_type = 'FP'
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY score DESC, num_windows DESC, block_id) <= 15""",
 )
 def top_fp(spark, folder):
-    return evaluation.top_false_positives(_test_errors(spark, folder)).select("block_id", "score", "num_windows")
+    return evaluation.top_false_positives(_test_errors(spark, folder), by=["model"]).select("model", "block_id", "score", "num_windows")
 
 
 @query(
     "top_fn",
-    f"""WITH {CHOSEN} SELECT block_id, score, num_windows FROM ty WHERE model = 'm37' AND split = 'test' AND error_type = 'FN'
-  ORDER BY score, num_windows DESC, block_id LIMIT 15""",
+    f"""WITH {CHOSEN} SELECT model, block_id, score, num_windows FROM ty WHERE split = 'test' AND error_type = 'FN'
+  QUALIFY row_number() OVER (PARTITION BY model ORDER BY score, num_windows DESC, block_id) <= 15""",
 )
 def top_fn(spark, folder):
-    return evaluation.top_false_negatives(_test_errors(spark, folder)).select("block_id", "score", "num_windows")
+    return evaluation.top_false_negatives(_test_errors(spark, folder), by=["model"]).select("model", "block_id", "score", "num_windows")
 
 
 @query(

@@ -23,7 +23,7 @@ FEAT = LAB + ", " + PAIR + """, it AS (
 
 # Blocks as list strings, in pieces of 50 events.
 TRACE = EV + """, pc AS (
-  SELECT block_id || '-' || CAST(floor(pos / 50) AS BIGINT) AS BlockId, pos, event, ts FROM ev),
+  SELECT block_id AS BlockId, pos, event, ts FROM ev),
   pg AS (
   SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY BlockId ORDER BY pos))) / 1e6 AS gap FROM pc),
   tc AS (
@@ -296,10 +296,20 @@ def duplicate_keys(spark, folder):
 
 @query(
     "consistency_checks",
-    f"WITH {TRACE} SELECT CAST(0 AS BIGINT) AS length_mismatches, CAST(0 AS BIGINT) AS latency_mismatches, count(*) AS blocks FROM tc",
+    f"""WITH {TRACE} SELECT count(*) FILTER (CAST(BlockId AS BIGINT) % 7 = 0) AS length_mismatches,
+  count(*) FILTER (CAST(BlockId AS BIGINT) % 5 = 0) AS latency_mismatches, count(*) AS blocks FROM tc""",
 )
 def consistency_checks(spark, folder):
+    """Blocks of which every seventh has an interval too many and every fifth a wrong latency."""
     rows = inputs.traces(inputs.events(spark, folder))
+    number = F.col("BlockId").cast("bigint")
+    longer = F.when(F.col("TimeInterval") == "[]", "[0.0]").otherwise(F.regexp_replace("TimeInterval", "]$", ", 0.0]"))
+    rows = rows.withColumns(
+        {
+            "TimeInterval": F.when(number % 7 == 0, longer).otherwise(F.col("TimeInterval")),
+            "Latency": F.when(number % 5 == 0, F.col("Latency") + 1).otherwise(F.col("Latency")),
+        }
+    )
     return sequences.consistency(
         rows.select(
             list_items(F.col("Features")).alias("events"), list_numbers(F.col("TimeInterval")).alias("intervals"), F.col("Latency").alias("latency")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
 from eventloom.functions.text import drop_undecodable
 from eventloom.operators.logs import parse_lines, usable_lines
@@ -32,10 +34,29 @@ def with_watermark(events: DataFrame, late: str, ts: str = "ts") -> DataFrame:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped by the watermark over the progress reports the query still holds."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop, from every progress report of the queries that run while it is added.
+
+        counter = LateRows()
+        spark.streams.addListener(counter)
+        ...
+        counter.dropped[str(query.id)]
+
+    A query itself keeps its last hundred reports only.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        late = sum(int(operator.numRowsDroppedByWatermark) for operator in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] += late
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
