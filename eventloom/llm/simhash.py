@@ -13,6 +13,7 @@ links is kept, not every pair; a key with very many fingerprints is worked on in
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -42,8 +43,12 @@ TEXT_BYTES, KEYED = 1 << 20, 4096
 PASSAGE, SKETCH = 16, 512
 #: Texts that are summarised at once: all their hashes are held.
 SUMMARISED = 512
-#: Share of the passages of the longer text that a candidate pair has in common, and of shingles that a pair must.
-COMMON_PASSAGES, SIMILARITY = 0.2, 0.8
+#: Share of all their shingles that two near copies have in common.
+SIMILARITY = 0.8
+#: Least hashes of a band; share of the pairs just at the threshold that may have no band in common.
+BAND, MISSED = 5, 1e-7
+#: Texts and bytes of text that one task compares in pairs of blocks, each block of at most so many on average.
+BLOCK_TEXTS, BLOCK_BYTES = 4096, 8 << 20
 #: Fingerprints of one key that one task links at once.
 HOT = 50_000
 #: Keys of at most so many fingerprints are compared all at once.
@@ -184,15 +189,6 @@ def jaccard(a: bytes, b: bytes) -> float:
     return float(shared.mean()) if len(both) else 1.0
 
 
-def _summarised(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, SUMMARISED):
-            part = batch.slice(i, SUMMARISED)
-            fps, keys, sketches = summaries([(t or "").encode() for t in part.column(2).to_pylist()], k)
-            columns = [part.column(0), part.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "text_key", "fp", "passages", "sketch"])
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
@@ -408,39 +404,155 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, hot: int = HOT) ->
     return rows.join(classes, "fp").select(ided("doc").alias("doc_id"), text.alias("fingerprint"), ided("component").alias("component_id"))
 
 
-def similar_links(reps: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between fingerprints of reps(fp, passages, sketch) whose shingle sets are similar enough.
+# --- near copies
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """The distinct 64-bit shingle hashes of each text in order."""
+    found: list = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    parts: list[bytes] = []
+    owners: list[int] = []
+
+    def flush() -> None:
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        hashes, part = _shingles(np.frombuffer(b"".join(parts), np.uint8), offsets, k)
+        found.append((hashes, np.array(owners, np.int64)[part]))
+        parts.clear()
+        owners.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for piece in _pieces(text, k) if len(text) > TEXT_BYTES else (text,):
+            parts.append(piece)
+            owners.append(i)
+            size += len(piece)
+            if size >= TEXT_BYTES:
+                flush()
+                size = 0
+    if parts:
+        flush()
+    hashes, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _band_keys(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Keys of filled sets, a row each: bands of BAND smallest hashes under different permutations."""
+    bands = math.ceil(math.log(MISSED) / math.log1p(-(similarity**BAND))) if similarity < 1 else 1
+    draw = np.random.default_rng(1)
+    factors = draw.integers(0, 1 << 63, bands * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = draw.integers(0, 1 << 63, bands * BAND, np.uint64)
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0, *[len(x) for x in sets[:-1]]])
+    keys = np.empty((len(sets), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(sets), band, np.uint64)
+        for j in range(band * BAND, (band + 1) * BAND):
+            key = _mixed(key ^ np.minimum.reduceat(hashes * factors[j] + terms[j], starts))
+        keys[:, band] = key
+    return keys
+
+
+def near_keys(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Keys of each shingle set: sets that are similar enough share one, but for a share of MISSED at the threshold.
+
+    Sets without shingles share one key.
+    """
+    keys = [[] if len(x) else [np.zeros(1, np.uint64)] for x in sets]
+    long = [i for i, x in enumerate(sets) if len(x)]
+    if long:
+        for i, row in zip(long, _band_keys([sets[i] for i in long], similarity), strict=True):
+            keys[i].append(row)
+    return [np.unique(np.concatenate(x)).view(np.int64) for x in keys]
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links between the numbers of shingle sets that keep together what is similar enough, by their whole sets."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    many = np.bincount(ids)
+    first = np.cumsum(many) - many
+    waiting = np.ones(len(sets), bool)
+    left, right = [], []
+    for start in range(len(sets)):
+        frontier = [start] if waiting[start] else []
+        waiting[start] = False
+        while frontier and waiting.any():
+            at = frontier.pop()
+            own = ids[ends[at] - sizes[at] : ends[at]]
+            # who holds each of its shingles
+            n = many[own]
+            places = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(holders[places], minlength=len(sets))
+            near = np.flatnonzero(waiting & (both >= 1) & (both / np.maximum(sizes[at] + sizes - both, 1) >= similarity) if sizes[at] else waiting & (sizes == 0))
+            waiting[near] = False
+            left += [at] * len(near)
+            right += near.tolist()
+            frontier += near.tolist()
+    return left, right
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SUMMARISED):
+            part = batch.slice(i, SUMMARISED)
+            texts = [(t or "").encode() for t in part.column(2).to_pylist()]
+            columns = [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(near_keys(shingle_sets(texts, k), similarity), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "bytes", "keys"])
+
+
+def _compared(pdf: pd.DataFrame, k: int, similarity: float) -> pd.DataFrame:
+    nodes = pdf["node"].to_numpy()
+    a, b = similar_forest(shingle_sets([t.encode() for t in pdf["text"]], k), similarity)
+    return pd.DataFrame({"a": nodes[a], "b": nodes[b]}, dtype="int64")
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, k: int, similarity: float, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b): links that keep together whichever of texts(node, doc, bytes, keys) have shingle sets that are similar enough.
 
-    Texts that are this similar hold whole passages in common. Each passage key links its texts to the smallest and the
-    largest fingerprint that hold it, never to each other, and only pairs with enough keys in common are compared.
+    What shares a key, directly or by way of others, makes a set of candidates. Each set goes to one task with its texts
+    from docs(doc, node, text), where every two are compared by their whole shingle sets unless links join them already;
+    a large one is worked on in pairs of blocks.
     """
-    one = reps.select("fp", F.size("passages").alias("n"), F.explode("passages").alias("key"))
-    own = F.struct("fp", "n")
-    hubs = one.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where(F.col("low.fp") < F.col("high.fp"))
-    met = one.join(hubs, "key").select("fp", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).where(F.col("fp") != F.col("hub.fp"))
-    shared = met.groupBy("fp", "n", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = shared.where(F.col("shared") >= COMMON_PASSAGES * F.greatest("n", "hub.n")).select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("fp").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    alike = F.pandas_udf(lambda x, y: pd.Series([jaccard(a, b) for a, b in zip(x, y)], dtype="float64"), "double")
-    return pairs.where(alike("sketch_a", "sketch_b") >= similarity).select("a", "b")
-
-
-def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    one = texts.select("node", F.explode("keys").alias("key"))
+    hubs = one.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
+    met = components(one.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")))
+    members = texts.select("node", "doc", "bytes").join(met, "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / block_bytes, F.lit(1)))
+    members = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
+    whole = docs.join(members, ["doc", "node"]).dropDuplicates(["doc", "node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    spread = whole.select("root", "node", "text", own.alias("own"), other.alias("other"))
+    paired = spread.select("root", "node", "text", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return paired.groupBy("root", "i", "j").applyInPandas(partial(_compared, k=k, similarity=similarity), "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """documents with all their columns, one row of each group of near copies: that of the smallest doc_id, of equals one.
 
-    Rows are grouped where fingerprints are linked as in ``near_duplicates``, and, since texts of the given similarity often
-    differ in more bits than that, where passages in common show that their shingle sets are that similar.
+    Texts are grouped where links reach, each between two texts whose sets of word shingles have at least the given share
+    in common, counted on the whole sets. Texts without words are one group.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = cut_lineage(narrow.mapInArrow(partial(_summarised, k=shingle_words), "doc long, text_key long, fp long, passages array<long>, sketch binary"))
-    first = F.struct("doc", "text_key")
-    reps = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("keeper"), F.min_by(F.struct("passages", "sketch"), first).alias("s")).select("fp", "keeper", "s.*"))
-    edges = links(reps.select("fp"), hot).union(similar_links(reps, similarity))
-    roots = components(edges).select(F.col("node").alias("fp"), "root")
-    named = reps.select("fp", "keeper").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("keeper").alias("keeper"))
-    keepers = named.select(F.col("keeper.doc").alias("_doc"), F.col("keeper.text_key").alias("_key"))
-    row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(text).alias("_key"), F.struct("*").alias("_row"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    narrow = docs.select(doc.alias("doc"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = cut_lineage(narrow.mapInArrow(partial(_keyed, k=shingle_words, similarity=similarity), "doc long, node long, bytes long, keys array<long>"))
+    texts = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
+    roots = components(similar_links(narrow, texts, shingle_words, similarity, block_texts, block_bytes))
+    named = texts.select("node", "doc").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc", "node")).alias("keeper"))
+    keepers = named.select(F.col("keeper.doc").alias("_doc"), F.col("keeper.node").alias("_key"))
+    row = docs.select(doc.alias("_doc"), F.xxhash64(text).alias("_key"), F.struct("*").alias("_row"))
     kept = row.join(keepers, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"])
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
