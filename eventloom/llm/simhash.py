@@ -47,6 +47,8 @@ SUMMARISED = 512
 SIMILARITY = 0.8
 #: Least hashes of a band; share of the pairs just at the threshold that may have no band in common.
 BAND, MISSED = 5, 1e-7
+#: Shingles up to which a text has keys that no similar text can miss; longer ones have bands alone.
+COMPLETE = 64
 #: Texts and bytes of text that one task compares in pairs of blocks, each block of at most so many on average.
 BLOCK_TEXTS, BLOCK_BYTES = 4096, 8 << 20
 #: Fingerprints of one key that one task links at once.
@@ -462,15 +464,56 @@ def _band_keys(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return keys
 
 
+def _size_classes(most: int, similarity: float) -> list[int]:
+    """Least size of each class, up to the first that is over ``most``: similar sets are of one class or of two in a row."""
+    least = [1]
+    while least[-1] <= most:
+        least.append(int(least[-1] / similarity + 1e-9) + 1)
+    return least
+
+
+def _complete_keys(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Keys of small filled sets of which similar sets always share one.
+
+    The sets of two classes in a row differ in at most ``apart`` hashes if they are similar, so of more parts than that, into
+    which hashes fall by their value, one at least is equal. Only where a set fills no more than ``apart`` parts may all equal ones
+    be empty; then its empty parts have keys too.
+    """
+    sizes = np.array([len(x) for x in sets])
+    least = np.array(_size_classes(int(sizes.max()), similarity))
+    least = np.append(least, int(least[-1] / similarity + 1e-9) + 1)
+    hashes = _mixed(np.concatenate(sets))
+    keys, owners = [], []
+    for step in (0, 1):
+        pair = np.searchsorted(least, sizes, "right") - 1 + step
+        apart = (2 * (least[pair + 1] - 1) * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+        parts = np.where(apart > 0, apart + 3 + apart // 4, 1)
+        begin = np.cumsum(parts) - parts
+        place = np.repeat(begin, sizes) + (hashes % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64)
+        total = np.zeros(parts.sum(), np.uint64)
+        np.add.at(total, place, hashes)
+        owner = np.repeat(np.arange(len(sets)), parts)
+        filled = np.bincount(place, minlength=len(total)) > 0
+        few = np.bincount(owner, filled, len(sets)) <= apart
+        number = (np.arange(len(total)) - begin[owner]).astype(np.uint64) | (pair[owner].astype(np.uint64) << np.uint64(32))
+        given = filled | few[owner]
+        keys.append(_mixed(total ^ _mixed(number + np.uint64(1)))[given])
+        owners.append(owner[given])
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.split(key[order], np.searchsorted(owner[order], np.arange(1, len(sets))))
+
+
 def near_keys(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
-    """Keys of each shingle set: sets that are similar enough share one, but for a share of MISSED at the threshold.
+    """Keys of each shingle set: sets that are similar enough share one, but for a share of MISSED of large ones at the threshold.
 
     Sets without shingles share one key.
     """
     keys = [[] if len(x) else [np.zeros(1, np.uint64)] for x in sets]
-    long = [i for i, x in enumerate(sets) if len(x)]
-    if long:
-        for i, row in zip(long, _band_keys([sets[i] for i in long], similarity), strict=True):
+    # sizes that a small set and its like may have need both
+    for least, most, give in ((1, COMPLETE / similarity + 1e-9, _complete_keys), (COMPLETE + 1, math.inf, _band_keys)):
+        own = [i for i, x in enumerate(sets) if least <= len(x) <= most]
+        for i, row in zip(own, give([sets[i] for i in own], similarity) if own else (), strict=True):
             keys[i].append(row)
     return [np.unique(np.concatenate(x)).view(np.int64) for x in keys]
 
