@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 
 #: Share of an item's canonical characters that may be inserted, deleted or replaced.
 RATE = 0.06
-#: Canonical characters below which an item is not looked for: a few common words are no leak.
+#: Canonical characters below which ``contaminations`` and ``clean`` leave an item out unless told otherwise; the query and
+#: the pipeline look for all items.
 LEAST_CHARS = 40
+#: Canonical characters below which an item must be found as it is and as whole words.
+EDITED_CHARS = 17
 #: Canonical characters of the items that one broadcast block holds.
 BLOCK_CHARS = 4_000_000
 
 _PLAIN = re.compile(r"[^\W_]+")
+#: Letters of scripts that put no space between words: Thai, Lao, Burmese, Khmer, kana, ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def canonical(text: str | None) -> str:
@@ -70,6 +75,13 @@ def bits_of(pattern: str) -> dict[str, int]:
     return out
 
 
+def _parted(text: str, at: int) -> bool:
+    """Whether a word may begin or end before character ``at`` of a canonical text."""
+    if at in (0, len(text)) or " " in text[at - 1 : at + 1]:
+        return True
+    return bool(_UNSPACED.match(text[at - 1]) or _UNSPACED.match(text[at]))
+
+
 class Finder:
     """Items of one block, ready to be looked for."""
 
@@ -91,10 +103,15 @@ class Finder:
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end) of each item that the canonical text holds: its best place, the leftmost of equals."""
         windows: dict[int, list[list[int]]] = {}
+        whole: dict[int, int] = {}  # ends of short items
         if len(self.automaton):
             for end, (size, where) in self.automaton.iter(text):
                 for number, offset in where:
                     _, item, budget = self.items[number]
+                    if len(item) < EDITED_CHARS:
+                        if number not in whole and _parted(text, end + 1 - size) and _parted(text, end + 1):
+                            whole[number] = end + 1
+                        continue
                     start = end + 1 - size - offset  # where the item would begin without edits
                     low, high = max(0, start - budget), min(len(text), start + len(item) + budget)
                     spans = windows.setdefault(number, [])
@@ -105,7 +122,7 @@ class Finder:
                             break
                     else:
                         spans.append([low, high])
-        found = []
+        found = [(self.items[number][0], 0, end) for number, end in whole.items()]
         for number, spans in windows.items():
             item_id, item, budget = self.items[number]
             if number not in self.bits:
@@ -143,12 +160,12 @@ def _blocks(bench: DataFrame, rate: float, least: int, block_chars: int) -> Iter
     block, size, seen = [], 0, set()
     for row in bench.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         text = canonical(row.text)
-        if len(text) < least or (row.item_id, text) in seen:
+        if len(text) < max(least, 1) or (row.item_id, text) in seen:
             continue
         if size + len(text) > block_chars and block:
             yield block
             block, size, seen = [], 0, set()
-        block.append((row.item_id, text, int(rate * len(text))))
+        block.append((row.item_id, text, int(rate * len(text)) if len(text) >= EDITED_CHARS else 0))
         seen.add((row.item_id, text))
         size += len(text)
     if block:
@@ -161,8 +178,8 @@ def contaminations(
     """(doc_id, item_id, distance, end, budget, item_chars) for each document and benchmark item it contains.
 
     ``distance`` is the least number of canonical characters to edit in the item so that the document contains
-    it, at most ``budget``; ``end`` is where that place ends in the canonical document. Items shorter than
-    ``least`` canonical characters, null ids and null texts of items are left out; null and empty documents
+    it, at most ``budget``; ``end`` is where that place ends in the canonical document. Items under EDITED_CHARS canonical
+    characters must stand there unedited and as whole words. Items shorter than ``least`` canonical characters, null ids and null texts of items are left out; null and empty documents
     contain nothing. An id that stands for several texts, or several rows of one doc_id, give their best row
     once; a null doc_id counts as one document. Other columns are ignored; empty tables give no rows.
     """
