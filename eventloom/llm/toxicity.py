@@ -242,6 +242,7 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
     constant: float | None = None  # the score of every text where the sample holds one class at most
+    untaught: bool = False  # no toxic text with words was seen
 
     def document_logits(self, feats: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The highest logit over all windows of each text; feats holds the texts' words one after the other."""
@@ -280,11 +281,12 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = No
     leans = Leans()
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
-        return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2))
+        untaught = not any(label and words_of(t) for t, label in zip(texts, labels, strict=True))
+        return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2), untaught=untaught)
     index: dict[str, int] = {}
     numbers = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
     if not index:
-        return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2))
+        return Model(leans, fresh_weights(seed), constant=(sum(labels) + 1) / (len(labels) + 2), untaught=True)
     names = list(index)
     del index
     word = np.zeros(len(names), np.int64)
@@ -432,7 +434,12 @@ def score_documents(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of documents whose score is below the threshold, as they are; the model learns from all given labels."""
+    """The rows of documents whose score is below the threshold, as they are; the model learns from all given labels.
+
+    Where no labels are drawn, or only clean ones, or only texts without words, nothing toxic is known and all rows are kept.
+    """
     model = fit_labelled(docs, labels)
+    if model.untaught:
+        return docs
     scored = score_documents(docs, model, F.struct("*").alias("_row"))
     return scored.where(F.col("score") < threshold).select("_row.*")
