@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, decontam, lines, mixing, pieces, sharding, simhash, topk, toxicity, warc
+from eventloom.llm import alignment, chat, decontam, lines, mixing, packing, pieces, sharding, simhash, topk, toxicity, warc
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -228,3 +228,20 @@ def op10_piece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), "digest")
+
+
+@query("op11_packed_sequences")
+def op11_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), form="digest")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text in byte-level tokens and in pieces, and how often their linked ids are linked in all texts."""
+    import public_tokenizers
+
+    tokenizer, model = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, folder, "documents"), tokenizer, model, "digest")
