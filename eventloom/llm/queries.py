@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import alignment, chat, decontam, lines, mixing, packing, pieces, sharding, simhash, topk, toxicity, warc
+from eventloom.llm import alignment, chat, decontam, intervals, lines, mixing, packing, pieces, sharding, simhash, topk, toxicity, warc
+from eventloom.session import cut_lineage
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -238,6 +239,34 @@ def op11_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), form="digest")
 
 
+_RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+i AS (
+  SELECT row_number() OVER () AS i, item_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT i, item_id, t, count(*) AS often FROM (SELECT i, item_id, unnest(ts) AS t FROM i) GROUP BY i, item_id, t),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(ts) AS t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+s AS (
+  SELECT i, item_id, doc_id, r, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t), g GROUP BY i, item_id, doc_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op12_ranked_intervals", _RANKED_SQL)
+def op12_ranked_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    index = cut_lineage(intervals.build_index(table(spark, folder, "documents")))
+    return intervals.rank(index, table(spark, folder, "benchmark"))
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole text in byte-level tokens and in pieces, and how often their linked ids are linked in all texts."""
