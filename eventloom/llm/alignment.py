@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.chunks import TABLE_CHARS, cut, cuttable, grouped, is_blank
+from eventloom.llm.chunks import cut, cuttable, grouped, is_blank
 from eventloom.llm.pieces import gather
 from eventloom.session import cut_lineage
 
 MARK = "▁"
 #: Chunks that are aligned in one call.
 JOINED_CHUNKS = 2048
+#: Characters of the chunks that a process keeps; the table starts anew beyond, which only costs time.
+TABLE_CHARS = 4_000_000
 #: Characters from which a chunk is aligned by itself.
 LONG_CHUNK = 1000
 

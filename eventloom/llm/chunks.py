@@ -21,8 +21,10 @@ from eventloom.llm.pieces import gather
 #: A space between two characters that no pattern counts as blank.
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\u2060\ufeff]) (?=[^\s\u180e\u200b\u2060\ufeff])")
 _BLANK = re.compile(r"[\s\u180e\u200b\u2060\ufeff]")
-#: Characters of the chunks that a task keeps; the table starts anew beyond, which only costs time.
-TABLE_CHARS = 4_000_000
+#: Any other space.
+_OTHER_SPACE = re.compile(r"^ | $| [\s\u180e\u200b\u2060\ufeff]|[\s\u180e\u200b\u2060\ufeff] ")
+#: Characters of the chunks that a process keeps; the table starts anew beyond, which only costs time.
+TABLE_CHARS = 10_000_000
 #: Chunks that are encoded in one call.
 JOINED_CHUNKS = 4096
 #: Characters after which a group of texts is put together.
@@ -36,7 +38,7 @@ def is_blank(char: str) -> bool:
 
 def cut(text: str) -> list[str]:
     """Chunks of a text; joined by single spaces they are the text again."""
-    return _CUT.split(text)
+    return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
 
 
 def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
@@ -100,7 +102,7 @@ class IdTable:
 
     def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for chunks without a blank inside, in one call: a token with a space in front opens the next chunk."""
-        ids = np.array(self.tokenizer.encode(" " + " ".join(chunks), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.whole([" " + " ".join(chunks)])[0], np.uint32)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(chunks) or (len(ids) and starts[0]):
             return self._each(chunks)
@@ -108,8 +110,9 @@ class IdTable:
 
     def add(self, chunks: Iterable[str]) -> None:
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        single = [c for c in new if c and not _BLANK.search(c)]
-        special = [c for c in new if not c or _BLANK.search(c)]
+        blank = [not c or _BLANK.search(c) is not None for c in new]
+        single = [c for c, x in zip(new, blank, strict=True) if not x]
+        special = [c for c, x in zip(new, blank, strict=True) if x]
         parts = [(single[i : i + JOINED_CHUNKS], self._joined) for i in range(0, len(single), JOINED_CHUNKS)] + [(special, self._each)]
         flats, counts = [self.flat], [self.lengths]
         for part, encode_part in parts:
