@@ -21,8 +21,8 @@ from eventloom.llm.pieces import gather
 #: A space between two characters that no pattern counts as blank.
 _CUT = re.compile(r"(?<=[^\s\u180e\u200b\u2060\ufeff]) (?=[^\s\u180e\u200b\u2060\ufeff])")
 _BLANK = re.compile(r"[\s\u180e\u200b\u2060\ufeff]")
-#: Any other space.
-_OTHER_SPACE = re.compile(r"^ | $| [\s\u180e\u200b\u2060\ufeff]|[\s\u180e\u200b\u2060\ufeff] ")
+#: Blanks other than the space and the end of a line.
+_RARE = re.compile(r"[\t\r\f\v\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Characters of the chunks that a process keeps; the table starts anew beyond, which only costs time.
 TABLE_CHARS = 10_000_000
 #: Chunks that are encoded in one call.
@@ -38,7 +38,9 @@ def is_blank(char: str) -> bool:
 
 def cut(text: str) -> list[str]:
     """Chunks of a text; joined by single spaces they are the text again."""
-    return _CUT.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
+    if "  " in text or " \n" in text or "\n " in text or text[:1] in ("", " ") or text[-1] == " " or _RARE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 def grouped(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
