@@ -18,12 +18,11 @@ from eventloom.session import cut_lineage
 WILDCARD = "<*>"
 SIMILARITY = 0.4
 LEADING_TOKENS = 1
+#: Branches of a node, the wildcard's included.
+MAX_CHILDREN = 100
 
 #: Parts that the distinct messages of a leaf are dealt into.
 PARTS = 64
-#: Templates up to which they are broadcast; each is a few hundred bytes.
-BROADCAST_TEMPLATES = 20_000
-
 TEMPLATE_DDL = "leaf STRING, template ARRAY<STRING>, first_key STRING, messages BIGINT"
 
 
@@ -31,11 +30,28 @@ def masked_tokens(content: Column) -> Column:
     return tokens(mask(content))
 
 
-def _leaf(words: Column) -> Column:
-    """Route by token count and leading token; tokens with digits share the wildcard branch."""
-    lead = F.slice(words, 1, F.least(F.lit(LEADING_TOKENS), F.greatest(F.size(words) - 1, F.lit(0))))
-    branch = F.transform(lead, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t))
-    return F.concat_ws(" ", F.size(words).cast("string"), F.array_join(branch, " "))
+def _lead(words: Column) -> Column:
+    """The leading token that decides the branch: null for a single word, the wildcard for tokens with digits."""
+    lead = F.get(words, F.lit(0))
+    branch = F.when(lead.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(lead)
+    return F.when(F.size(words) > LEADING_TOKENS, branch)
+
+
+def _routed(distinct: DataFrame, children: int) -> DataFrame:
+    """Add ``leaf`` to distinct messages: their token count and leading token.
+
+    Of each token count the ``children - 1`` leading tokens that appear first have a leaf of their own; tokens with
+    digits and all later ones share the leaf of the wildcard.
+    """
+    named = distinct.withColumn("_size", F.size("template")).withColumn("_lead", _lead(F.col("template")))
+    literal = named.where((F.col("_lead") != WILDCARD) & F.col("_lead").isNotNull())
+    firsts = literal.groupBy("_size", "_lead").agg(F.min("first_key").alias("_first"))
+    # a limit by rank: each task passes on the first ones of a token count only
+    place = F.row_number().over(Window.partitionBy("_size").orderBy("_first", "_lead"))
+    own = firsts.withColumn("_place", place).where(F.col("_place") <= children - 1).select("_size", "_lead", F.lit(True).alias("_own"))
+    routed = named.join(own, ["_size", "_lead"], "left")
+    branch = F.when(F.col("_own"), F.col("_lead")).when(F.col("_lead").isNotNull(), F.lit(WILDCARD)).otherwise("")
+    return routed.withColumn("leaf", F.concat_ws(" ", F.col("_size").cast("string"), branch)).drop("_size", "_lead", "_own")
 
 
 def _sort_text(column: Column, kind: T.DataType) -> Column:
@@ -92,23 +108,19 @@ def mine_templates(
     similarity: float = SIMILARITY,
     max_clusters: int | None = None,
     words: str | None = None,
+    children: int = MAX_CHILDREN,
 ) -> DataFrame:
     """Mine templates: ``event_id`` (dense, first seen first), ``template``, ``messages``.
 
     Equal masked messages are first counted together, so work after the first shuffle follows the number
     of distinct messages. The messages of a leaf are dealt by their hash into ``PARTS`` parts, whatever their number;
     each part is folded in order, then the parts' templates are. Templates so depend on the messages alone, not on
-    their number or partitioning. ``words`` names a column of masked tokens, if they exist already; more than
+    their number or partitioning. A token count has at most ``children`` leaves (``_routed``). ``words`` names a column of masked tokens, if they exist already; more than
     ``max_clusters`` templates, where it is given, are an error.
     """
-    key = [_sort_text(F.col(c), messages.schema[c].dataType) for c in order]
-    keyed = messages.select(
-        (F.col(words) if words else masked_tokens(F.col(content))).alias("template"), F.concat_ws("|", *key).alias("_key")
-    )
-    distinct = keyed.groupBy("template").agg(
-        F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages"), F.max(F.size("template")).alias("_words")
-    )
-    distinct = distinct.filter(F.col("_words") > 0).drop("_words").withColumn("leaf", _leaf(F.col("template")))
+    if children < 1:
+        raise ValueError("a node needs at least the wildcard's branch")
+    distinct = _routed(cut_lineage(_distinct(messages, F.col(words) if words else masked_tokens(F.col(content)), order)), children)
 
     def fold(leaf: pd.DataFrame) -> pd.DataFrame:
         return _generalise(leaf, similarity)
@@ -126,41 +138,76 @@ def mine_templates(
     return numbered.select("event_id", "template", "messages", "first_key")
 
 
-def leaf_sizes(messages: DataFrame, content: str = "content") -> DataFrame:
-    """Messages and distinct masked messages per leaf, to see how even the mining work is."""
-    words = messages.select(masked_tokens(F.col(content)).alias("template"))
-    distinct = words.groupBy("template").agg(F.count(F.lit(1)).alias("messages"))
-    return distinct.groupBy(_leaf(F.col("template")).alias("leaf")).agg(
-        F.sum("messages").alias("messages"), F.count(F.lit(1)).alias("distinct_messages")
+def _distinct(messages: DataFrame, words: Column, order: Iterable[str]) -> DataFrame:
+    """(template, first_key, messages) of the distinct token lists that are not empty."""
+    key = [_sort_text(F.col(c), messages.schema[c].dataType) for c in order]
+    keyed = messages.select(words.alias("template"), F.concat_ws("|", *key).alias("_key"))
+    distinct = keyed.groupBy("template").agg(
+        F.min("_key").alias("first_key"), F.count(F.lit(1)).alias("messages"), F.max(F.size("template")).alias("_words")
     )
+    return distinct.filter(F.col("_words") > 0).drop("_words")
 
 
-def match_templates(
-    messages: DataFrame, templates: DataFrame, words: str = "tokens", prefer: str = "wildcards"
+def leaf_sizes(
+    messages: DataFrame, content: str = "content", order: Iterable[str] = ("timestamp", "line_key"), children: int = MAX_CHILDREN
 ) -> DataFrame:
-    """Add ``cluster_id``: the template every token agrees with, else null.
+    """Messages and distinct masked messages per leaf, to see how even the mining work is."""
+    distinct = _routed(cut_lineage(_distinct(messages, masked_tokens(F.col(content)), order)), children)
+    return distinct.groupBy("leaf").agg(F.sum("messages").alias("messages"), F.count(F.lit(1)).alias("distinct_messages"))
+
+
+def template_index(templates: DataFrame) -> DataFrame:
+    """(size, at, token, event_id, template): every template under its rarest literal, the one that fewest templates share.
+
+    Literals are told apart by the token count and their place. A template of wildcards alone lies at place -1.
+    """
+    sized = templates.select("event_id", "template", F.size("template").alias("size"))
+    literals = sized.select("event_id", "size", F.posexplode("template").alias("at", "token")).where(F.col("token") != WILDCARD)
+    shared = literals.groupBy("size", "at", "token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        literals.join(shared, ["size", "at", "token"])
+        .groupBy("event_id")
+        .agg(F.min(F.struct("n", "at", "token")).alias("key"))
+        .select("event_id", F.col("key.at").alias("at"), F.col("key.token").alias("token"))
+    )
+    return sized.join(rarest, "event_id", "left").select(
+        "size", F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("token", F.lit(WILDCARD)).alias("token"), "event_id", "template"
+    )
+
 
-    Templates become one row per length with candidates in order of preference, so each message meets one row
-    and picks its match; the rows are broadcast if a count proves the templates few. Ties go to the template with
-    most wildcards, as in mining (or most ``literals``), then to the lowest id.
+def matches(distinct: DataFrame, templates: DataFrame, words: str, prefer: str = "wildcards") -> DataFrame:
+    """(words, cluster_id) of the distinct token lists that agree with a template, by equality on its rarest literal.
+
+    Each list offers its tokens, each template waits at one place, and only pairs that meet there are compared in
+    full, so the work follows the lists and not lists times templates.
     """
     if prefer not in ("literals", "wildcards"):
         raise ValueError("prefer must be literals or wildcards")
+    index = template_index(templates)
+    anywhere = F.array(F.struct(F.lit(-1).alias("at"), F.lit(WILDCARD).alias("token")))
+    offered = F.concat(anywhere, F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))))
+    offers = distinct.select(words, F.size(words).alias("size"), F.explode(offered).alias("o")).select(words, "size", "o.at", "o.token")
+    met = offers.join(broadcast_if_small(index), ["size", "at", "token"])
+    pairs = F.zip_with(F.col(words), F.col("template"), lambda t, p: (t == p) | (p == WILDCARD))
     literals = F.size(F.filter("template", lambda t: t != WILDCARD))
     wanted = -literals if prefer == "literals" else literals
-    candidates = (
-        templates.groupBy(F.size("template").alias("_len"))
-        .agg(F.array_sort(F.collect_list(F.struct(wanted.alias("w"), F.col("event_id").alias("id"), "template"))).alias("_c"))
-    )
-    few = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
-    joined = messages.withColumn("_len", F.size(words)).join(F.broadcast(candidates) if few else candidates, "_len", "left")
+    agreed = met.where(F.forall(pairs, lambda ok: ok)).select(words, F.struct(wanted.alias("w"), F.col("event_id").alias("id")).alias("_c"))
+    return agreed.groupBy(words).agg(F.min("_c").alias("_c")).select(words, F.col("_c.id").alias("cluster_id"))
 
-    def agrees(candidate: Column) -> Column:
-        pairs = F.zip_with(F.col(words), candidate["template"], lambda t, p: (t == p) | (p == WILDCARD))
-        return F.forall(pairs, lambda ok: ok)
 
-    hit = F.try_element_at(F.filter("_c", agrees), F.lit(1))
-    return joined.withColumn("cluster_id", hit["id"]).drop("_len", "_c")
+def match_templates(
+    messages: DataFrame, templates: DataFrame, words: str = "tokens", prefer: str = "wildcards"
+) -> DataFrame:
+    """Add ``cluster_id``: the template every token agrees with, else null.
+
+    Distinct token lists are matched once (``matches``) and the ids go back by list, so a message is never compared
+    with a template itself. Ties go to the template with most wildcards, as in mining (or most ``literals``),
+    then to the lowest id. ``event_id`` of the templates must be unique; null token lists match nothing.
+    """
+    distinct = messages.where(F.col(words).isNotNull()).select(words).distinct()
+    found = cut_lineage(matches(distinct, templates, words, prefer))
+    known = found.select(F.col(words).alias("_words"), "cluster_id")
+    return messages.join(broadcast_if_small(known), F.col(words) == F.col("_words"), "left").drop("_words")
 
 
 def dense_ids(labels: DataFrame, label: str, first_key: str) -> DataFrame:

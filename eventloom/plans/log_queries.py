@@ -136,6 +136,30 @@ def template_match(spark, folder):
     return as_double(known.select("line_id", "cluster_id", F.col("event_id").alias("event")), "cluster_id")
 
 
+@query(
+    "template_match_many",
+    """SELECT l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line,
+  CASE WHEN l_orderkey % 4 = 0 THEN CAST(l_orderkey * 10 AS DOUBLE) WHEN bool_or(l_returnflag <> 'A') OVER (PARTITION BY l_orderkey, l_linenumber) THEN CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) END AS cluster_id
+  FROM lineitem""",
+)
+def template_match_many(spark, folder):
+    """A template for almost every order line, and a wider one for every fourth order, which goes first."""
+    lines = inputs.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("order_key"), F.col("l_linenumber").cast("bigint").alias("line"), "l_returnflag"
+    )
+    order, line = F.concat(F.lit("o"), F.col("order_key").cast("string")), F.concat(F.lit("l"), F.col("line").cast("string"))
+    wild, words = F.lit(templates.WILDCARD), [F.lit(w) for w in ("order", "line", "shipped", "by")]
+    narrow = lines.where("l_returnflag <> 'A'").select(
+        (F.col("order_key") * 10 + F.col("line")).alias("event_id"), F.array(words[0], order, words[1], line, words[2], words[3], wild).alias("template")
+    ).distinct()
+    wide = lines.where("order_key % 4 = 0").select("order_key").distinct().select(
+        (F.col("order_key") * 10).alias("event_id"), F.array(words[0], order, words[1], wild, words[2], words[3], wild).alias("template")
+    )
+    messages = lines.select("order_key", "line", F.array(words[0], order, words[1], line, words[2], words[3], F.col("l_returnflag")).alias("tokens"))
+    matched = templates.match_templates(messages, narrow.unionByName(wide))
+    return as_double(matched.select("order_key", "line", "cluster_id"), "cluster_id")
+
+
 @query(
     "dense_event_ids",
     """WITH f AS (SELECT event_type AS label, min(event_id) AS k FROM events GROUP BY 1),
@@ -164,6 +188,28 @@ def template_mining_wildcards(spark, folder):
     return mined.select("event_id", F.array_join("template", " ").alias("template"), "messages")
 
 
+_LEADS = "translate(CAST(user_id AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+@query(
+    "template_mining_many_children",
+    f"""WITH w AS (SELECT {_LEADS} AS lead, event_type, event_id FROM events),
+  f AS (SELECT lead, row_number() OVER (ORDER BY min(event_id)) AS place FROM w GROUP BY lead),
+  r AS (SELECT w.*, CASE WHEN place < 20 THEN lead END AS own FROM w JOIN f USING (lead)),
+  t AS (
+  SELECT own, min(event_id) AS k, count(*) AS messages, CASE WHEN count(DISTINCT lead) > 1 THEN '<*>' ELSE min(lead) END AS lead,
+    CASE WHEN count(DISTINCT event_type) > 1 THEN '<*>' ELSE min(event_type) END AS type FROM r GROUP BY own)
+  SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS event_id, lead || ' did task ' || type || ' fine' AS template, messages FROM t""",
+)
+def template_mining_many_children(spark, folder):
+    """More leading words than a node has branches: the first ones keep their own, the rest share the wildcard's."""
+    raw = inputs.table(spark, folder, "events")
+    lead = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
+    words = F.array(lead, F.lit("did"), F.lit("task"), F.col("event_type"), F.lit("fine"))
+    mined = templates.mine_templates(raw.select(words.alias("tokens"), "event_id"), words="tokens", order=["event_id"], children=20)
+    return mined.select("event_id", F.array_join("template", " ").alias("template"), "messages")
+
+
 @query(
     "template_leaf_sizes",
     f"""WITH {_KINDS} SELECT CAST(len(string_split(template, ' ')) AS VARCHAR) || ' ' || string_split(template, ' ')[1] AS leaf,
