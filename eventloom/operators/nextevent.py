@@ -22,20 +22,43 @@ BROADCAST_CELLS = 1_000_000
 
 @dataclass(frozen=True)
 class NextEventModel:
-    """Smoothed next-event probabilities for contexts of 1 to ``order`` events.
+    """Smoothed next-event probabilities for contexts of 1 to ``order`` events, of which only seen cells are kept.
 
-    ``table`` holds (context, next, log_prob, rank) for every event of the vocabulary after every context
-    seen in training; other contexts are uniform.
+    ``table`` holds (context, next, log_prob, rank, seen): one row for every event seen after a context in training,
+    and for every context a row without ``next`` that speaks for all other events, with their common log_prob, the
+    number of seen events as rank, and those events. Its rows are at most twice the training positions of each order,
+    whatever the vocabulary. Contexts that are not in it are uniform, or with ``backoff`` stand for their longest
+    known ending.
     """
 
     table: DataFrame
     vocab_size: int
     order: int
+    backoff: bool = False
 
     @property
     def cells_bound(self) -> int:
         return self.order * self.vocab_size ** (self.order + 1)
 
+    def cells(self, length: int) -> DataFrame:
+        """(context, next, log_prob, rank) of seen cells with contexts of that length."""
+        return self.table.where((F.size("context") == length) & F.col("next").isNotNull()).select("context", "next", "log_prob", "rank")
+
+    def others(self, length: int) -> DataFrame:
+        """(context, log_prob, seen) for the events not seen after a context of that length."""
+        return self.table.where((F.size("context") == length) & F.col("next").isNull()).select("context", "log_prob", "seen")
+
+    def probabilities(self, length: int) -> DataFrame:
+        """(context, next, log_prob, rank) for every event of the vocabulary after every known context: a grid, on demand only."""
+        every = F.sequence(F.lit(0), F.lit(self.vocab_size - 1))
+        others = self.others(length).withColumn("next", F.explode(F.array_except(every, "seen")))
+        return self.cells(length).unionByName(others.select("context", "next", "log_prob", unseen_rank(F.col("seen"), F.col("next")).alias("rank")))
+
+
+def unseen_rank(seen: Column, event: Column) -> Column:
+    """The rank of an event that was not seen: behind all seen ones, by number among the others."""
+    return F.size(seen) + 1 + event - F.size(F.filter(seen, lambda x: x < event))
+
 
 def _context_rows(events: DataFrame, order: int, limit: int) -> DataFrame:
     """Each event with the next ``order`` events (columns next_1, next_2, ...) and its position."""
@@ -48,7 +71,7 @@ def _context(k: int) -> Column:
 
 
 def fit_next_event(
-    events: DataFrame, vocab_size: int, order: int = 1, alpha: float = 1.0, limit: int = GROUP_ROWS
+    events: DataFrame, vocab_size: int, order: int = 1, alpha: float = 1.0, limit: int = GROUP_ROWS, backoff: bool = False
 ) -> NextEventModel:
     """Count what follows each context in (training) events and smooth with ``alpha`` per event."""
     if order < 1:
@@ -66,47 +89,55 @@ def fit_next_event(
         .groupBy("context", "next")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # per context: at most one entry per event of the vocabulary
-    per_context = counts.groupBy("context").agg(
-        F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("seen"), F.sum("n").alias("total")
+    # per context: at most one entry per event seen after it
+    ranked = counts.groupBy("context").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("next").cast("int").alias("next")))).alias("_r"), F.sum("n").alias("_total")
     )
-    dense = per_context.select(
-        "context", "seen", "total", F.explode(F.sequence(F.lit(0), F.lit(vocab_size - 1))).alias("next")
+    cells = F.transform("_r", lambda x, i: F.struct(x["next"].alias("next"), (-x["less"]).alias("n"), (i + 1).alias("rank")))
+    other = F.array(F.struct(F.lit(None).cast("int").alias("next"), F.lit(0).cast("long").alias("n"), F.size("_r").alias("rank")))
+    rows = ranked.select(
+        "context", "_total", F.array_sort(F.transform("_r", lambda x: x["next"])).alias("_seen"), F.explode(F.concat(cells, other)).alias("c")
     )
-    n = F.coalesce(F.try_element_at("seen", F.col("next")), F.lit(0))
-    by_likelihood = Window.partitionBy("context").orderBy(F.desc(n), "next")
-    table = dense.select(
+    table = rows.select(
         "context",
-        "next",
-        F.log((n + alpha) / (F.col("total") + alpha * vocab_size)).alias("log_prob"),
-        F.row_number().over(by_likelihood).alias("rank"),
+        "c.next",
+        F.log((F.col("c.n") + alpha) / (F.col("_total") + alpha * vocab_size)).alias("log_prob"),
+        "c.rank",
+        F.when(F.col("c.next").isNull(), F.col("_seen")).alias("seen"),
     )
-    return NextEventModel(table, vocab_size, order)
+    return NextEventModel(table, vocab_size, order, backoff)
 
 
 def event_surprise(events: DataFrame, model: NextEventModel, top_k: int = 3, limit: int = GROUP_ROWS) -> DataFrame:
     """(block_id, pos, nll, miss): what the model thought of the events after position ``pos``.
 
     ``nll[k-1]`` and ``miss[k-1]`` belong to the event at ``pos + k`` seen after the ``k`` events from
-    ``pos`` on. Each event is looked up once per context length, not once per window that covers it. Rows
-    without ``order`` following events are left out.
+    ``pos`` on. Each event is looked up once per context length, not once per window that covers it; with
+    back-off once more for every shorter ending of the context. Rows without ``order`` following events are left out.
     """
     check_top_k(top_k)
     rows = _context_rows(events, model.order, limit).filter(F.col(f"next_{model.order}").isNotNull())
     uniform = float(np.log(model.vocab_size))
     cap = min(top_k, model.vocab_size)
+    fitted = F.broadcast if model.cells_bound <= BROADCAST_CELLS else lambda part: part
+    names = ["event", *[f"next_{i}" for i in range(1, model.order + 1)]]
     for k in range(1, model.order + 1):
-        part = model.table.filter(F.size("context") == k).select(
-            F.col("context").alias("_ctx"), F.col("next").alias("_next"), "log_prob", "rank"
-        )
-        if model.cells_bound <= BROADCAST_CELLS:
-            part = F.broadcast(part)
-        on = (_context(k) == F.col("_ctx")) & (F.col(f"next_{k}") == F.col("_next"))
+        target = F.col(names[k])
+        known = []
+        for length in range(k, 0, -1) if model.backoff else [k]:
+            context = F.array(*names[k - length : k])
+            cells = model.cells(length).select(F.col("context").alias("_ctx"), F.col("next").alias("_next"), F.struct("log_prob", "rank").alias(f"_cell_{length}"))
+            others = model.others(length).select(F.col("context").alias("_ctx"), F.struct("log_prob", "seen").alias(f"_other_{length}"))
+            rows = rows.join(fitted(cells), (context == F.col("_ctx")) & (target == F.col("_next")), "left").drop("_ctx", "_next")
+            rows = rows.join(fitted(others), context == F.col("_ctx"), "left").drop("_ctx")
+            other = F.col(f"_other_{length}")
+            unseen = F.when(other.isNotNull(), F.struct(other["log_prob"].alias("log_prob"), unseen_rank(other["seen"], target).alias("rank")))
+            known.append(F.coalesce(f"_cell_{length}", unseen))
+        rows = rows.withColumn("_found", F.coalesce(*known))
         rows = (
-            rows.join(part, on, "left")
-            .withColumn(f"nll_{k}", F.coalesce(-F.col("log_prob"), F.lit(uniform)))
-            .withColumn(f"miss_{k}", (F.coalesce("rank", F.col(f"next_{k}") + 1) > cap).cast("int"))
-            .drop("_ctx", "_next", "log_prob", "rank")
+            rows.withColumn(f"nll_{k}", F.coalesce(-F.col("_found.log_prob"), F.lit(uniform)))
+            .withColumn(f"miss_{k}", (F.coalesce("_found.rank", target + 1) > cap).cast("int"))
+            .select(*[c for c in rows.columns if not c.startswith("_")], f"nll_{k}", f"miss_{k}")
         )
     orders = range(1, model.order + 1)
     return rows.select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +72,7 @@ def fit_scorer(lines: DataFrame, split: DataFrame, threshold: float, window: int
     """Templates and model from the training lines, with a decision threshold."""
     table = event_table(lines, split.filter(F.col("split") == "train"))
     fitted = nextevent.fit_next_event(table.events, table.vocab_size)
-    model = nextevent.NextEventModel(cut_lineage(fitted.table), table.vocab_size, fitted.order)
+    model = replace(fitted, table=cut_lineage(fitted.table))
     return Scorer(table.templates, model, threshold, window, **settings)
 
 
@@ -93,7 +93,7 @@ def score_and_evaluate(
     """
     strategies = check_strategies(strategies)
     model = nextevent.fit_next_event(splits.only_split(events, split, "train"), vocab_size, order)
-    model = nextevent.NextEventModel(cut_lineage(model.table), vocab_size, order)
+    model = replace(model, table=cut_lineage(model.table))
     held_out = split.filter(F.col("split") != "train")
     judged = events.join(held_out.select("block_id"), "block_id", "left_semi")
     blocks = scoring.score_events(judged, model, window, 1, labels, strategies)

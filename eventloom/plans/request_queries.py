@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from eventloom.functions import privacy, text
 from eventloom.operators import audit, requests
-from eventloom.operators.nextevent import NextEventModel
 from eventloom.plans import inputs
 from eventloom.plans.inputs import VOCAB, WINDOW
 from eventloom.plans.registry import EV, HIST, MODEL, PROF, joined, query, rounded
@@ -272,7 +273,7 @@ def _drain(spark, stream, mode: str = "append"):
 )
 def stream_block_score(spark, folder):
     _, _, _, model = fitted(spark, folder)
-    table = NextEventModel(cut_lineage(model.table), VOCAB, 1)
+    table = replace(model, table=cut_lineage(model.table))
     stream = stream_blocks.running_scores(
         _stream_blocks(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")), table, WINDOW, 1.7
     )

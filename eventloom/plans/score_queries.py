@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from eventloom.operators import evaluation, learners, nextevent, runs, scoring, sequences, splits, windows
@@ -33,6 +35,38 @@ def position_nll(spark, folder):
     return rounded(rows.select("block_id", "pos", F.element_at("nll", 1).alias("nll"), F.element_at("miss", 1).alias("miss")))
 
 
+@query(
+    "nextevent_backoff",
+    f"""WITH {SPLIT}, p AS (
+    SELECT block_id, pos, e AS a, lead(e) OVER w AS b, lead(e, 2) OVER w AS c, lead(e, 3) OVER w AS y
+    FROM (SELECT block_id, pos, event + {VOCAB} * (line_key % 7) AS e FROM ev) WINDOW w AS (PARTITION BY block_id ORDER BY pos)),
+  tr AS (SELECT * FROM p JOIN sp USING (block_id) WHERE split = 'train'),
+  c1 AS (SELECT a AS x, b AS y, count(*) AS n FROM tr WHERE b IS NOT NULL GROUP BY ALL),
+  c2 AS (SELECT a AS w, b AS x, c AS y, count(*) AS n FROM tr WHERE c IS NOT NULL GROUP BY ALL),
+  c3 AS (SELECT a AS v, b AS w, c AS x, y, count(*) AS n FROM tr WHERE y IS NOT NULL GROUP BY ALL),
+  t1 AS (SELECT x, sum(n) AS t FROM c1 GROUP BY ALL), t2 AS (SELECT w, x, sum(n) AS t FROM c2 GROUP BY ALL), t3 AS (SELECT v, w, x, sum(n) AS t FROM c3 GROUP BY ALL),
+  e AS (SELECT range AS y FROM range({7 * VOCAB})),
+  g AS (
+    SELECT p.block_id, p.pos, p.y AS hit, e.y, coalesce(t3.t, t2.t, t1.t, 0) AS t,
+      CASE WHEN t3.t IS NOT NULL THEN coalesce(c3.n, 0) WHEN t2.t IS NOT NULL THEN coalesce(c2.n, 0) WHEN t1.t IS NOT NULL THEN coalesce(c1.n, 0) ELSE 0 END AS n
+    FROM p CROSS JOIN e
+    LEFT JOIN t1 ON t1.x = p.c LEFT JOIN t2 ON t2.w = p.b AND t2.x = p.c LEFT JOIN t3 ON t3.v = p.a AND t3.w = p.b AND t3.x = p.c
+    LEFT JOIN c1 ON c1.x = p.c AND c1.y = e.y LEFT JOIN c2 ON c2.w = p.b AND c2.x = p.c AND c2.y = e.y
+    LEFT JOIN c3 ON c3.v = p.a AND c3.w = p.b AND c3.x = p.c AND c3.y = e.y
+    WHERE p.y IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY block_id, pos ORDER BY n DESC, y) AS rank FROM g)
+  SELECT block_id, pos, round(-ln((n + 1.0) / (t + {7 * VOCAB}.0)), 6) AS nll, CASE WHEN rank > 3 THEN 1 ELSE 0 END AS miss FROM r WHERE y = hit""",
+)
+def nextevent_backoff(spark, folder):
+    """Contexts of three events out of a vocabulary in which most of them never occur in training: these fall back to their endings."""
+    events, _, split, _ = fitted(spark, folder)
+    wide = events.withColumn("event", (F.col("event") + VOCAB * (F.col("line_key") % 7)).cast("int"))
+    model = nextevent.fit_next_event(splits.only_split(wide, split, "train"), 7 * VOCAB, 3, backoff=True)
+    model = replace(model, table=cut_lineage(model.table))
+    rows = nextevent.event_surprise(wide, model)
+    return rounded(rows.select("block_id", "pos", F.element_at("nll", 3).alias("nll"), F.element_at("miss", 3).alias("miss")))
+
+
 @query(
     "window_scores",
     f"""WITH {WSCORE} SELECT block_id, start, topk_last, round(topk_all, 6) AS topk_all, round(topk_last3, 6) AS topk_last3,

@@ -488,7 +488,7 @@ def interval_box(spark, folder):
 def nextevent_probs(spark, folder):
     train = splits.only_split(inputs.events(spark, folder), _split(spark, folder), "train")
     model = nextevent.fit_next_event(train, VOCAB)
-    return rounded(model.table.select(F.element_at("context", 1).alias("prev"), "next", "log_prob", "rank"))
+    return rounded(model.probabilities(1).select(F.element_at("context", 1).alias("prev"), "next", "log_prob", "rank"))
 
 
 @query(

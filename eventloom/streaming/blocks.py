@@ -29,10 +29,25 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return batch.sort_values(["ts", "line_key"])
 
 
+class Surprise:
+    """The surprise of a first-order model: its seen cells by key, and one value for all other events after an event."""
+
+    def __init__(self, keys: np.ndarray, nll: np.ndarray, others: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.nll, self.others = keys[order], nll[order], others
+
+    def __call__(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        wanted = before * len(self.others) + after
+        if not len(self.keys):
+            return self.others[before]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.nll[at], self.others[before])
+
+
 class BlockScores(StatefulProcessor):
     """Running maximum and mean surprise of each block with a first-order model."""
 
-    def __init__(self, surprise: np.ndarray, window: int, threshold: float) -> None:
+    def __init__(self, surprise: Surprise, window: int, threshold: float) -> None:
         self.surprise, self.window, self.threshold = surprise, window, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,7 +59,7 @@ class BlockScores(StatefulProcessor):
         last, seen, top, total, alerted = self.state.get() if self.state.exists() else (-1, 0, 0.0, 0.0, False)
         before = np.concatenate([[last], events[:-1]]) if seen else events[:-1]
         after = events if seen else events[1:]
-        nll = self.surprise[before, after]
+        nll = self.surprise(before, after)
         if len(nll):
             top, total = max(top, float(nll.max())), total + float(nll.sum())
         seen += len(events)
@@ -74,14 +89,17 @@ def running_scores(events: DataFrame, model: NextEventModel, window: int, thresh
     """
     if model.order != 1:
         raise ValueError("the streaming score uses a first-order model")
-    if model.cells_bound > BROADCAST_CELLS:
-        raise ValueError("the vocabulary is too large to ship with the tasks")
     use_rocksdb(events)
     v = model.vocab_size
-    surprise = np.full((v, v), np.log(v))
-    # bounded by the check above
-    for row in model.table.select(F.element_at("context", 1).alias("prev"), "next", "log_prob").collect():
-        surprise[row["prev"], row["next"]] = -row["log_prob"]
+    # at most BROADCAST_CELLS rows leave the cluster, whatever the vocabulary
+    seen = model.cells(1).select(F.element_at("context", 1).alias("prev"), "next", "log_prob").limit(BROADCAST_CELLS + 1).toPandas()
+    if len(seen) > BROADCAST_CELLS:
+        raise ValueError("the model has too many cells to ship with the tasks")
+    rest = model.others(1).select(F.element_at("context", 1).alias("prev"), "log_prob").toPandas()
+    others = np.full(v, np.log(v))
+    others[rest["prev"].to_numpy(dtype=int)] = -rest["log_prob"].to_numpy(dtype=float)
+    keys = seen["prev"].to_numpy(dtype=np.int64) * v + seen["next"].to_numpy(dtype=np.int64)
+    surprise = Surprise(keys, -seen["log_prob"].to_numpy(dtype=float), others)
     keyed = events.select("block_id", "ts", "line_key", "event").groupBy("block_id")
     return keyed.transformWithStateInPandas(
         BlockScores(surprise, window, threshold), SCORE_DDL, "Update", "None"
