@@ -90,7 +90,7 @@ def swapped_answers(conversations: DataFrame) -> DataFrame:
     something else. A conversation whose partner is missing, or that lacks an answer on either side, makes no
     pair. Rows without conv_id belong to no conversation. All rows move once, by partner.
     """
-    rows = conversations.where("conv_id is not null").select("conv_id", F.floor(F.col("conv_id") / 2).alias("_both"), "turn", "role", "text")
+    rows = conversations.where("conv_id is not null").select("conv_id", F.shiftright("conv_id", 1).alias("_both"), "turn", "role", "text")
     each = turns_of(rows.repartition("_both"), "_both", "conv_id")
     answer = F.get(F.reverse(F.filter("turns", lambda t: t["role"] == ASSISTANT)), F.lit(0))
     backwards = F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"]), ASSISTANT)

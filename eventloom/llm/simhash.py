@@ -354,13 +354,20 @@ def _block_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def dealt(fps: DataFrame) -> DataFrame:
+    """Fingerprints over all tasks: few bytes come in and many keys go out, so none should get more than its share.
+
+    By a hash of the column: by the column itself rows that an aggregate has dealt already would stay where they are.
+    """
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+
+
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b): links between the distinct fingerprints of column ``fp`` that keep together whatever is within RADIUS bits.
 
     Not all pairs are given, but whoever follows the links reaches exactly what all pairs would reach.
     """
-    # few bytes in, many out: no task should get more than its share
-    keyed = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp").mapInArrow(_keys, "key long, fp long")
+    keyed = dealt(fps).mapInArrow(_keys, "key long, fp long")
     swept = cut_lineage(
         keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(partial(_stream, hot=hot), "a long, b long, n long")
     )
