@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.chunks import cut, cuttable, grouped, is_blank
+from eventloom.llm.chunks import byte_symbols, cut, cuttable, grouped, is_blank
 from eventloom.llm.pieces import gather
 from eventloom.session import cut_lineage
 
@@ -37,13 +37,6 @@ TABLE_CHARS = 4_000_000
 LONG_CHUNK = 1000
 
 
-def byte_symbols() -> dict[str, int]:
-    """The character by which a byte-level vocabulary writes each byte: itself where it prints, else the next from U+0100 on."""
-    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(prints)]
-    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 def byte_level_tokens(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer; a token outside its alphabet stands for its own text."""
     symbols = byte_symbols()
