@@ -20,7 +20,8 @@ def fitted(spark, folder, order: int = 1):
     labels = inputs.labels(events)
     split = splits.split_blocks(labels)
     model = nextevent.fit_next_event(splits.only_split(events, split, "train"), VOCAB, order)
-    return events, labels, split, model
+    # read for seen cells and for the rest
+    return events, labels, split, replace(model, table=cut_lineage(model.table))
 
 
 def scored_windows(spark, folder, order: int = 1):
