@@ -34,10 +34,13 @@ def append_outcomes(outcomes: DataFrame, path: str) -> None:
     """Add complete request outcomes to the stored history, one folder per day.
 
     Requests that the same days of the history hold already are not added again, and of a request that occurs
-    several times in one call one row is added, so a job that is run twice stores each request once.
+    several times in one call one row is added (rows without request id are all added), so a job that is run twice stores each request once.
     """
     spark = outcomes.sparkSession
-    dated = outcomes.withColumn("day", F.to_date("created_at")).dropDuplicates(["request_id", "day"])
+    dated = outcomes.withColumn("day", F.to_date("created_at"))
+    if "request_id" in dated.columns:
+        named = dated.where(F.col("request_id").isNotNull()).dropDuplicates(["request_id", "day"])
+        dated = named.unionByName(dated.where(F.col("request_id").isNull()))
     try:
         stored = read_history(spark, path).select("request_id", "day")
     except AnalysisException:  # nothing is stored yet
