@@ -14,6 +14,7 @@ from eventloom.plans.registry import EV, HIST, MODEL, PROF, joined, query, round
 from eventloom.plans.score_queries import fitted
 from eventloom.session import cut_lineage, fresh_dir
 from eventloom.streaming import blocks as stream_blocks
+from eventloom.streaming import event_order
 from eventloom.streaming import requests as stream_requests
 from eventloom.streaming.lines import with_watermark
 
@@ -282,6 +283,58 @@ def stream_block_score(spark, folder):
     return rounded(rows.groupBy("block_id").agg(last.alias("l"), F.max("alert").alias("alert")).select("block_id", "l.*", "alert"))
 
 
+_DAY = 86_400_000
+_ARRIVED = f"""{MODEL}, rg AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ev),
+  ar AS (
+  SELECT block_id, line_key, event, epoch_us(ts) AS us,
+         greatest(0, least(2, CAST(floor(3.0 * (epoch_us(ts) + (line_key % 7 - 3) * {_DAY}000 - lo) / (hi - lo + 1)) AS BIGINT))) AS part FROM ev, rg),
+  wm AS (SELECT p.range AS part, coalesce((SELECT max(us) // 1000 - {2 * _DAY} FROM ar WHERE ar.part < p.range), 0) AS passed FROM range(4) p),
+  kp AS (SELECT ar.*, passed > 0 AND us // 1000 <= passed AS late FROM ar JOIN wm USING (part)),
+  rl AS (
+  SELECT block_id, us, line_key, event, lag(event) OVER (PARTITION BY block_id ORDER BY us, line_key) AS prev
+  FROM kp WHERE NOT late AND (us // 1000 // {_DAY} + 1) * {_DAY} <= (SELECT passed FROM wm WHERE part = 3))"""
+
+
+def _scored_in_parts(spark, folder):
+    """(scores, late rows) of events that arrive in three parts, up to three days out of order, with a watermark of two days."""
+    _, _, _, model = fitted(spark, folder)
+    rows = inputs.events(spark, folder)
+    at = F.unix_micros("ts")
+    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    shifted = at + (F.col("line_key") % 7 - 3) * (_DAY * 1000)
+    part = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((shifted - F.col("lo")) * 3.0 / (F.col("hi") - F.col("lo") + 1))))
+    # one row on the right
+    dealt = cut_lineage(rows.crossJoin(F.broadcast(ends)).withColumn("part", part).drop("lo", "hi"))
+    arriving, scores, late, state = (fresh_dir(spark, n) for n in ("arriving", "scores", "late", "state"))
+    for number in range(3):
+        dealt.where(F.col("part") == number).drop("part").write.mode("append").parquet(arriving)
+        stream = with_watermark(spark.readStream.schema(rows.schema).parquet(arriving), "2 days")
+        scored = event_order.ordered_scores(stream, model, WINDOW, 1.7, slot_seconds=_DAY // 1000)
+        # each part meets the state that the run before has left
+        event_order.write_scores(scored, scores, late, state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(scores), spark.read.parquet(late)
+
+
+@query(
+    "stream_score_event_order",
+    f"""WITH {_ARRIVED}
+  SELECT block_id, n AS events, round(CASE WHEN n > 10 THEN top END, 6) AS score, round(CASE WHEN n > 10 THEN mean END, 6) AS mean_nll, n > 10 AND top >= 1.7 AS alert
+  FROM (SELECT block_id, count(*) AS n, max(nll) AS top, avg(nll) AS mean FROM rl LEFT JOIN md ON rl.prev = md.prev AND rl.event = md.next GROUP BY block_id)""",
+)
+def stream_score_event_order(spark, folder):
+    """Scores in event order of rows that arrive out of order over three runs of a stream."""
+    scores, _ = _scored_in_parts(spark, folder)
+    last = F.max_by(F.struct("events", "score", "mean_nll"), "events")
+    return rounded(scores.groupBy("block_id").agg(last.alias("l"), F.max("alert").alias("alert")).select("block_id", "l.*", "alert"))
+
+
+@query("stream_late_rows", f"WITH {_ARRIVED} SELECT block_id, line_key, event, us FROM kp WHERE late")
+def stream_late_rows(spark, folder):
+    """The rows that the watermark had passed when they arrived, each with its columns."""
+    _, late = _scored_in_parts(spark, folder)
+    return late.select("block_id", "line_key", "event", F.unix_micros("ts").alias("us"))
+
+
 @query(
     "stream_sessions",
     f"""WITH {EV}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY block_id ORDER BY pos)) < 43200000000 THEN 0 ELSE 1 END AS new FROM ev),
