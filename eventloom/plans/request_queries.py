@@ -13,6 +13,7 @@ from eventloom.plans.inputs import VOCAB, WINDOW
 from eventloom.plans.registry import EV, HIST, MODEL, PROF, joined, query, rounded
 from eventloom.plans.score_queries import fitted
 from eventloom.session import cut_lineage, fresh_dir
+from eventloom.sources import requests as stored_requests
 from eventloom.streaming import blocks as stream_blocks
 from eventloom.streaming import event_order
 from eventloom.streaming import requests as stream_requests
@@ -414,5 +415,21 @@ def stream_history_append(spark, folder):
     out, state = fresh_dir(spark, "history"), fresh_dir(spark, "state")
     running = stream_requests.append_history(twice, out, state).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema(twice.schema).parquet(out).select("id", "status_code")
+    return stored_requests.read_history(spark, out).select("id", "status_code")
+
+
+@query(
+    "history_versions",
+    f"""WITH {HIST} SELECT v.version, id FROM hi, (VALUES (1), (2), (3)) v(version)
+  WHERE (id % 2 = 0 OR v.version > 1 AND id % 3 = 0) AND NOT (v.version = 3 AND profile_id = 7)""",
+)
+def history_versions(spark, folder):
+    """Two overlapping appends and a purge; every version stays readable."""
+    named = inputs.history(spark, folder).withColumn("request_id", F.col("id").cast("string"))
+    path = fresh_dir(spark, "history")
+    for divisor in (2, 3):
+        stored_requests.append_outcomes(named.where(F.col("id") % divisor == 0), path)
+    stored_requests.purge_history(spark, path, F.col("profile_id") == 7)
+    parts = [stored_requests.read_history(spark, path, n).select(F.lit(n).alias("version"), "id") for n in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from eventloom.operators.requests import OK
+from eventloom.sources.requests import append_outcomes
 from eventloom.streaming.blocks import use_rocksdb
 
 AUDIT_DDL = "limit_key STRING, request_id STRING, ts TIMESTAMP, estimate BIGINT, allowed BOOLEAN, remaining BIGINT"
@@ -89,16 +90,16 @@ def audit_stream(requests: DataFrame, amount: int, seconds: int) -> DataFrame:
 
 
 def append_history(outcomes: DataFrame, path: str, checkpoint: str, late: str = "10 minutes") -> DataStreamWriter:
-    """Writer that stores each request outcome exactly once.
+    """Writer that adds each request outcome once to a history that ``sources.requests`` reads and writes too.
 
-    Requests repeated within ``late`` are dropped by id. Each micro-batch owns a folder, named by the checkpoint and
-    its number: a batch that is run again replaces what it wrote before, and a stream that starts anew with another
-    checkpoint leaves earlier rows alone.
+    Requests repeated within ``late`` are dropped by id. Each micro-batch becomes a version of the history, which
+    records the checkpoint's name and the number of the batch: a batch that is run again adds nothing, and a stream
+    that starts anew with another checkpoint leaves earlier rows alone.
     """
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     unique = outcomes.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["request_id"])
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream}/batch={number}")
+        append_outcomes(batch, path, (stream, number), check_stored=False)
 
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
