@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from eventloom.functions import privacy, text
-from eventloom.operators import audit, requests
+from eventloom.operators import audit, requests, sketches
 from eventloom.plans import inputs
 from eventloom.plans.inputs import VOCAB, WINDOW
 from eventloom.plans.registry import EV, HIST, MODEL, PROF, joined, query, rounded
@@ -79,6 +79,42 @@ def history_stats_rollup(spark, folder):
     return rounded(rolled.withColumn("profile_id", F.coalesce("profile_id", F.lit(-1).cast("bigint"))))
 
 
+_COUNTED = """count(*) AS total_requests, count(*) FILTER (status_code = 200) AS successful_requests, round(avg(processing_ms), 6) AS mean_processing_ms,
+  round(avg(num_log_lines), 6) AS mean_num_log_lines, max(num_log_lines) AS max_num_log_lines, true AS within"""
+
+
+@query(
+    "history_stats_sketched",
+    f"""WITH {HIST} SELECT 'all' AS level, CAST(-1 AS BIGINT) AS key, {_COUNTED} FROM hi
+  UNION ALL SELECT 'day', CAST(epoch(date_trunc('day', created_at)) AS BIGINT), {_COUNTED} FROM hi GROUP BY 2
+  UNION ALL SELECT 'profile', profile_id, {_COUNTED} FROM hi GROUP BY 2""",
+)
+def history_stats_sketched(spark, folder):
+    """Statistics per profile and hour, stored once, merged to profiles, days and everything.
+
+    ``within`` says whether the true ranks of all three quantiles are at most two error bounds from those asked for.
+    """
+    history = inputs.history(spark, folder)
+    stored = cut_lineage(sketches.history_sketches(history, ["profile_id"]))
+    one = F.lit(-1).cast("bigint")
+    keys = {"all": (one, one), "day": (F.unix_timestamp(F.date_trunc("day", "started")), F.unix_timestamp(F.date_trunc("day", "created_at"))), "profile": (F.col("profile_id"), F.col("profile_id"))}
+    levels = []
+    for level, (of_parts, of_rows) in keys.items():
+        found = cut_lineage(sketches.sketched_stats(sketches.merge_sketches(stored.withColumn("key", of_parts), ["key"])))
+        rows = history.select(of_rows.alias("_key"), "processing_ms").join(found.select("key", *sketches.QUANTILES), F.col("_key").eqNullSafe(F.col("key")))
+        wide = 2 * sketches.rank_error()
+        near = F.lit(True)
+        for name, share in sketches.QUANTILES.items():
+            below = F.count(F.when(F.col("processing_ms") < F.col(name), 1)) / F.count("processing_ms")
+            upto = F.count(F.when(F.col("processing_ms") <= F.col(name), 1)) / F.count("processing_ms")
+            # equal values share the ranks between the two
+            near = near & (below <= share + wide) & (upto >= share - wide)
+        checked = rows.groupBy("_key").agg(near.alias("within"))
+        shown = found.join(checked, F.col("_key").eqNullSafe(F.col("key")))
+        levels.append(shown.select(F.lit(level).alias("level"), "key", "total_requests", "successful_requests", "mean_processing_ms", "mean_num_log_lines", "max_num_log_lines", "within"))
+    return rounded(levels[0].unionByName(levels[1]).unionByName(levels[2]))
+
+
 @query("history_purge", f"WITH {HIST} SELECT id, (SELECT count(*) FROM hi WHERE profile_id = 7) AS deleted FROM hi WHERE profile_id <> 7")
 def history_purge(spark, folder):
     kept, deleted = requests.purge(inputs.history(spark, folder), F.col("profile_id") == 7)
@@ -367,7 +403,9 @@ def stream_closed_sequences(spark, folder):
 @query(
     "stream_request_stats",
     f"""WITH {HIST} SELECT epoch_us(date_trunc('hour', created_at)) AS window_start, count(*) AS total_requests, count(*) FILTER (status_code = 200) AS successful_requests,
-  count(*) FILTER (status_code <> 200) AS failed_requests, round(avg(processing_ms), 6) AS mean_processing_ms, min(num_log_lines) AS min_num_log_lines, max(num_log_lines) AS max_num_log_lines
+  count(*) FILTER (status_code <> 200) AS failed_requests, round(avg(processing_ms), 6) AS mean_processing_ms, min(num_log_lines) AS min_num_log_lines, max(num_log_lines) AS max_num_log_lines,
+  round(quantile_disc(processing_ms, 0.5), 6) AS p50_processing_ms, round(quantile_disc(processing_ms, 0.95), 6) AS p95_processing_ms,
+  round(quantile_disc(processing_ms, 0.99), 6) AS p99_processing_ms
   FROM hi GROUP BY 1 HAVING epoch_us(date_trunc('hour', max(created_at))) + 3600000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""",
 )
 def stream_request_stats(spark, folder):
@@ -388,6 +426,9 @@ def stream_request_stats(spark, folder):
             "mean_processing_ms",
             "min_num_log_lines",
             "max_num_log_lines",
+            "p50_processing_ms",
+            "p95_processing_ms",
+            "p99_processing_ms",
         )
     )
 
