@@ -88,14 +88,18 @@ def op3_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _entities(text: str) -> str:
-    """The SQL of the named references."""
-    for name, char in warc.ENTITIES:
-        quoted = char.replace("'", "''")
-        text = f"replace({text}, '{name}', '{quoted}')"
-    return f"""replace(list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '{warc.NUMBER_PATTERN}'))),
-      lambda a, r: CASE WHEN CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER) BETWEEN 1 AND 55295 OR CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER) BETWEEN 57344 AND 65535
-        THEN replace(a, r, chr(CAST(regexp_extract(r, '{warc.NUMBER_PATTERN}', 1) AS INTEGER))) ELSE a END), '&amp;', '&')"""
+    """The SQL of the character references: each distinct one is looked up or counted out, the ampersand comes last."""
+    names = ", ".join(f"{_quoted(name)}: {_quoted(char)}" for name, char in warc.NAMED.items())
+    code = "CAST(CASE WHEN lower(r[3]) = 'x' THEN '0x' || r[4:-2] ELSE r[3:-2] END AS INTEGER)"
+    return f"""replace(list_reduce(list_prepend({text}, list_distinct(regexp_extract_all({text}, '&(?:#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,7}});'))),
+      lambda a, r: CASE WHEN r = '&amp;' THEN a WHEN r[2] <> '#' THEN replace(a, r, coalesce(MAP {{{names}}}[r], r))
+        WHEN {code} = 38 THEN replace(a, r, '&amp;')
+        WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND {warc.LAST_CHAR} THEN replace(a, r, chr({code})) ELSE a END), '&amp;', '&')"""
 
 
 def _one_line(text: str) -> str:
@@ -109,6 +113,7 @@ def _uuid(seed: str) -> str:
 
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
+_HREF = r"""(?i)[\s"'']href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
 _WARC_SQL = f"""
 WITH s AS (
   SELECT page_id AS key, coalesce(url, '') AS uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS pd FROM pages),
@@ -116,7 +121,8 @@ i AS (
   SELECT *, {_uuid("'response|' || coalesce(CAST(key AS VARCHAR), '') || '|' || uri || '|' || pd")} AS rid,
     regexp_replace(regexp_replace(regexp_replace(payload, '{warc.HIDDEN_PATTERN}', '', 'g'), '{warc.BREAK_PATTERN}', chr(10), 'g'), '{warc.TAG_PATTERN}', '', 'g') AS bare,
     regexp_extract(payload, '{warc.TITLE_PATTERN}', 1) AS title,
-    regexp_extract_all(payload, '{warc.LINK_PATTERN}', 1) AS links FROM s),
+    list_transform(list_filter(regexp_extract_all(payload, '(?i)<a\\s[^>]*'), lambda t: regexp_matches(t, '{_HREF}')),
+      lambda t: regexp_extract(t, '{_HREF}', 1) || regexp_extract(t, '{_HREF}', 2) || regexp_extract(t, '{_HREF}', 3)) AS links FROM s),
 x AS (
   SELECT *, trim(regexp_replace(regexp_replace({_entities("bare")}, '{warc.BLANK_PATTERN}', ' ', 'g'), '{warc.LINES_PATTERN}', chr(10), 'g'), ' ' || chr(10)) AS text FROM i),
 b AS (

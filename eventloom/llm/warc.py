@@ -7,6 +7,8 @@ and date. Column functions only; nothing is shuffled.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +17,19 @@ VERSION = "WARC/1.1"
 #: Elements without readable text, and those that end a line.
 HIDDEN = ("script", "style", "noscript", "template")
 BREAKS = "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td th thead title tr ul"
-#: Named character references that are resolved, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"))
+#: Named character references by the standard table of names; the ampersand is resolved last, by itself.
+NAMED = {f"&{name};": chr(code) for name, code in name2codepoint.items() if name != "amp"} | {"&nbsp;": " ", "&apos;": "'"}
+NAME_PATTERN = r"&[A-Za-z][A-Za-z0-9]{1,7};"
 
 HIDDEN_PATTERN = "(?is)<(?:!--.*?-->|" + "|".join(rf"{n}\b[^>]*>.*?</{n}\s*>" for n in HIDDEN) + ")"
 BREAK_PATTERN = rf"(?i)</?(?:{'|'.join(BREAKS.split())})\b[^>]*>"
 TAG_PATTERN = r"</?[a-zA-Z!?][^>]*>"
-NUMBER_PATTERN = r"&#([0-9]{1,6});"
+NUMBER_PATTERN = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+#: Characters above are for private use.
+LAST_CHAR = 0xEFFFF
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title\s*>"
-LINK_PATTERN = r'(?i)<a\s[^>]*?href="([^"]*)"'
+#: The address of a link as it stands: in double quotes, single quotes or none.
+LINK_PATTERN = r"""(?i)<a(?:\s[^>]*?)?[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Blanks that are not one space already.
 BLANK_PATTERN = r" ?[\t\r\f\x{0B}][ \t\r\f\x{0B}]*|  [ \t\r\f\x{0B}]*"
 LINES_PATTERN = r" ?\n[ \n]*"
@@ -40,12 +46,15 @@ def record_id(seed: Column) -> Column:
 
 
 def _numbers(text: Column) -> Column:
-    """Decimal character references resolved; those of no character are left as they are."""
+    """Decimal and hexadecimal character references resolved; those of no character are left as they are."""
 
     def resolve(out: Column, ref: Column) -> Column:
-        code = F.regexp_extract(ref, NUMBER_PATTERN, 1).cast("int")
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        known = code.between(1, 0xD7FF) | code.between(0xE000, 0xFFFF)
+        digits = F.regexp_extract(ref, NUMBER_PATTERN, 1)
+        hexed = F.lower(F.substring(digits, 1, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+        # an ampersand waits for the others, or it would make new references
+        char = F.when(code == ord("&"), "&amp;").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, LAST_CHAR)
         return F.when(known, F.replace(out, ref, char)).otherwise(out)
 
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)))
@@ -53,9 +62,17 @@ def _numbers(text: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named character references resolved, but for the ampersand; unknown names are left as they are."""
+    chars = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME_PATTERN), F.lit(0)))
+    known = F.filter(refs, lambda r: r != "&amp;")
+    found = F.aggregate(known, text, lambda out, r: F.replace(out, r, F.coalesce(chars[r], r)))
+    return F.when(F.contains(text, F.lit("&")), found).otherwise(text)
+
+
+def _unquoted(address: Column) -> Column:
+    """A link's address without the quotes around it."""
+    return F.when(F.substring(address, 1, 1).isin('"', "'"), F.substring(address, F.lit(2), F.length(address) - 2)).otherwise(address)
 
 
 def _resolved(text: Column) -> Column:
@@ -125,13 +142,14 @@ def derive(source: DataFrame) -> DataFrame:
 
     Source columns are those of ``responses``; others are ignored. The metadata block lists title, text length,
     links in order of the page (repeats included), and the source's HTTP header and payload digest. An empty page
-    has an empty conversion block.
+    has an empty conversion block, and an empty table gives no records. Pages of any length are read whole. A hidden
+    element or comment that is never closed hides nothing: its tag goes and its content stays.
     """
     read = source.select("key", "record_id", "target_uri", "date", "http_header", "payload", "payload_digest", F.col("payload").alias("_text"))
     for step in TEXT_STEPS:
         read = once(read, "_text", step(F.col("_text")))
     title = one_line(_resolved(F.regexp_extract("payload", TITLE_PATTERN, 1)))
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK_PATTERN), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(_resolved(x)), F.lit(CRLF)))
+    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK_PATTERN), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(_resolved(_unquoted(x))), F.lit(CRLF)))
     sources = F.transform(
         F.filter(F.split("http_header", CRLF), lambda x: x != ""), lambda x: F.concat(F.lit("source-http-header: "), x, F.lit(CRLF))
     )
