@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators.requests import OK
 
-#: Items of a sketch: ranks within 0.33 % (`rank_error`), some 20 kB once it holds more values than that.
+#: Items of a sketch: ranks within 0.31 % (`rank_error`), some 20 kB once it holds more values than that.
 SKETCH_ITEMS = 1500
 QUANTILES = {"p50_processing_ms": 0.5, "p95_processing_ms": 0.95, "p99_processing_ms": 0.99}
 _SUMS = ("total_requests", "successful_requests", "failed_requests", "_time_sum", "_time_n", "_lines_sum", "_lines_n")
