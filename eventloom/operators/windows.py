@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.checks import check_target_mode, check_window
 from eventloom.operators.ordered import CHUNK_EVENTS, GROUP_ROWS, positions, spread_chunks
 from eventloom.operators.sequences import ORDER
+from eventloom.operators.splits import tag_split
 
 
 def chunk_arrays(numbered: DataFrame, columns: Sequence[str], ahead: int, size: int = CHUNK_EVENTS) -> DataFrame:
@@ -36,13 +37,23 @@ def make_windows(
     order: Sequence[str] = ORDER,
     size: int = CHUNK_EVENTS,
     limit: int = GROUP_ROWS,
+    labels: DataFrame | None = None,
+    split: DataFrame | None = None,
 ) -> DataFrame:
-    """(block_id, start, window, target) for every start; blocks of at most ``window`` events give none."""
+    """(block_id, start, window, target) for every start; blocks of at most ``window`` events give none.
+
+    With ``labels`` there is ``is_anomaly`` too, with ``split`` the split, and blocks without one are dropped. Both are
+    joined to the chunks before windows are cut, so that no window is shuffled.
+    """
     check_target_mode(mode)
     check_window(window, stride)
     numbered = positions(events.select("block_id", "event", *order), ["block_id"], order, limit=limit)
     chunks = chunk_arrays(numbered, ["event"], window, size)
     chunks = chunks.withColumn("items", F.transform("items", lambda x: x["event"]))
+    if labels is not None:
+        chunks = label_windows(chunks, labels)
+    if split is not None:
+        chunks = tag_split(chunks, split)
 
     def cut(start: Column) -> Column:
         at = (start - F.col("base") + 1).cast("int")
@@ -54,7 +65,8 @@ def make_windows(
 
 def cut_windows(chunks: DataFrame, starts: Column, cut: Callable[[Column], Column]) -> DataFrame:
     """One row per start. Windows are cut inside the chunk row, so exploding never copies whole chunks."""
-    return chunks.select("block_id", F.explode(F.transform(starts, cut)).alias("_w")).select("block_id", "_w.*")
+    kept = [c for c in ("is_anomaly", "split") if c in chunks.columns]
+    return chunks.select("block_id", *kept, F.explode(F.transform(starts, cut)).alias("_w")).select("block_id", "_w.*", *kept)
 
 
 def windows_of_sequences(
@@ -82,7 +94,7 @@ def windows_of_sequences(
 
 
 def label_windows(windows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add ``is_anomaly`` of the block; a block without label counts as normal."""
+    """Add ``is_anomaly`` of the block to windows or chunks; a block without label counts as normal."""
     joined = windows.join(labels.select("block_id", "is_anomaly"), "block_id", "left")
     return joined.withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(0)))
 

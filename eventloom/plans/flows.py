@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.checks import STRATEGIES, check_strategies
 from eventloom.operators import evaluation, nextevent, scoring, splits, templates, windows
-from eventloom.operators.logs import parse_lines, usable_lines
+from eventloom.operators.logs import parse_lines, route_lines, usable_lines
 from eventloom.operators.requests import Scorer
 from eventloom.session import cut_lineage
 from eventloom.sources.logs import LINE_ORDER
@@ -29,26 +29,31 @@ class EventTable:
         return self.vocab_size - 1
 
 
-def worded_lines(lines: DataFrame, split: DataFrame, line_key: str | None = None) -> DataFrame:
+def worded_lines(lines: DataFrame, split: DataFrame, line_key: str | None = None, max_lines: int | None = None) -> DataFrame:
     """Parsed and masked lines of the blocks in ``split``, written once for the passes that follow.
 
+    A line belongs to the split of the first block id in the whole line, its event to the block named in its content.
+    ``max_lines`` takes the first lines of the files only.
     Unless a column is named, lines are in the order of file, split and row: the number of a row alone follows the
     way splits are packed, not the files.
     """
     place = F.col(line_key) if line_key else F.struct(*LINE_ORDER)
-    parsed = usable_lines(parse_lines(lines))
+    parsed = usable_lines(parse_lines(route_lines(lines, split, max_lines)))
     worded = parsed.select(
         "block_id",
+        "split",
         F.col("timestamp").alias("ts"),
         place.alias("line_key"),
         templates.masked_tokens(F.col("content")).alias("tokens"),
     )
-    return cut_lineage(splits.tag_split(worded, split))
+    return cut_lineage(worded)
 
 
-def event_table(lines: DataFrame, split: DataFrame, line_key: str | None = None) -> EventTable:
+def event_table(
+    lines: DataFrame, split: DataFrame, line_key: str | None = None, max_lines: int | None = None
+) -> EventTable:
     """Mine templates on training lines only, freeze them, and match the lines of all splits."""
-    worded = worded_lines(lines, split, line_key)
+    worded = worded_lines(lines, split, line_key, max_lines)
     train = worded.filter(F.col("split") == "train")
     mined = cut_lineage(templates.mine_templates(train, words="tokens", order=("ts", "line_key")))
     vocab_size = mined.count() + 1
@@ -63,8 +68,7 @@ def window_dataset(
     table: EventTable, labels: DataFrame, split: DataFrame, window: int = 10, stride: int = 1, mode: str = "many_to_many"
 ) -> tuple[DataFrame, DataFrame]:
     """(windows with split and label, one-row description)."""
-    made = windows.make_windows(table.events, window, stride, mode)
-    tagged = splits.tag_split(windows.label_windows(made, labels), split)
+    tagged = windows.make_windows(table.events, window, stride, mode, labels=labels, split=split)
     return tagged, splits.dataset_meta(tagged, split, table.vocab_size, mode, window, stride)
 
 

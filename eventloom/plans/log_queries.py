@@ -11,7 +11,7 @@ from eventloom.plans import flows, inputs
 from eventloom.plans.registry import LINE, SPLIT, as_double, joined, query, rounded
 from eventloom.session import cut_lineage, fresh_dir
 from eventloom.sources import requests as stored_requests
-from eventloom.sources.logs import LINE_ORDER
+from eventloom.sources.logs import block_lines, read_log_lines
 
 
 @query(
@@ -58,7 +58,7 @@ def log_mask(spark, folder):
 @query("block_lines_topn", f"""WITH {LINE} SELECT event_id, line FROM ll WHERE contains(line, 'blk_7') ORDER BY event_id LIMIT 20""")
 def block_lines_topn(spark, folder):
     lines = inputs.log_lines(spark, folder)
-    return lines.filter(F.col("line").contains("blk_7")).orderBy(*LINE_ORDER).limit(20).select("event_id", "line")
+    return block_lines(lines, "blk_7", 20).select("event_id", "line")
 
 
 @query(
@@ -71,6 +71,36 @@ def route_lines(spark, folder):
     return logs.route_lines(inputs.log_lines(spark, folder), split).select("event_id", "block_id", "split")
 
 
+def _written_lines(spark, folder):
+    """The log lines as text files in the shared folder, their order being that of the files' names."""
+    lines = inputs.log_lines(spark, folder)
+    path = fresh_dir(spark, "lines")
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(files, "row_in_split").sortWithinPartitions("row_in_split").select("line").write.text(path)
+    return read_log_lines(spark, path)
+
+
+@query("line_numbers", f"WITH {LINE} SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_no, line FROM ll")
+def line_numbers(spark, folder):
+    """Numbers over several text files; no line is sorted for them."""
+    return logs.number_lines(_written_lines(spark, folder)).select("line_no", "line")
+
+
+@query(
+    "route_first_lines",
+    f"""WITH {SPLIT}, {LINE}, f AS (SELECT * FROM ll QUALIFY row_number() OVER (ORDER BY event_id) <= (SELECT count(*) // 2 FROM events))
+  SELECT split, blk AS block_id, count(*) AS n_lines, min(line) AS least, max(line) AS most
+  FROM f JOIN sp ON sp.block_id = CAST(f.user_id AS VARCHAR) GROUP BY ALL""",
+)
+def route_first_lines(spark, folder):
+    """The first half of the lines of several files, routed to the splits."""
+    split = splits.split_blocks(inputs.labels(inputs.events(spark, folder)))
+    split = split.withColumn("block_id", F.concat(F.lit("blk_"), F.col("block_id")))
+    lines = _written_lines(spark, folder)
+    routed = logs.route_lines(lines, split, max_lines=lines.count() // 2)
+    return routed.groupBy("split", "block_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("least"), F.max("line").alias("most"))
+
+
 @query(
     "run_name_parse",
     """SELECT event_id, CASE WHEN event_id % 10 > 0 THEN CAST(32 * (1 + event_id % 4) AS DOUBLE) END AS embedding_dim,

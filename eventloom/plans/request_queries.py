@@ -13,6 +13,7 @@ from eventloom.plans.inputs import VOCAB, WINDOW
 from eventloom.plans.registry import EV, HIST, MODEL, PROF, joined, query, rounded
 from eventloom.plans.score_queries import fitted
 from eventloom.session import cut_lineage, fresh_dir
+from eventloom.sources import pages
 from eventloom.sources import requests as stored_requests
 from eventloom.streaming import blocks as stream_blocks
 from eventloom.streaming import event_order
@@ -58,6 +59,26 @@ def history_page_keyset(spark, folder):
     return requests.page_after(history, seen, 500, 20).select("id")
 
 
+@query(
+    "history_page_indexed",
+    f"""WITH {HIST}, n AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS place, count(*) OVER () AS total FROM hi),
+  w AS (SELECT DISTINCT unnest([1, total // 40 + 1, (total + 19) // 20]) AS page FROM n)
+  SELECT page, id, place, page * 20 < total AS has_next FROM n JOIN w ON place // 20 + 1 = page""",
+)
+def history_page_indexed(spark, folder):
+    """The first page, one in the middle and the last, each from the files that the stored counts name."""
+    history = inputs.history(spark, folder)
+    total = history.count()
+    path = fresh_dir(spark, "pages")
+    pages.write_pages(history, path, bucket_rows=max(1, total // 64))
+    wanted = sorted({1, total // 40 + 1, (total + 19) // 20})
+    found = [pages.read_page(spark, path, n, 20).select(F.lit(n).cast("bigint").alias("page"), "id", "place", "has_next") for n in wanted]
+    shown = found[0]
+    for page in found[1:]:
+        shown = shown.unionByName(page)
+    return shown
+
+
 @query("history_by_profile", f"WITH {HIST} SELECT id, status_code FROM hi WHERE profile_id = 7")
 def history_by_profile(spark, folder):
     return requests.newest_first(requests.history_of(inputs.history(spark, folder), 7)).select("id", "status_code")

@@ -462,7 +462,7 @@ def isolation_scores(spark, folder):
 @query("mlp_scores")
 def mlp_scores(spark, folder):
     events, _, split, _ = fitted(spark, folder)
-    made = cut_lineage(splits.tag_split(windows.make_windows(events, WINDOW, 1, "one_step"), split))
+    made = cut_lineage(windows.make_windows(events, WINDOW, 1, "one_step", split=split))
     model, _ = learners.window_perceptron(made.filter(F.col("split") == "train"), VOCAB, WINDOW)
     scored = learners.perceptron_log_probs(model, learners.encode_windows(made, VOCAB))
     nll = -F.element_at("log_probs", F.col("target") + 1)

@@ -416,8 +416,8 @@ def vocab_size(spark, folder):
 @query("window_labels", f"WITH {WINDOWED} SELECT block_id, start, is_anomaly FROM wd JOIN lab USING (block_id)")
 def window_labels(spark, folder):
     events = inputs.events(spark, folder)
-    made = windows.make_windows(events, WINDOW)
-    return windows.label_windows(made, inputs.labels(events)).select("block_id", "start", "is_anomaly")
+    made = windows.make_windows(events, WINDOW, labels=inputs.labels(events))
+    return made.select("block_id", "start", "is_anomaly")
 
 
 @query(
@@ -431,7 +431,7 @@ def window_labels(spark, folder):
 )
 def split_meta(spark, folder):
     split = _split(spark, folder)
-    made = splits.tag_split(windows.make_windows(inputs.events(spark, folder), WINDOW), split)
+    made = windows.make_windows(inputs.events(spark, folder), WINDOW, split=split)
     return splits.dataset_meta(made, split, VOCAB, "many_to_many", WINDOW, 1)
 
 
