@@ -553,13 +553,14 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
     return left, right
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], k: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], k: int, similarity: float, fingerprint_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, SUMMARISED):
             part = batch.slice(i, SUMMARISED)
             texts = [(t or "").encode() for t in part.column(2).to_pylist()]
-            columns = [part.column(0), part.column(1), pa.array([len(t) for t in texts], pa.int64()), pa.array(near_keys(shingle_sets(texts, k), similarity), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "node", "bytes", "keys"])
+            size, fps = pa.array([len(t) for t in texts], pa.int64()), pa.array(fingerprint_texts(texts, fingerprint_words), pa.int64())
+            keys = pa.array(near_keys(shingle_sets(texts, k), similarity), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, fps, keys], ["doc", "node", "bytes", "fp", "keys"])
 
 
 def _compared(pdf: pd.DataFrame, k: int, similarity: float) -> pd.DataFrame:
@@ -568,16 +569,26 @@ def _compared(pdf: pd.DataFrame, k: int, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[a], "b": nodes[b]}, dtype="int64")
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, k: int, similarity: float, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b): links that keep together whichever of texts(node, doc, bytes, keys) have shingle sets that are similar enough.
+def fingerprint_links(texts: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b): links between the nodes of texts(node, fp) that keep together equal fingerprints and those that ``links`` joins."""
+    hubs = cut_lineage(texts.groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last")))
+    equal = texts.join(hubs.where("hub < last"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    a, b = (hubs.select(F.col("fp").alias(f"fp_{x}"), F.col("hub").alias(x)) for x in ("a", "b"))
+    near = links(hubs.select("fp"), hot).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return equal.union(near.join(a, "fp_a").join(b, "fp_b").select("a", "b"))
 
-    What shares a key, directly or by way of others, makes a set of candidates. Each set goes to one task with its texts
-    from docs(doc, node, text), where every two are compared by their whole shingle sets unless links join them already;
-    a large one is worked on in pairs of blocks.
+
+def similar_links(docs: DataFrame, texts: DataFrame, k: int, similarity: float, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """(a, b): links that keep together whichever of texts(node, doc, bytes, fp, keys) have shingle sets that are similar enough.
+
+    What fingerprints link or what shares a key, directly or by way of others, makes a set of candidates. Each set goes to
+    one task with its texts from docs(doc, node, text), where every two are compared by their whole shingle sets unless links
+    join them already; a large one is worked on in pairs of blocks.
     """
     one = texts.select("node", F.explode("keys").alias("key"))
     hubs = one.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
-    met = components(one.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b")))
+    keyed = one.join(hubs, "key").where("node <> a").select("a", F.col("node").alias("b"))
+    met = components(fingerprint_links(texts, hot).union(keyed))
     members = texts.select("node", "doc", "bytes").join(met, "node")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("bytes") / block_bytes, F.lit(1)))
     members = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
@@ -589,18 +600,22 @@ def similar_links(docs: DataFrame, texts: DataFrame, k: int, similarity: float,
     return paired.groupBy("root", "i", "j").applyInPandas(partial(_compared, k=k, similarity=similarity), "a long, b long")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle_words: int = 5, similarity: float = SIMILARITY, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES,
+    fingerprint_words: int = 4, hot: int = HOT,
+) -> DataFrame:
     """documents with all their columns, one row of each group of near copies: that of the smallest doc_id, of equals one.
 
     Texts are grouped where links reach, each between two texts whose sets of word shingles have at least the given share
-    in common, counted on the whole sets. Texts without words are one group.
+    in common, counted on the whole sets. Texts without words are one group. Texts are compared where their fingerprints are
+    linked as in ``near_duplicates`` and, since texts of that similarity often differ in more bits, where keys of their sets meet.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     narrow = docs.select(doc.alias("doc"), F.xxhash64(text).alias("node"), text.alias("text"))
-    rows = cut_lineage(narrow.mapInArrow(partial(_keyed, k=shingle_words, similarity=similarity), "doc long, node long, bytes long, keys array<long>"))
-    texts = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
-    roots = components(similar_links(narrow, texts, shingle_words, similarity, block_texts, block_bytes))
+    rows = cut_lineage(narrow.mapInArrow(partial(_keyed, k=shingle_words, similarity=similarity, fingerprint_words=fingerprint_words), "doc long, node long, bytes long, fp long, keys array<long>"))
+    texts = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("bytes", "fp", "keys")]))
+    roots = components(similar_links(narrow, texts, shingle_words, similarity, block_texts, block_bytes, hot))
     named = texts.select("node", "doc").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc", "node")).alias("keeper"))
     keepers = named.select(F.col("keeper.doc").alias("_doc"), F.col("keeper.node").alias("_key"))
     row = docs.select(doc.alias("_doc"), F.xxhash64(text).alias("_key"), F.struct("*").alias("_row"))
