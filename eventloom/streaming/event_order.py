@@ -22,6 +22,8 @@ from eventloom.streaming.blocks import use_rocksdb
 ROW_DDL = "block_id STRING, events BIGINT, score DOUBLE, mean_nll DOUBLE, alert BOOLEAN, late BOOLEAN, at BIGINT, line_key BIGINT, event INT"
 SCORE_COLUMNS = ["block_id", "events", "score", "mean_nll", "alert"]
 LATE_COLUMNS = ["block_id", "ts", "line_key", "event"]
+#: Groups of blocks that have their state together; rows of them that go on at once.
+BUCKETS, ADVANCED_ROWS = 1024, 200_000
 
 
 def _packed(matrix: np.ndarray) -> np.ndarray:
@@ -65,12 +67,11 @@ class ContextSurprise:
             self.cells[k] = _Table(np.hstack([contexts[seen], following]), value[seen])
             self.others[k] = _Table(contexts[~seen], value[~seen])
 
-    def __call__(self, before: list[int], events: np.ndarray) -> np.ndarray:
-        """The surprise of each event after up to ``order`` events; NaN for an event with none before it."""
-        line = np.concatenate([np.asarray(before, dtype=np.int64), events])
-        place = np.arange(len(before), len(line))
-        found = np.full(len(events), np.nan)
-        known = np.minimum(place, self.order)
+    def __call__(self, line: np.ndarray, place: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The surprise of the events at ``place`` of a line, each after up to ``order`` of the ``before`` events that precede
+        it there; NaN for an event with none before it."""
+        found = np.full(len(place), np.nan)
+        known = np.minimum(before, self.order)
         for k in range(self.order, 0, -1):
             open_ = np.isnan(found) & ((known >= k) if self.backoff else (known == k))
             if not open_.any():
@@ -82,7 +83,10 @@ class ContextSurprise:
 
 
 class OrderedScores(StatefulProcessor):
-    """Rows of a block wait by time slot; an event-time timer takes the slots that the watermark has passed."""
+    """Rows of a bucket of blocks wait by time slot; an event-time timer takes the slots that the watermark has passed.
+
+    State is asked for once for each slot and batch, and once for each block that goes on, not once for each slot of a block.
+    """
 
     def __init__(self, surprise: ContextSurprise, window: int, threshold: float, slot_ms: int, silence_ms: int | None) -> None:
         self.surprise, self.window, self.threshold = surprise, window, threshold
@@ -91,113 +95,159 @@ class OrderedScores(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         kept = "context ARRAY<INT>, seen BIGINT, top DOUBLE, total DOUBLE, alerted BOOLEAN, latest BIGINT"
-        self.block = handle.getValueState("block", kept)
-        self.timer = handle.getValueState("timer", "at BIGINT")
-        self.waiting = handle.getMapState("waiting", "slot BIGINT", "at ARRAY<BIGINT>, line_key ARRAY<BIGINT>, event ARRAY<INT>")
-
-    def _set_timer(self, at: int) -> None:
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
+        self.blocks = handle.getMapState("blocks", "block_id STRING", kept)
+        # the timer that is set, when silent blocks are looked for, how many parts have come
+        self.mark = handle.getValueState("mark", "due BIGINT, sweep BIGINT, parts BIGINT")
+        # owners are numbers of block_ids; numbers as 64-bit integers
+        self.waiting = handle.getMapState("waiting", "slot BIGINT, part BIGINT", "block_ids ARRAY<STRING>, rows BINARY")
+
+    def _set(self, old: int | None, due: int | None, sweep: int | None, parts: int) -> None:
+        wanted = min((t for t in (due, sweep) if t is not None), default=None)
+        if wanted != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.mark.update((wanted, sweep, parts))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        due, sweep, parts = self.mark.get() if self.mark.exists() else (None, None, 0)
         first = None
         for part in rows:
             lost = part[["at", "line_key", "event"]].isna().any(axis=1)
             lost |= part["at"].fillna(0) // 1000 <= passed if passed > 0 else False
             if lost.any():
-                yield self._late(key, part[lost])
+                yield self._late(part[lost])
             good = part[~lost]
-            for slot, some in good.groupby(good["at"].astype("int64") // (1000 * self.slot_ms)):
-                new = [some[c].astype("int64").tolist() for c in ("at", "line_key", "event")]
-                if self.waiting.containsKey((int(slot),)):
-                    new = [list(old) + more for old, more in zip(self.waiting.getValue((int(slot),)), new, strict=True)]
-                self.waiting.updateValue((int(slot),), tuple(new))
-                first = int(slot) if first is None else min(first, int(slot))
+            if not len(good):
+                continue
+            columns = [good[c].to_numpy(dtype=np.int64) for c in ("at", "line_key", "event")]
+            slot = columns[0] // (1000 * self.slot_ms)
+            order = np.argsort(slot, kind="stable")
+            starts = np.flatnonzero(np.diff(slot[order], prepend=slot[order[0]] - 1))
+            blocks = good["block_id"].to_numpy(dtype=object)
+            for some in np.split(order, starts[1:]):
+                owner, names = pd.factorize(blocks[some], use_na_sentinel=False)
+                packed = np.stack([owner.astype(np.int64), *[c[some] for c in columns]])
+                self.waiting.updateValue((int(slot[some[0]]), parts), ([None if pd.isna(n) else n for n in names], packed.tobytes()))
+            parts += 1
+            earliest = int(slot[order[0]])
+            first = earliest if first is None else min(first, earliest)
         if first is None:
             return
-        # a silent block's timer is later than any row that is not late
-        due = (first + 1) * self.slot_ms
-        if not self.timer.exists() or due < self.timer.get()[0]:
-            self._set_timer(due)
+        # a timer for silent blocks is later than any row that is not late
+        end = (first + 1) * self.slot_ms
+        self._set(due, end if due is None else min(due, end), sweep, parts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        slots = sorted(k[0] for k in self.waiting.keys())
-        due = [s for s in slots if (s + 1) * self.slot_ms <= passed]
-        state = self.block.get() if self.block.exists() else ([], 0, 0.0, 0.0, False, 0)
-        made = []
-        for slot in due:
-            at, line_key, event = (np.asarray(part, dtype=np.int64) for part in self.waiting.getValue((slot,)))
-            order = np.lexsort((line_key, at))
-            state = self._advance(key, state, at[order], event[order], made)
-            self.waiting.removeKey((slot,))
-        if due:
-            self.block.update(state)
-        if len(slots) > len(due):
-            self._set_timer((slots[len(due)] + 1) * self.slot_ms)
-        elif self.silence_ms is not None:
+        _, sweep, parts = self.mark.get()
+        keys = sorted(tuple(k) for k in self.waiting.keys())
+        done = [k for k in keys if (k[0] + 1) * self.slot_ms <= passed]
+        left = keys[len(done) :]
+        some, size = [], 0
+        for i, (slot, part) in enumerate(done):
+            names, packed = self.waiting.getValue((slot, part))
+            self.waiting.removeKey((slot, part))
+            some.append((list(names), np.frombuffer(packed, np.int64).reshape(4, -1), slot))
+            size += some[-1][1].shape[1]
+            # whole slots, so that a slot's rows are ordered together
+            if i + 1 == len(done) or (size >= ADVANCED_ROWS and done[i + 1][0] != slot):
+                yield self._advance(some)
+                some, size = [], 0
+        if self.silence_ms is not None:
+            if sweep is not None and sweep <= passed:
+                sweep = self._sweep(passed, left[0][0] * self.slot_ms if left else None)
+            elif sweep is None and done:
+                sweep = passed + self.silence_ms
+        self._set(None, (left[0][0] + 1) * self.slot_ms if left else None, sweep, parts)
+
+    def _sweep(self, passed: int, waiting: int | None) -> int | None:
+        """Forget the blocks that have been silent for long enough to start anew whatever still comes; when to look again."""
+        rest = False
+        for name, state in list(self.blocks.iterator()):
             end = state[5] // 1000 + self.silence_ms
-            if end <= passed:
-                self.block.clear()
+            if end <= passed and (waiting is None or waiting > end):
+                self.blocks.removeKey(name)
             else:
-                self._set_timer(end)
-        if made:
-            yield self._frame(made)
-
-    def _advance(self, key, state, at: np.ndarray, events: np.ndarray, made: list[dict]):
-        """The state after these events; a silence between two of them starts the block anew."""
-        context, seen, top, total, alerted, latest = state
-        cuts = []
+                rest = True
+        return passed + self.silence_ms if rest else None
+
+    def _advance(self, some: list[tuple[list, np.ndarray, int]]) -> pd.DataFrame:
+        """Take rows of whole slots in the order of time: a row for each slot of a block, where a silence starts it anew."""
+        number: dict = {}
+        owner = np.concatenate([np.array([number.setdefault(n, len(number)) for n in names], np.int64)[rows[0]] for names, rows, _ in some])
+        at, line_key, events = (np.concatenate([rows[i] for _, rows, _ in some]) for i in (1, 2, 3))
+        slot = np.repeat([s for *_, s in some], [rows.shape[1] for _, rows, _ in some])
+        order = np.lexsort((line_key, at, owner))
+        owner, at, events, slot = owner[order], at[order], events[order], slot[order]
+        names = list(number)
+        states = [self.blocks.getValue((n,)) or ([], 0, 0.0, 0.0, False, 0) for n in names]
+        seen, top, total, alerted, latest = (np.array([s[i] for s in states], t) for i, t in zip(range(1, 6), (np.int64, float, float, bool, np.int64), strict=True))
+        # runs of a block without a silence; the first may go on from the state
+        opens = np.diff(owner, prepend=-1) != 0
+        begins = opens & (seen[owner] == 0)
         if self.silence_ms is not None:
-            gaps = np.diff(at, prepend=latest if seen else at[0])
-            cuts = np.flatnonzero(gaps > self.silence_ms * 1000)
-        for piece, times in zip(np.split(events, cuts), np.split(at, cuts), strict=True):
-            if not len(piece):
-                continue
-            if seen and self.silence_ms is not None and times[0] - latest > self.silence_ms * 1000:
-                context, seen, top, total, alerted = [], 0, 0.0, 0.0, False
-            nll = self.surprise(list(context), piece)
-            nll = nll[~np.isnan(nll)]
-            if len(nll):
-                top, total = max(top, float(nll.max())), total + float(nll.sum())
-            seen, latest = seen + len(piece), int(times[-1])
-            context = [int(e) for e in [*context, *piece][-self.surprise.order :]]
-            scored = seen > self.window
-            alert = bool(scored and not alerted and top >= self.threshold)
-            alerted = bool(alerted or alert)
-            made.append(
-                {
-                    "block_id": key[0],
-                    "events": seen,
-                    "score": top if scored else None,
-                    "mean_nll": total / (seen - 1) if scored else None,
-                    "alert": alert,
-                    "late": False,
-                }
-            )
-        return context, int(seen), float(top), float(total), alerted, latest
-
-    def _late(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["at", "line_key", "event"]
-        values = zip(*[rows[n].tolist() for n in names], strict=True)
-        found = [{n: None if pd.isna(v) else int(v) for n, v in zip(names, row, strict=True)} for row in values]
-        return self._frame([{"block_id": key[0], "late": True, **row} for row in found])
-
-    def _frame(self, made: list[dict]) -> pd.DataFrame:
+            before = np.where(opens, np.where(seen[owner] > 0, latest[owner], at), np.concatenate([at[:1], at[:-1]]))
+            begins |= at - before > self.silence_ms * 1000
+        run = np.cumsum(opens | begins) - 1
+        start = np.flatnonzero(opens | begins)
+        whose, carried = owner[start], ~begins[start]
+        contexts = [list(states[b][0]) if c else [] for b, c in zip(whose.tolist(), carried.tolist(), strict=True)]
+        ahead = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        place = np.arange(len(events)) + np.cumsum(ahead)[run]
+        line = np.zeros(len(events) + ahead.sum(), np.int64)
+        given = np.ones(len(line), bool)
+        given[place] = False
+        line[given], line[place] = np.array([e for c in contexts for e in c], np.int64), events
+        within = np.arange(len(events)) - start[run]
+        nll = np.nan_to_num(self.surprise(line, place, within + ahead[run]), nan=0.0)
+        by_run = pd.Series(nll).groupby(run)
+        n = within + 1 + np.where(carried, seen[whose], 0)[run]
+        highest = np.maximum(by_run.cummax().to_numpy(), np.where(carried, top[whose], 0.0)[run])
+        sums = by_run.cumsum().to_numpy() + np.where(carried, total[whose], 0.0)[run]
+        # one row for each slot of a run
+        ends = np.flatnonzero(np.append((np.diff(run) != 0) | (np.diff(slot) != 0), True))
+        scored = n[ends] > self.window
+        reached = scored & (highest[ends] >= self.threshold)
+        again = np.concatenate([[False], reached[:-1] & (run[ends][1:] == run[ends][:-1])])
+        known = (carried & alerted[whose])[run[ends]]
+        last = np.flatnonzero(np.append(np.diff(owner) != 0, True))
+        at_last = np.searchsorted(ends, last)
+        for b, i, e in zip(owner[last].tolist(), last.tolist(), at_last.tolist(), strict=True):
+            begin = place[i] - min(int(within[i] + ahead[run[i]]), self.surprise.order - 1)
+            context = line[begin : place[i] + 1].tolist()
+            self.blocks.updateValue((names[b],), (context, int(n[i]), float(highest[i]), float(sums[i]), bool(reached[e] or known[e]), int(at[i])))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = sums[ends] / (n[ends] - 1)
+        made = {
+            "block_id": np.array(names, dtype=object)[owner[ends]],
+            "events": n[ends],
+            "score": np.where(scored, highest[ends], np.nan),
+            "mean_nll": np.where(scored, mean, np.nan),
+            "alert": reached & ~again & ~known,
+            "late": np.zeros(len(ends), bool),
+        }
+        return self._frame(made, len(ends))
+
+    def _late(self, rows: pd.DataFrame) -> pd.DataFrame:
+        found: dict = {n: [None if pd.isna(v) else int(v) for v in rows[n].tolist()] for n in ("at", "line_key", "event")}
+        return self._frame({"block_id": rows["block_id"].to_numpy(dtype=object), "late": np.ones(len(rows), bool), **found}, len(rows))
+
+    def _frame(self, made: dict, n: int) -> pd.DataFrame:
         columns = [c.split()[0] for c in ROW_DDL.split(", ")]
-        return pd.DataFrame({c: pd.Series([row.get(c) for row in made], dtype=object) for c in columns})
+        kinds = {c: object for c in ("at", "line_key", "event")}
+        return pd.DataFrame({c: pd.Series(made.get(c, [None] * n), dtype=kinds.get(c) if c in made else object) for c in columns})
 
     def close(self) -> None:
         pass
 
 
 def ordered_scores(
-    events: DataFrame, model: NextEventModel, window: int, threshold: float, slot_seconds: int = 60, silence_seconds: int | None = None
-) -> DataFrame:
+    events: DataFrame, model: NextEventModel, window: int, threshold: float, slot_seconds: int = 60, silence_seconds: int | None = None,
+    buckets: int = BUCKETS,
+) -> DataFrame:
     """Running scores of blocks whose rows arrive in any order, and the rows that came too late.
 
     ``events`` needs a watermark on ``ts``. Rows wait until the watermark has passed the end of their slot of
@@ -208,15 +258,17 @@ def ordered_scores(
 
     Rows that the watermark had passed when they arrived, and rows without time, key or event, take no part: they have
     ``late`` set and carry their own columns. A row that is delivered twice counts twice. State holds a few numbers for
-    a block and the rows that still wait; new rows touch only their own slots. An empty stream gives no rows, and other
-    columns of ``events`` are not read.
+    a block and the rows that still wait, of which new rows touch none. Blocks are dealt into ``buckets`` by a hash, so that
+    state is asked for many blocks at once; a checkpoint keeps to the number it was begun with. An empty stream gives no
+    rows, and other columns of ``events`` are not read.
     """
     use_rocksdb(events)
     # as a number, time keeps its meaning in every zone, and late rows are not taken away before they can be told apart
-    rows = events.select("block_id", F.unix_micros("ts").alias("at"), "line_key", "event")
+    bucket = F.pmod(F.xxhash64("block_id"), F.lit(buckets)).alias("bucket")
+    rows = events.select(bucket, "block_id", F.unix_micros("ts").alias("at"), "line_key", "event")
     silence = None if silence_seconds is None else silence_seconds * 1000
     processor = OrderedScores(ContextSurprise(model), window, threshold, slot_seconds * 1000, silence)
-    made = rows.groupBy("block_id").transformWithStateInPandas(processor, ROW_DDL, "Append", "EventTime")
+    made = rows.groupBy("bucket").transformWithStateInPandas(processor, ROW_DDL, "Append", "EventTime")
     return made.withColumn("ts", F.timestamp_micros("at")).select(*SCORE_COLUMNS, "late", "ts", "line_key", "event")
 
 
