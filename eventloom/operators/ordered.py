@@ -17,6 +17,8 @@ from eventloom.session import cut_lineage
 
 #: Largest group that is still sorted by a single task.
 GROUP_ROWS = 1_000_000
+#: Rows below which a range of rows is not cut further, whatever the limit.
+RANGE_ROWS = 100_000
 #: Events kept in one array cell.
 CHUNK_EVENTS = 10_000
 
@@ -45,13 +47,14 @@ def _sort(order: Sequence[str | Column]) -> list[Column]:
 def _range_partitioned(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, limit: int
 ) -> DataFrame:
-    """Rows in (keys, order) ranges of about ``limit`` rows, with the range number kept as a column.
+    """Rows in (keys, order) ranges of about ``limit`` rows, or RANGE_ROWS if that is more, with the range number kept as a column.
 
+    A range may be of any size, since sorting spills; each is a task, a file and a sample at the driver, so small ones only cost.
     The range bounds are sampled, so the numbered rows are written once: a later pass, or a task that is
     run again after an executor was lost, sees the same numbers.
     """
     spark = df.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / limit))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / max(limit, RANGE_ROWS)))
     by = [F.col(k) for k in keys] + list(order)
     return cut_lineage(df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id()))
 
