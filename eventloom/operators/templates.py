@@ -20,6 +20,8 @@ SIMILARITY = 0.4
 LEADING_TOKENS = 1
 #: Branches of a node, the wildcard's included.
 MAX_CHILDREN = 100
+#: Templates above which a literal that they share is looked up by broadcast.
+HOT_LITERAL = 100_000
 
 #: Parts that the distinct messages of a leaf are dealt into.
 PARTS = 64
@@ -163,9 +165,14 @@ def template_index(templates: DataFrame) -> DataFrame:
     """
     sized = templates.select("event_id", "template", F.size("template").alias("size"))
     literals = sized.select("event_id", "size", F.posexplode("template").alias("at", "token")).where(F.col("token") != WILDCARD)
-    shared = literals.groupBy("size", "at", "token").agg(F.count(F.lit(1)).alias("n"))
+    literal = ["size", "at", "token"]
+    shared = cut_lineage(literals.groupBy(*literal).agg(F.count(F.lit(1)).alias("n")))
+    # at most literals / HOT_LITERAL rows, which don't bring their templates together in one task
+    hot = F.broadcast(shared.where(F.col("n") > HOT_LITERAL))
+    cold = literals.join(hot, literal, "left_anti").join(shared.where(F.col("n") <= HOT_LITERAL), literal)
     rarest = (
-        literals.join(shared, ["size", "at", "token"])
+        literals.join(hot, literal)
+        .unionByName(cold)
         .groupBy("event_id")
         .agg(F.min(F.struct("n", "at", "token")).alias("key"))
         .select("event_id", F.col("key.at").alias("at"), F.col("key.token").alias("token"))
@@ -175,19 +182,30 @@ def template_index(templates: DataFrame) -> DataFrame:
     )
 
 
+def offers(distinct: DataFrame, index: DataFrame, words: str) -> DataFrame:
+    """(words, size, at, token) of each list, for the places where templates of its length wait."""
+    # a row for each token count, with as many places at most
+    places = F.broadcast(index.groupBy("size").agg(F.collect_set("at").alias("_places")))
+    offered = F.transform("_places", lambda at: F.struct(at.alias("at"), F.when(at < 0, WILDCARD).otherwise(F.get(words, at)).alias("token")))
+    return (
+        distinct.select(words, F.size(words).alias("size"))
+        .join(places, "size")
+        .select(words, "size", F.explode(offered).alias("o"))
+        .select(words, "size", "o.at", "o.token")
+    )
+
+
 def matches(distinct: DataFrame, templates: DataFrame, words: str, prefer: str = "wildcards") -> DataFrame:
     """(words, cluster_id) of the distinct token lists that agree with a template, by equality on its rarest literal.
 
-    Each list offers its tokens, each template waits at one place, and only pairs that meet there are compared in
-    full, so the work follows the lists and not lists times templates.
+    Each template waits at one place, each list offers its tokens of the places where templates of its length wait, and only
+    pairs that meet there are compared in full, so the work follows the lists and not lists times templates. Words that
+    most lists have at a place where none waits do not move, nor come together in one task.
     """
     if prefer not in ("literals", "wildcards"):
         raise ValueError("prefer must be literals or wildcards")
-    index = template_index(templates)
-    anywhere = F.array(F.struct(F.lit(-1).alias("at"), F.lit(WILDCARD).alias("token")))
-    offered = F.concat(anywhere, F.transform(words, lambda t, i: F.struct(i.alias("at"), t.alias("token"))))
-    offers = distinct.select(words, F.size(words).alias("size"), F.explode(offered).alias("o")).select(words, "size", "o.at", "o.token")
-    met = offers.join(broadcast_if_small(index), ["size", "at", "token"])
+    index = cut_lineage(template_index(templates))
+    met = offers(distinct, index, words).join(broadcast_if_small(index), ["size", "at", "token"])
     pairs = F.zip_with(F.col(words), F.col("template"), lambda t, p: (t == p) | (p == WILDCARD))
     literals = F.size(F.filter("template", lambda t: t != WILDCARD))
     wanted = -literals if prefer == "literals" else literals
