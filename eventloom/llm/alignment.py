@@ -125,15 +125,20 @@ class Aligner:
         """(left ids, right ids, their ends in bytes) of a space and a text; None where the bytes of either differ."""
         want = b" " + text.encode()
         left = self.left.encode(" " + text, add_special_tokens=False)
-        right = self.right.encode(text, return_type="proto").pieces
-        ids, pieces = left.ids, [p.id for p in right]
-        if b"".join([self.left_bytes[i] for i in ids]) != want or b"".join([self.right_bytes[i] for i in pieces]) != want:
+        ids = left.ids
+        if b"".join(map(self.left_bytes.__getitem__, ids)) != want:
             return None
-        a, b = np.array(ids, np.int64), np.array(pieces, np.int64)
-        spans = byte_offsets(" " + text)[np.array(left.offsets, np.int64).reshape(-1, 2)]
+        # (id, first byte, byte after the last) of each piece
+        pieces = [x for p in self.right.encode(text, return_type="proto").pieces for x in (p.id, p.begin, p.end)]
+        if b"".join(map(self.right_bytes.__getitem__, pieces[::3])) != want:
+            return None
+        a, right = np.array(ids, np.int64), np.array(pieces, np.int64).reshape(-1, 3)
+        spans = np.fromiter(chain.from_iterable(left.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        if len(want) != len(text) + 1:
+            spans = byte_offsets(" " + text)[spans]
+        b = right[:, 0]
         # the space that the piece model adds has no place in its spans
-        others = np.array([(p.begin + 1, p.end + 1) for p in right], np.int64).reshape(-1, 2)
-        return a, b, refined(spans, self.left_sizes[a]), refined(others, self.right_sizes[b])
+        return a, b, refined(spans, self.left_sizes[a]), refined(right[:, 1:] + 1, self.right_sizes[b])
 
     def align(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
         """(groups in writing, sizes, keys of linked pairs) of chunks that are one text with spaces between; None where bytes differ."""
