@@ -32,8 +32,8 @@ FEATURES, HIDDEN = 6, 8
 #: Labelled rows of each class that the network is fitted on, and the longest text among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 200_000
 EPOCHS, ROUNDS, BATCH, RATE = 6, 3, 128, 0.01
-#: Distinct words a task remembers, windows that run at once, characters of texts that are taken together.
-KNOWN_WORDS, LANES, GROUP_CHARS = 300_000, 4096, 2_000_000
+#: Distinct words a task remembers, windows that run at once, characters of texts that are taken together, rows that are read at once.
+KNOWN_WORDS, LANES, GROUP_CHARS, GROUP_ROWS = 300_000, 4096, 400_000, 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHORT = 24
@@ -395,14 +395,26 @@ def _grouped(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """The last column, the text, gives way to its score."""
+def _scored(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with the score of each row's text, which is column ``at``; only a slice's texts are held as strings."""
     scorer = Scorer(model.value)
     for batch in batches:
-        n = batch.num_columns - 1
-        texts = [t or "" for t in batch.column(n).to_pylist()]
-        scores = [s for group in _grouped(texts) for s in scorer(group).tolist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(scores, pa.float64())], [*batch.schema.names[:n], "score"])
+        for i in range(0, batch.num_rows, GROUP_ROWS):
+            part = batch.slice(i, GROUP_ROWS)
+            texts = [t or "" for t in part.column(at).to_pylist()]
+            yield part, np.concatenate([scorer(group) for group in _grouped(texts)])
+
+
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """The last column, the text, gives way to its score."""
+    for part, scores in _scored(batches, model, -1):
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], [*part.schema.names[:-1], "score"])
+
+
+def _below(batches: Iterator[pa.RecordBatch], model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, column ``at``, scores below the threshold."""
+    for part, scores in _scored(batches, model, at):
+        yield part.filter(pa.array(scores < threshold))
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -441,5 +453,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     model = fit_labelled(docs, labels)
     if model.untaught:
         return docs
-    scored = score_documents(docs, model, F.struct("*").alias("_row"))
-    return scored.where(F.col("score") < threshold).select("_row.*")
+    # rows go through as they are, each text once, since a batch of them is held on both sides of the worker
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_below, model=shared, at=docs.columns.index("text"), threshold=threshold), docs.schema)
