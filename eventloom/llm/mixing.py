@@ -9,9 +9,14 @@ counted itself. A token's own count in the training texts, discounted, comes on
 of a few classes, told apart by their bytes, which gate it. Each text adapts to the tokens it has used so far,
 and to the class that has predicted them best.
 
-A token's probability depends on nothing outside it, so it is computed once for each distinct token of the
+Across words, bits are mixed too: a known token's code opens with a few bits, its lead, that say in which part of the
+vocabulary it lies. Three predictors, without a context, with the word before and with the two words before as hashed
+contexts, are mixed in the logistic domain for each of these bits, at every occurrence. What lies behind the lead is
+spelt as above, so probabilities still sum to one: a token's own one is divided by that of its part of the vocabulary.
+
+What a token's spelling costs depends on nothing outside it, so it is computed once for each distinct token of the
 corpus. Texts are dealt into chunks of bounded size, the distinct tokens of a chunk fetch their counts and
-probabilities, and the chunk's texts are summed up from them.
+probabilities, and the chunk's texts are summed up from them, each occurrence with its lead after the words before.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ END, STOP = b"\n", 32
 #: Hash bits of each predictor's table: position, one to four bytes before, the whole token so far.
 TABLE_BITS = (12, 16, 18, 18, 20, 20)
 WHOLE = len(TABLE_BITS) - 1
+#: Bits of a lead; hash bits of the word before and of the one before that; rounds of learning over all counted leads.
+LEAD_BITS, WORD_BITS, LEAD_ROUNDS = 4, (12, 5), 4
+LEADS, WORD_ROWS = 1 << LEAD_BITS, 1 << sum(WORD_BITS)
 #: Pseudo-counts of each bit; learning rate of the weights; strength of the combined probability in the second table.
 PRIOR, LEARN, TRUST = 0.4, 0.5, 30.0
 #: What each seen token gives up for unseen ones; weight of the corpus against the text itself, in tokens.
@@ -140,6 +148,7 @@ class Mixer:
     by_place: np.ndarray
     by_support: np.ndarray
     refined: np.ndarray | None = None  # (2, nodes * CELLS): how often each bit followed, by node and logit
+    cells: tuple | None = None  # what ``inputs`` reads of every cell, made where it is first asked for
 
     @staticmethod
     def fresh(code: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray) -> Mixer:
@@ -148,20 +157,32 @@ class Mixer:
 
     def inputs(self, b: Bits, less: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(stretched predictions and a constant, gate by place and node, gate by support); ``less`` occurrences of each bit are taken out."""
+        if self.cells is None or self.cells[0] != less:
+            self.cells = (less, *self._cells(less))
+        _, stretched, gates = self.cells
         x = np.empty((len(TABLE_BITS) + 1, len(b.bit)))
-        support = []
+        base = b.bit * self.counts.shape[1] if less else 0
+        gate = np.zeros(len(b.bit), np.int64)
         for k, slot in enumerate(b.slots):
-            zero, one = self.counts[0][slot].astype(np.float64), self.counts[1][slot].astype(np.float64)
-            if less:
-                zero, one = np.maximum(zero - less * (1 - b.bit), 0), np.maximum(one - less * b.bit, 0)
-            x[k] = np.log((one + PRIOR) / (zero + PRIOR))
+            at = slot + base
+            x[k] = stretched[at]
             if k >= WHOLE - 1:
-                support.append(zero + one)
+                gate += gates[at]
         x[-1] = 0.3
-        four, whole = (np.log2(1 + s) for s in support)
-        gate = np.minimum(whole, 11).astype(np.int64) * 4 + np.minimum(four / 4, 3).astype(np.int64)
         return x, b.place * 256 + b.node, gate
 
+    def _cells(self, less: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each cell's stretched prediction and its part of the gate by support, for both bits in turn if ``less`` occurrences are taken out."""
+        stretched, gates = [], []
+        for bit in (0, 1) if less else (0,):
+            zero, one = (np.maximum(n - np.float32(less * (bit == i)), 0) for i, n in enumerate(self.counts))
+            stretched.append(np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR))))
+            support = np.log2(1 + zero + one)
+            gate = np.minimum(support / 4, 3).astype(np.uint8)
+            gate[_OFFSETS[WHOLE] :] = np.minimum(support[_OFFSETS[WHOLE] :], 11).astype(np.uint8) * 4
+            gates.append(gate)
+        return np.concatenate(stretched), np.concatenate(gates)
+
     def logits(self, x: np.ndarray, place: np.ndarray, support: np.ndarray) -> np.ndarray:
         total = np.zeros(x.shape[1])
         for k in range(len(x)):
@@ -200,6 +221,155 @@ class Mixer:
         return np.bincount(b.token, np.log10(np.maximum(p, 1e-12)), len(tokens))
 
 
+# --- leads, in the context of the words before
+
+
+def hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
+
+
+def leads_of(hashed: np.ndarray) -> np.ndarray:
+    """The first bits of a known token's code."""
+    return (hashed >> np.uint32(32 - LEAD_BITS)).astype(np.int64)
+
+
+def word_rows(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The row of the two words before each token, texts beginning at ``starts``; an end comes before a text.
+
+    Rows of one word before lie side by side.
+    """
+    end = np.uint32(zlib.crc32(END))
+    before = np.concatenate([[end], hashed[:-1]]).astype(np.uint32)
+    before[starts] = end
+    second = np.concatenate([[end], before[:-1]]).astype(np.uint32)
+    second[starts] = end
+    near = (before >> np.uint32(32 - LEAD_BITS - WORD_BITS[0])) & np.uint32((1 << WORD_BITS[0]) - 1)
+    far = (second >> np.uint32(32 - LEAD_BITS - sum(WORD_BITS))) & np.uint32((1 << WORD_BITS[1]) - 1)
+    return (near.astype(np.int64) << WORD_BITS[1]) + far
+
+
+def _lead_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each lead follows in each row of words before, over all occurrences of a task, as compressed blocks."""
+    counts = np.zeros(WORD_ROWS * LEADS, np.uint32)
+    some = False
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for i in range(0, len(texts), STEP):
+            lists = [[*tokens_of(t), END] for t in texts[i : i + STEP]]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            hashed = np.concatenate([hashes(tokens) for tokens in lists])
+            np.add.at(counts, word_rows(hashed, np.cumsum(sizes) - sizes) * LEADS + leads_of(hashed), np.uint32(1))
+            some = True
+    if some:
+        for block in range(0, len(counts), BLOCK_CELLS):
+            packed = zlib.compress(counts[block : block + BLOCK_CELLS].astype(np.float64).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed], pa.binary())], ["block", "cells"])
+
+
+def _bit_counts(counts: np.ndarray) -> np.ndarray:
+    """(2, nodes, rows): how often each bit follows at each node of the leads' tree, from counts (rows, leads)."""
+    out = np.zeros((2, LEADS, len(counts)), np.float64)
+    for depth in range(LEAD_BITS):
+        split = counts.reshape(len(counts), 1 << depth, 2, -1).sum(axis=3)
+        out[:, 1 << depth : 2 << depth] = split.transpose(2, 1, 0)
+    return out[:, 1:]
+
+
+class LeadMixer:
+    """The probability of each bit of a lead from counts without a context, after a word, and after two words."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.reshape(WORD_ROWS, LEADS)
+        self.none = _bit_counts(self.counts.sum(axis=0, dtype=np.float64)[None])
+        self.weights = np.tile(np.array([0.3, 0.4, 0.3]), (LEADS - 1, 48, 1))
+
+    def _near(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of bits after two words in some rows, a whole number of words before, and after the word before alone."""
+        two = _bit_counts(self.counts[first:last].astype(np.float64))
+        each = 1 << WORD_BITS[1]
+        one = two.reshape(2, LEADS - 1, -1, each).sum(axis=3)
+        return two, np.repeat(one, each, axis=2)
+
+    def _inputs(self, first: int, last: int, bit: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretched predictions, gate, how often ``bit`` follows); one occurrence of ``bit`` is taken out."""
+        two, one = self._near(first, last)
+        x, support = np.empty((3, *two.shape[1:])), []
+        for k, (zero, ones) in enumerate((np.broadcast_to(self.none, two.shape), one, two)):
+            if bit is not None:
+                zero, ones = (np.maximum(zero - 1, 0), ones) if bit == 0 else (zero, np.maximum(ones - 1, 0))
+            x[k] = np.log((ones + PRIOR) / (zero + PRIOR))
+            support.append(np.log2(1 + zero + ones))
+        gate = np.minimum(support[2], 11).astype(np.int64) * 4 + np.minimum(support[1] / 4, 3).astype(np.int64)
+        return x, gate, two[bit] if bit is not None else two
+
+    def _logits(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        node = np.arange(LEADS - 1)[:, None]
+        total = sum(self.weights[node, gate, k] * x[k] for k in range(3))
+        return np.clip(total, -LIMIT * 2, LIMIT * 2)
+
+    def learn(self, rounds: int = LEAD_ROUNDS, rows: int = 1 << 13) -> LeadMixer:
+        """Online steps over all counted occurrences, each as if it had not been counted itself."""
+        cells = (LEADS - 1) * 48
+        node = np.arange(LEADS - 1)[:, None] * 48
+        for round_ in range(rounds):
+            for step, first in enumerate(range(0, WORD_ROWS, rows)):
+                pulls, total = np.zeros((3, cells)), np.zeros(cells)
+                for bit in (0, 1):
+                    x, gate, often = self._inputs(first, first + rows, bit)
+                    pull = (bit - 1 / (1 + np.exp(-self._logits(x, gate)))) * often
+                    at = (node + gate).ravel()
+                    total += np.bincount(at, often.ravel(), cells)
+                    for k in range(3):
+                        pulls[k] += np.bincount(at, (pull * x[k]).ravel(), cells)
+                rate = LEARN / math.sqrt(1 + step / 16 + round_)
+                self.weights += rate * (pulls / np.maximum(total, 1)).T.reshape(self.weights.shape)
+        return self
+
+    def log10(self, rows: int = 1 << 13) -> np.ndarray:
+        """log10 probability of each lead in each row, as one array over row * LEADS + lead."""
+        out = np.empty((WORD_ROWS, LEADS), np.float32)
+        for first in range(0, WORD_ROWS, rows):
+            x, gate, _ = self._inputs(first, first + rows, None)
+            one = 1 / (1 + np.exp(-self._logits(x, gate)))
+            logs = np.zeros((LEADS, rows))
+            for depth in range(LEAD_BITS):
+                at = np.arange(LEADS) >> (LEAD_BITS - depth)
+                bit = (np.arange(LEADS) >> (LEAD_BITS - depth - 1)) & 1
+                p = one[(1 << depth) - 1 + at]
+                logs += np.log10(np.where(bit[:, None] == 1, p, 1 - p))
+            out[first : first + rows] = logs.T
+        return out.ravel()
+
+
+@dataclass
+class Leads:
+    log_p: np.ndarray  # log10 probability of each lead after the words before: row * LEADS + lead
+    parts: np.ndarray  # (classes, leads): log10 share of the known tokens with that lead in what all known tokens have
+
+
+def fit_leads(taught: DataFrame) -> np.ndarray:
+    """log10 probabilities of leads from all occurrences in taught(text); what comes to the driver is of fixed size."""
+    counted = taught.select("text").mapInArrow(_lead_counts, "block long, cells binary").groupBy("block").applyInPandas(_added, "block long, cells binary")
+    counts = np.zeros(WORD_ROWS * LEADS, np.float32)
+    for row in counted.collect():
+        counts[row.block : row.block + BLOCK_CELLS] = np.frombuffer(zlib.decompress(row.cells), np.float32)
+    return LeadMixer(counts).learn().log10()
+
+
+def lead_parts(known: DataFrame, names: list[str], totals: np.ndarray, distincts: np.ndarray) -> np.ndarray:
+    """log10 share of each lead's known tokens in those of all, by class, from known(token, counts..., log_p)."""
+    lead = F.shiftrightunsigned(F.crc32("token"), 32 - LEAD_BITS).cast("int")
+    kept = [F.sum(F.greatest(F.col(n) - F.lit(DISCOUNT), F.lit(0.0))).alias(n) for n in names]
+    seen = known.where(sum((F.col(n) for n in names), F.lit(0)) > 0)
+    own, spelt = np.zeros((len(names), LEADS)), np.zeros(LEADS)
+    for row in seen.groupBy(lead.alias("lead")).agg(*kept, F.sum(F.pow(F.lit(10.0), F.col("log_p"))).alias("spelt")).collect():
+        own[:, row.lead], spelt[row.lead] = [row[n] for n in names], row.spelt
+    each = np.maximum(totals, 1)[:, None]
+    parts = own / each + DISCOUNT * distincts[:, None] / each * spelt
+    with np.errstate(divide="ignore"):
+        return np.log10(parts) - np.log10(np.maximum(parts.sum(axis=1), 1e-300))[:, None]
+
+
 # --- passes over the distinct tokens
 
 
@@ -213,13 +383,14 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 def _context_counts(batches: Iterator[pa.RecordBatch], code) -> Iterator[pa.RecordBatch]:
     """Counts of both bits in every cell, as compressed blocks."""
     counts = np.zeros((2, int(_OFFSETS[-1])), np.float64)
+    flat = counts.reshape(-1)
     some = False
     for tokens in _steps(batches):
         some = True
         b = spell(tokens, code)
+        base = b.bit * counts.shape[1]
         for slot in b.slots:
-            for bit in (0, 1):
-                np.add.at(counts[bit], slot[b.bit == bit], 1.0)
+            np.add.at(flat, base + slot, 1.0)
     if some:
         for block in range(0, counts.shape[1], BLOCK_CELLS):
             packed = zlib.compress(counts[:, block : block + BLOCK_CELLS].tobytes(), 1)
@@ -473,8 +644,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(blobs, pa.binary())], ["chunk", "told"])
 
 
-def _summed(texts: pa.Table, told: pa.Table, totals: np.ndarray, distincts: np.ndarray, distinct: int) -> pa.Table:
-    """The scores of one chunk's texts from the counts and probabilities of its tokens."""
+def _summed(texts: pa.Table, told: pa.Table, totals: np.ndarray, distincts: np.ndarray, distinct: int, leads=None) -> pa.Table:
+    """The scores of one chunk's texts from the counts and probabilities of its tokens, and of leads after the words before.
+
+    Without ``leads`` words before are no context.
+    """
     if not texts.num_rows:
         return pa.schema(_SCORES).empty_table()
     known = np.concatenate([np.frombuffer(zlib.decompress(b), _ROW) for b in told["told"].to_pylist()])
@@ -500,14 +674,24 @@ def _summed(texts: pa.Table, told: pa.Table, totals: np.ndarray, distincts: np.n
     # the text so far counts as further occurrences; classes are weighed by how well they have done so far
     logs = np.full((CLASSES, len(counts)), -np.inf)
     length = np.log10(CORPUS + so_far)
+    if leads is not None:
+        hashed = np.empty(len(index), np.uint32)
+        hashed[place] = hashes(list(index))
+        lead, known_token = leads_of(hashed), c > 0
+        after = leads.value.log_p[word_rows(hashed[where], starts) * LEADS + lead[where]].astype(np.float64)
+        after[~known_token[where]] = 0
     seen = np.flatnonzero(again)
-    at, times = where[seen], again[seen]
+    times = again[seen]
     for k in range(CLASSES):
         if totals[k] or not total:
             log_p = log10_share(known["c"][:, k], int(totals[k]), int(distincts[k]), known["log_p"]) if total else known["log_p"]
+            if leads is not None:
+                log_p = np.where(known_token, log_p - leads.value.parts[k][lead], log_p)
             step = log_p[where] + math.log10(CORPUS)
+            if leads is not None:
+                step += after
             # beside an occurrence in the text, a probability below the least double is nothing
-            step[seen] = np.log10(CORPUS * 10.0 ** log_p[at] + times)
+            step[seen] = np.log10(10.0 ** step[seen] + times)
             step -= length
             logs[k] = np.add.reduceat(step, starts) + math.log10(totals[k] / total if total else 1 / CLASSES)
     best = logs.max(axis=0)
@@ -566,7 +750,10 @@ def score_documents(docs: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_
     # all columns go along, so that both sides read the same shuffle
     asked = grouped.sortWithinPartitions("chunk").mapInArrow(_chunk_tokens, "chunk long, place int, token binary")
     told = asked.join(known.hint("merge"), "token").select("chunk", "place", "log_p", *names).mapInArrow(_packed, "chunk long, told binary")
-    sums = partial(_summed, totals=totals, distincts=distincts, distinct=facts["distinct"])
+    leads = None
+    if facts["distinct"]:
+        leads = spark.sparkContext.broadcast(Leads(fit_leads(taught), lead_parts(known, names, totals, distincts)))
+    sums = partial(_summed, totals=totals, distincts=distincts, distinct=facts["distinct"], leads=leads)
     scored = grouped.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         sums, "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
     )
