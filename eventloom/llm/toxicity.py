@@ -32,8 +32,8 @@ FEATURES, HIDDEN = 6, 8
 #: Labelled rows of each class that the network is fitted on, and the longest text among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 200_000
 EPOCHS, ROUNDS, BATCH, RATE = 6, 3, 128, 0.01
-#: Distinct words a task remembers, windows that run at once, characters of texts that are taken together, rows that are read at once.
-KNOWN_WORDS, LANES, GROUP_CHARS, GROUP_ROWS = 300_000, 4096, 400_000, 256
+#: Distinct words a task remembers, windows that run at once, characters of texts that are taken together, the same beside rows that go through, rows that are read at once.
+KNOWN_WORDS, LANES, GROUP_CHARS, STAGE_CHARS, GROUP_ROWS = 300_000, 4096, 2_000_000, 400_000, 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHORT = 24
@@ -383,37 +383,34 @@ class Scorer:
         return self.model.scores(self.model.document_logits(self.feats[:, where], counts))
 
 
-def _grouped(texts: list[str]) -> Iterator[list[str]]:
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size > GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def _scored(batches: Iterator[pa.RecordBatch], model, at: int, chars: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches, each of a little over ``chars`` characters in column ``at``, the text, with the scores of their rows.
 
-
-def _scored(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Slices of the batches with the score of each row's text, which is column ``at``; only a slice's texts are held as strings."""
+    Only a slice's texts are held as strings.
+    """
     scorer = Scorer(model.value)
     for batch in batches:
+        first, texts, size = 0, [], 0
         for i in range(0, batch.num_rows, GROUP_ROWS):
-            part = batch.slice(i, GROUP_ROWS)
-            texts = [t or "" for t in part.column(at).to_pylist()]
-            yield part, np.concatenate([scorer(group) for group in _grouped(texts)])
+            for text in batch.column(at).slice(i, GROUP_ROWS).to_pylist():
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size > chars:
+                    yield batch.slice(first, len(texts)), scorer(texts)
+                    first, texts, size = first + len(texts), [], 0
+        if texts:
+            yield batch.slice(first, len(texts)), scorer(texts)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """The last column, the text, gives way to its score."""
-    for part, scores in _scored(batches, model, -1):
+    for part, scores in _scored(batches, model, -1, GROUP_CHARS):
         yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], [*part.schema.names[:-1], "score"])
 
 
 def _below(batches: Iterator[pa.RecordBatch], model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The rows whose text, column ``at``, scores below the threshold."""
-    for part, scores in _scored(batches, model, at):
+    for part, scores in _scored(batches, model, at, STAGE_CHARS):
         yield part.filter(pa.array(scores < threshold))
 
 
