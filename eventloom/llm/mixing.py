@@ -24,15 +24,14 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +57,14 @@ SHARE_STEPS = 65535
 CELLS, LIMIT = 24, 8.0
 #: Bytes of text in a chunk, distinct tokens in a task, tokens that are worked on at once.
 CHUNK_BYTES, TASK_TOKENS, STEP = 16_000_000, 500_000, 1024
-#: Distinct tokens that a task counts before it hands them on.
-HELD_TOKENS = 500_000
+#: Bytes of text whose distinct tokens are found at once; bytes whose words are hashed at once; tokens of texts that are summed up at once.
+SLICE_BYTES, HASH_BYTES, SUM_TOKENS = 16_000_000, 400_000, 1 << 15
+#: Bytes of a word up to which it is hashed beside others.
+HASHED_LENGTH = 64
 BLOCK_CELLS = 1 << 14
 _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])]).astype(np.int64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -70,6 +72,48 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, how many) of runs of texts of about ``most`` bytes together; a longer text is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield first, last - first
+        first = last
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``tokens_of`` of all texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at a text's ends leave empty words
+    ends = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()]
+    return (words if full.all() else words.filter(pa.array(full))).cast(pa.binary()), np.diff(ends)
+
+
+def _but_last(sizes: np.ndarray) -> np.ndarray:
+    """Whether an element is not the last of its group."""
+    out = np.ones(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - 1] = False
+    return out
+
+
+def numbered(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, END the last of them; number of each text's tokens in these, one text after the other; tokens of each text)."""
+    parts = [words_of(part) for part in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])]
+    encoded = pa.chunked_array([words for words, _ in parts], pa.binary()).dictionary_encode().unify_dictionaries()
+    tokens = pa.concat_arrays([encoded.chunk(0).dictionary if encoded.num_chunks else pa.array([], pa.binary()), pa.array([END], pa.binary())])
+    sizes = np.concatenate([n for _, n in parts]) + 1 if parts else np.zeros(0, np.int64)
+    numbers = np.full(int(sizes.sum()), len(tokens) - 1, np.int32)
+    numbers[_but_last(sizes)] = np.concatenate([chunk.indices.to_numpy() for chunk in encoded.chunks]) if encoded.num_chunks else 0
+    return tokens, numbers, sizes
+
+
+def _as_bytes(column: pa.Array) -> list[bytes]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 # --- spelling
 
 
@@ -126,16 +170,24 @@ def spell(tokens: list[bytes], code: tuple[np.ndarray, np.ndarray, np.ndarray])
     contexts.append(sums[:-1] - sums[start])
     n_bits = length[data]
     byte = np.repeat(np.arange(len(data)), n_bits)
-    depth = np.arange(len(byte)) - np.repeat(np.cumsum(n_bits) - n_bits, n_bits)
-    at = data[byte]
-    node = nodes[at, depth]
-    salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    # where a bit stands in the code's tables, row after row
+    at = np.take(data * nodes.shape[1] - (np.cumsum(n_bits) - n_bits), byte)
+    at += np.arange(len(byte))
+    node = np.take(nodes, at)
+    salt = np.take(_SALTS, node)
     slots = []
+    high = np.empty(len(byte), np.uint64)
     for k, (context, width) in enumerate(zip(contexts, TABLE_BITS, strict=True)):
-        mixed = (context * _MIX + np.uint64(k))[byte] ^ salt
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
-        slots.append((mixed >> np.uint64(64 - width)).astype(np.int64) + _OFFSETS[k])
-    return Bits(owner[byte], bits[at, depth], node, np.minimum(pos[byte], 3), slots)
+        mixed = np.take(context * _MIX + np.uint64(k), byte)
+        mixed ^= salt
+        np.right_shift(mixed, np.uint64(32), out=high)
+        mixed ^= high
+        mixed *= _MIX
+        mixed >>= np.uint64(64 - width)
+        slot = mixed.view(np.int64)
+        slot += _OFFSETS[k]
+        slots.append(slot)
+    return Bits(np.take(owner, byte), np.take(bits, at), node, np.take(np.minimum(pos, 3), byte), slots)
 
 
 # --- the model
@@ -165,9 +217,9 @@ class Mixer:
         gate = np.zeros(len(b.bit), np.int64)
         for k, slot in enumerate(b.slots):
             at = slot + base
-            x[k] = stretched[at]
+            x[k] = np.take(stretched, at)
             if k >= WHOLE - 1:
-                gate += gates[at]
+                gate += np.take(gates, at)
         x[-1] = 0.3
         return x, b.place * 256 + b.node, gate
 
@@ -185,8 +237,11 @@ class Mixer:
 
     def logits(self, x: np.ndarray, place: np.ndarray, support: np.ndarray) -> np.ndarray:
         total = np.zeros(x.shape[1])
-        for k in range(len(x)):
-            total += (self.by_place[:, k][place] + self.by_support[:, k][support]) * x[k]
+        for by_place, by_support, row in zip(np.ascontiguousarray(self.by_place.T), np.ascontiguousarray(self.by_support.T), x):
+            weight = np.take(by_place, place)
+            weight += np.take(by_support, support)
+            weight *= row
+            total += weight
         return np.clip(total, -LIMIT * 2, LIMIT * 2)
 
     def cell(self, node: np.ndarray, logit: np.ndarray) -> np.ndarray:
@@ -202,10 +257,11 @@ class Mixer:
         for bit in (0, 1):
             seen[bit] += np.bincount(cell[b.bit == bit], minlength=seen.shape[1])
         pull = b.bit - 1 / (1 + np.exp(-logit))
+        x *= pull
         for table, gate in ((self.by_place, place), (self.by_support, support)):
             total = np.maximum(np.bincount(gate, minlength=len(table)), 1)
             for k in range(len(x)):
-                table[:, k] += rate * np.bincount(gate, pull * x[k], len(table)) / total
+                table[:, k] += rate * np.bincount(gate, x[k], len(table)) / total
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         """log10 probability of each token."""
@@ -218,7 +274,7 @@ class Mixer:
             n0, n1 = self.refined[0][cell], self.refined[1][cell]
             one = (one + (n1 + TRUST * one) / (n0 + n1 + TRUST)) / 2
         p = np.where(b.bit == 1, one, 1 - one)
-        return np.bincount(b.token, np.log10(np.maximum(p, 1e-12)), len(tokens))
+        return np.bincount(b.token, np.log(np.maximum(p, 1e-12)), len(tokens)) / math.log(10)
 
 
 # --- leads, in the context of the words before
@@ -228,6 +284,38 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """``hashes`` of an Arrow column without nulls, a byte of all words at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    sizes = np.diff(starts)
+    order = np.argsort(-np.minimum(sizes, HASHED_LENGTH + 1).astype(np.int16), kind="stable")
+    at, ordered, table = starts[order], sizes[order], _crc_table()
+    out = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    more = np.searchsorted(-ordered, -np.arange(min(HASHED_LENGTH, int(sizes.max()))))  # words of more bytes than 0, 1, ...
+    for n in more:
+        crc = out[:n]
+        out[:n] = np.take(table, (crc ^ np.take(data, at[:n])) & np.uint32(255)) ^ (crc >> np.uint32(8))
+        at[:n] += 1
+    out ^= np.uint32(0xFFFFFFFF)
+    for i in np.flatnonzero(ordered > HASHED_LENGTH):
+        first = int(starts[order[i]])
+        out[i] = zlib.crc32(data[first : first + int(ordered[i])])
+    hashed = np.empty_like(out)
+    hashed[order] = out
+    return hashed
+
+
 def leads_of(hashed: np.ndarray) -> np.ndarray:
     """The first bits of a known token's code."""
     return (hashed >> np.uint32(32 - LEAD_BITS)).astype(np.int64)
@@ -253,11 +341,12 @@ def _lead_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(WORD_ROWS * LEADS, np.uint32)
     some = False
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for i in range(0, len(texts), STEP):
-            lists = [[*tokens_of(t), END] for t in texts[i : i + STEP]]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            hashed = np.concatenate([hashes(tokens) for tokens in lists])
+        texts = batch.column(0)
+        for at in slices(texts, HASH_BYTES):
+            words, sizes = words_of(texts.slice(*at))
+            sizes += 1
+            hashed = np.full(int(sizes.sum()), zlib.crc32(END), np.uint32)
+            hashed[_but_last(sizes)] = word_hashes(words)
             np.add.at(counts, word_rows(hashed, np.cumsum(sizes) - sizes) * LEADS + leads_of(hashed), np.uint32(1))
             some = True
     if some:
@@ -375,7 +464,7 @@ def lead_parts(known: DataFrame, names: list[str], totals: np.ndarray, distincts
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     for batch in batches:
-        tokens = batch.column(0).to_pylist()
+        tokens = _as_bytes(batch.column(0))
         for i in range(0, len(tokens), STEP):
             yield tokens[i : i + STEP]
 
@@ -439,7 +528,7 @@ def log10_share(own: np.ndarray, tokens: int, distinct: int, spelt: np.ndarray)
 def _token_scores(batches: Iterator[pa.RecordBatch], model, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Adds log10 of each token's probability: its discounted share of the training tokens, and its spelling for the rest."""
     for batch in batches:
-        tokens = batch.column(0).to_pylist()
+        tokens = _as_bytes(batch.column(0))
         c = sum(batch.column(1 + k).to_numpy() for k in range(CLASSES))
         spelt = [model.value.log10(tokens[i : i + STEP]) for i in range(0, len(tokens), STEP)]
         log_p = np.concatenate(spelt) if spelt else np.zeros(0)
@@ -556,27 +645,18 @@ def centres(profiles: np.ndarray, k: int = CLASSES) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], middle: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, class, how often it is in training texts of the class) of the distinct tokens of a task."""
-
-    def given(train: list[Counter], held: set) -> Iterator[pa.RecordBatch]:
-        for k, counter in enumerate([*train, dict.fromkeys(held, 0)]):
-            if counter:
-                columns = [pa.array(counter, pa.binary()), pa.array(np.full(len(counter), k % CLASSES, np.int32)), pa.array(np.fromiter(counter.values(), np.int64, len(counter)))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "k", "c"])
-
-    train, held = [Counter() for _ in range(CLASSES)], set()
+    """(token, how often it is in training texts of each class) of the distinct tokens of slices of a task's texts."""
+    names = ["token", *[f"c{k}" for k in range(CLASSES)]]
     for batch in batches:
-        for text, held_out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lowered = (text or "").encode().lower()
-            tokens = [*lowered.split(), END]
-            if held_out:
-                held.update(tokens)
-            else:
-                train[int(nearest(_shares(lowered)[None], middle)[0])].update(tokens)
-        if sum(map(len, train)) + len(held) > HELD_TOKENS:
-            yield from given(train, held)
-            train, held = [Counter() for _ in range(CLASSES)], set()
-    yield from given(train, held)
+        for at in slices(batch.column(0), SLICE_BYTES):
+            texts, held_out = batch.column(0).slice(*at), batch.column(1).slice(*at).to_numpy(zero_copy_only=False)
+            tokens, numbers, sizes = numbered(texts)
+            profiles = np.array([profile(text) for text in texts.to_pylist()])
+            # a held-out text's tokens are named, not counted
+            owner = np.where(held_out, CLASSES, nearest(profiles, middle))
+            cell = numbers + np.repeat(owner, sizes) * len(tokens)
+            c = np.bincount(cell, minlength=(CLASSES + 1) * len(tokens)).reshape(CLASSES + 1, -1)
+            yield pa.RecordBatch.from_arrays([tokens, *[pa.array(c[k]) for k in range(CLASSES)]], names)
 
 
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -590,32 +670,42 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunk_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, place in sorted order, token) of the distinct tokens of each chunk; a chunk's rows come one after the other."""
 
-    def given(chunk: int, tokens: set) -> Iterator[pa.RecordBatch]:
-        ordered = sorted(tokens | {END})
-        for i in range(0, len(ordered), 100_000):
-            part = ordered[i : i + 100_000]
-            columns = [pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.binary())]
+    def given(chunk: int, parts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        tokens = pa.concat_arrays([pa.chunked_array(parts, pa.binary()).unique(), pa.array([END], pa.binary())])
+        tokens = tokens.take(pc.array_sort_indices(tokens))
+        for i in range(0, len(tokens), 100_000):
+            part = tokens.slice(i, 100_000)
+            columns = [pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "place", "token"])
 
-    current, tokens = None, set()
+    current, parts = None, []
     for batch in batches:
-        for chunk, text in zip(batch["chunk"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if chunk != current:
+        chunks = batch["chunk"].to_numpy()
+        starts = np.flatnonzero(np.diff(chunks, prepend=chunks[:1] - 1))
+        for first, last in zip(starts, [*starts[1:], len(chunks)]):
+            if chunks[first] != current:
                 if current is not None:
-                    yield from given(current, tokens)
-                current, tokens = chunk, set()
-            tokens.update(tokens_of(text))
+                    yield from given(current, parts)
+                current, parts = int(chunks[first]), []
+            texts = batch["text"].slice(first, last - first)
+            parts += [words_of(texts.slice(*at))[0].unique() for at in slices(texts, SLICE_BYTES)]
     if current is not None:
-        yield from given(current, tokens)
+        yield from given(current, parts)
 
 
 _SCORES = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
 def earlier(keys: np.ndarray) -> np.ndarray:
-    """How often each element has occurred before."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+    """How often each element, a whole number from 0, has occurred before."""
+    bits = max(1, len(keys).bit_length())
+    if len(keys) and int(keys.max()).bit_length() + bits < 64:
+        # keys with their places behind them differ, so a plain sort does
+        packed = np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys)))
+        order, ordered = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
@@ -652,53 +742,65 @@ def _summed(texts: pa.Table, told: pa.Table, totals: np.ndarray, distincts: np.n
     if not texts.num_rows:
         return pa.schema(_SCORES).empty_table()
     known = np.concatenate([np.frombuffer(zlib.decompress(b), _ROW) for b in told["told"].to_pylist()])
-    known = known[np.argsort(known["place"])]
-    # tokens get numbers text by text, so that each distinct one is held once
-    index = defaultdict(count().__next__)
-    numbers = []
-    for text in texts["text"].to_pylist():
-        tokens = [*tokens_of(text), END]
-        numbers.append(np.fromiter(map(index.__getitem__, tokens), np.int32, len(tokens)))
-    if len(index) != len(known):
+    tokens, numbers, counts = numbered(texts["text"])
+    if len(tokens) != len(known):
         raise RuntimeError("a chunk has other tokens than were looked up")
-    counts = np.fromiter(map(len, numbers), np.int64, len(numbers))
-    starts = np.cumsum(counts) - counts
-    place = np.empty(len(index), np.int64)
-    place[np.fromiter(map(index.__getitem__, sorted(index)), np.int64, len(index))] = np.arange(len(index))
-    where = place[np.concatenate(numbers)]
+    row_of = np.empty(len(known), np.int64)
+    row_of[pc.array_sort_indices(tokens).to_numpy()[known["place"]]] = np.arange(len(known))
+    known = known[row_of]
     c, total = known["c"].sum(axis=1), int(totals.sum())
-    base = np.log10((c + 1) / (total + distinct + 1))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    so_far = np.arange(len(where)) - starts[owner]
-    again = earlier(owner * len(index) + where)
-    # the text so far counts as further occurrences; classes are weighed by how well they have done so far
-    logs = np.full((CLASSES, len(counts)), -np.inf)
-    length = np.log10(CORPUS + so_far)
+    known_token = c > 0
     if leads is not None:
-        hashed = np.empty(len(index), np.uint32)
-        hashed[place] = hashes(list(index))
-        lead, known_token = leads_of(hashed), c > 0
-        after = leads.value.log_p[word_rows(hashed[where], starts) * LEADS + lead[where]].astype(np.float64)
-        after[~known_token[where]] = 0
-    seen = np.flatnonzero(again)
-    times = again[seen]
-    for k in range(CLASSES):
-        if totals[k] or not total:
-            log_p = log10_share(known["c"][:, k], int(totals[k]), int(distincts[k]), known["log_p"]) if total else known["log_p"]
-            if leads is not None:
-                log_p = np.where(known_token, log_p - leads.value.parts[k][lead], log_p)
-            step = log_p[where] + math.log10(CORPUS)
+        hashed = hashes(_as_bytes(tokens))
+        lead = leads_of(hashed)
+    # a row for each distinct token: log10 probabilities in the classes, as occurrences; the base; whether it is known
+    classes = [k for k in range(CLASSES) if totals[k] or not total]
+    each = len(classes)
+    table = np.empty((len(known), each + 2))
+    for j, k in enumerate(classes):
+        log_p = log10_share(known["c"][:, k], int(totals[k]), int(distincts[k]), known["log_p"]) if total else known["log_p"]
+        if leads is not None:
+            log_p = np.where(known_token, log_p - leads.value.parts[k][lead], log_p)
+        table[:, j] = log_p + math.log10(CORPUS)
+    table[:, each], table[:, each + 1] = np.log10((c + 1) / (total + distinct + 1)), known_token
+    # beside an occurrence in the text, a probability below the least double is nothing
+    plain = 10.0 ** table[:, :each]
+    starts = np.cumsum(counts) - counts
+    sums = np.zeros((len(counts), each + 2))
+    # some texts at a time, a long one in pieces, so that what is worked on stays in a cache
+    begin = 0
+    while begin < len(counts):
+        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + SUM_TOKENS)))
+        low, high = int(starts[begin]), int(starts[end - 1] + counts[end - 1])
+        block, own = numbers[low:high], starts[begin:end] - low
+        # the text so far counts as further occurrences
+        again = earlier(np.repeat(np.arange(end - begin), counts[begin:end]) * len(known) + block)
+        if leads is not None:
+            rows = word_rows(hashed[block], own)
+        for first in range(0, high - low, SUM_TOKENS):
+            piece = slice(first, first + SUM_TOKENS)
+            at, seen = block[piece], np.flatnonzero(again[piece])
+            step, p = np.take(table, at, axis=0), np.take(plain, at[seen], axis=0)
             if leads is not None:
-                step += after
-            # beside an occurrence in the text, a probability below the least double is nothing
-            step[seen] = np.log10(10.0 ** step[seen] + times)
-            step -= length
-            logs[k] = np.add.reduceat(step, starts) + math.log10(totals[k] / total if total else 1 / CLASSES)
+                after = leads.value.log_p[rows[piece] * LEADS + lead[at]].astype(np.float64)
+                after[~known_token[at]] = 0
+                step[:, :each] += after[:, None]
+                p *= np.exp(after[seen] * math.log(10))[:, None]
+            p += again[piece][seen][:, None]
+            step[seen, :each] = np.log(p) / math.log(10)
+            inside = slice(np.searchsorted(own, first, "right") - 1, np.searchsorted(own, first + len(at)))
+            sums[begin:end][inside] += np.add.reduceat(step, np.maximum(own[inside] - first, 0))
+        begin = end
+    # classes are weighed by how well they have done so far
+    lengths = np.concatenate([[0.0], np.cumsum(np.log10(CORPUS + np.arange(counts.max())))])[counts]
+    logs = np.full((CLASSES, len(counts)), -np.inf)
+    for j, k in enumerate(classes):
+        logs[k] = sums[:, j] - lengths + math.log10(totals[k] / total if total else 1 / CLASSES)
     best = logs.max(axis=0)
     score = best + np.log10((10.0 ** (logs - best)).sum(axis=0))
     columns = [
         texts["doc_id"], texts["held_out"], texts["n_bytes"], pa.array(counts),
-        pa.array(np.add.reduceat((c > 0)[where].astype(np.int64), starts)), pa.array(np.add.reduceat(base[where], starts)), pa.array(score),
+        pa.array(sums[:, each + 1].astype(np.int64)), pa.array(sums[:, each]), pa.array(score),
     ]
     return pa.table(columns, schema=pa.schema(_SCORES))
 
@@ -722,8 +824,8 @@ def score_documents(docs: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_
     sample = sorted(bytes(r.profile) for r in first.select("profile").collect())
     middle = class_centres(profiles, centres(_steps_of(sample) / SHARE_STEPS))
     names = [f"c{k}" for k in range(CLASSES)]
-    counted = rows.select("text", "held_out").mapInArrow(partial(_counted, middle=middle), "token binary, k int, c long")
-    vocabulary = cut_lineage(counted.groupBy("token").agg(*[F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(n) for k, n in enumerate(names)]))
+    counted = rows.select("text", "held_out").mapInArrow(partial(_counted, middle=middle), "token binary, " + ", ".join(f"{n} long" for n in names))
+    vocabulary = cut_lineage(counted.groupBy("token").agg(*[F.sum(n).alias(n) for n in names]))
     seen = sum((F.col(n) for n in names), F.lit(0)) > 0
     facts = vocabulary.agg(
         F.count(F.lit(1)).alias("all"), F.count_if(seen).alias("distinct"),
